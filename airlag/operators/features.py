@@ -99,13 +99,15 @@ def select_features(df: DataFrame, exclude: list[str] = S.FEATURE_EXCLUDE) -> li
     return [c for c in df.columns if c not in set(exclude)]
 
 
-def engineered_table(df_clean: DataFrame, regression: bool = False) -> DataFrame:
-    """Cleaned -> engineered: date, features, then target(s)."""
+def engineered_table(df_clean: DataFrame, regression: bool = False,
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cleaned -> engineered: date, features, then target(s); ``keep`` columns
+    (e.g. the row key) are carried through first."""
     feat = basic_features(df_clean)
     enc, _ = encode_categoricals(feat)
-    cols = select_features(enc)
+    cols = [c for c in select_features(enc) if c not in keep]
     targets = [S.TARGET_DELAY] if regression else [S.TARGET_DELAY, S.TARGET_CLASS]
-    return enc.select("flight_date", *cols, *targets)
+    return enc.select(*keep, "flight_date", *cols, *targets)
 
 
 def decode_onehot(df: DataFrame, prefix: str = "carrier_", target: str = S.TARGET_DELAY,

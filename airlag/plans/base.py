@@ -37,3 +37,39 @@ def featured(spark, sf) -> DataFrame:
 def engineered(spark, sf, regression: bool = False) -> DataFrame:
     src = clean_regression(spark, sf) if regression else clean(spark, sf)
     return FE.engineered_table(src, regression=regression)
+
+
+# ---------------------------------------------------------------- model data
+from pyspark.sql import functions as F  # noqa: E402
+
+from airlag.operators.splits import add_row_key, split_random  # noqa: E402
+from airlag.plans.sqlgen import CLEAN_ORDER  # noqa: E402
+
+
+def keyed_clean(spark, sf, regression: bool = False) -> DataFrame:
+    """Cleaned records with ``row_key`` (md5 of all columns), computed before
+    feature selection drops the identifiers."""
+    src = clean_regression(spark, sf) if regression else clean(spark, sf)
+    return add_row_key(src, CLEAN_ORDER)
+
+
+def engineered_keyed(spark, sf, regression: bool = False) -> DataFrame:
+    return FE.engineered_table(keyed_clean(spark, sf, regression), regression, keep=("row_key",))
+
+
+def planted_signal(df: DataFrame):
+    """Fixed integer linear form of the engineered features (a stand-in model)."""
+    return ((F.col("sched_elapsed_min") - 180) + 40 * F.col("is_weekend")
+            + 25 * F.col("is_holiday_period") - 15 * F.col("season_encoded")
+            + 7 * F.col("origin_airport_encoded") + 20 * F.col("carrier_UR")
+            - 10 * F.col("carrier_LO"))
+
+
+def scored(spark, sf) -> DataFrame:
+    """Prediction frame: row_key, split, y, score, yhat, y_reg, yhat_reg."""
+    e = split_random(engineered_keyed(spark, sf))
+    x = planted_signal(e)
+    score = F.lit(0.5) + F.lit(0.5) * x.cast("double") / (F.lit(100) + F.abs(x)).cast("double")
+    return e.select("row_key", "split", F.col("is_delayed").alias("y"), score.alias("score"),
+                    (score > 0.5).cast("int").alias("yhat"),
+                    F.col("arr_delay_min").alias("y_reg"), (x / F.lit(4.0)).alias("yhat_reg"))
