@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlag import schema as S
@@ -48,13 +48,26 @@ def basic_features(df: DataFrame, date_col: str = "flight_date",
     })
 
 
-def category_values(df: DataFrame, col: str, max_values: int = MAX_CATEGORIES) -> list:
-    """Sorted distinct non-null values; refuses unbounded dictionaries."""
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct()
-    rows = vals.limit(max_values + 1).collect()
+def category_dictionaries(df: DataFrame, cols: list[str],
+                          max_values: int = MAX_CATEGORIES) -> dict[str, list]:
+    """Sorted distinct non-null values of several columns in ONE bounded job:
+    (column, value) pairs are de-duplicated (partial aggregation first) and at
+    most ``max_values + 1`` pairs are fetched, so an unbounded column fails
+    fast instead of flooding the driver."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols
+    ])).alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct()
+    rows = pairs.limit(max_values + 1).collect()
     if len(rows) > max_values:
-        raise ValueError(f"{col} has more than {max_values} categories")
-    return sorted(r[0] for r in rows)
+        raise ValueError(f"more than {max_values} categories in {cols}")
+    out = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
+def category_values(df: DataFrame, col: str, max_values: int = MAX_CATEGORIES) -> list:
+    return category_dictionaries(df, [col], max_values)[col]
 
 
 def onehot(df: DataFrame, col: str, prefix: str, values: list | None = None) -> DataFrame:
@@ -65,34 +78,33 @@ def onehot(df: DataFrame, col: str, prefix: str, values: list | None = None) ->
     return df.withColumns(dummies).drop(col)
 
 
-def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Lexicographic 0-based codes via a dictionary join.
+# Dictionaries up to this size are inlined as a map literal (no join at all);
+# larger ones are joined (broadcast only after a size check).
+INLINE_DICT_MAX = 10_000
 
-    The dictionary (distinct values) is size-checked before it is ranked and
-    broadcast; the data side is never shuffled for it.
-    """
+
+def label_encode(df: DataFrame, col: str, out: str | None = None,
+                 values: list | None = None) -> DataFrame:
+    """Lexicographic 0-based codes (null stays null)."""
     out = out or f"{col}_encoded"
-    vals = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if not _at_most(vals, MAX_CATEGORIES):
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories")
-    codes = vals.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(out))
-    return df.join(broadcast_if_bounded(codes, MAX_CATEGORIES), on=col, how="left") \
+    values = values if values is not None else category_values(df, col)
+    if len(values) <= INLINE_DICT_MAX:
+        codes = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
+        return df.withColumn(out, codes[F.col(col).cast("string")])
+    dic = df.sparkSession.createDataFrame(list(enumerate(values)), f"{out} int, {col} string")
+    return df.join(broadcast_if_bounded(dic, MAX_CATEGORIES), on=col, how="left") \
         .select(*df.columns, out)
 
 
-def _at_most(df: DataFrame, n: int) -> bool:
-    return df.limit(n + 1).count() <= n
-
-
 def encode_categoricals(df: DataFrame):
     """Carrier one-hot, airport and season label codes.
 
     Returns (encoded frame, {column: sorted classes})."""
-    carriers = category_values(df, "carrier_code")
-    enc = onehot(df, "carrier_code", "carrier", carriers)
-    enc = label_encode(enc, "origin_airport", "origin_airport_encoded")
-    enc = label_encode(enc, "season", "season_encoded")
-    return enc, {"carrier_code": carriers}
+    dicts = category_dictionaries(df, ["carrier_code", "origin_airport", "season"])
+    enc = onehot(df, "carrier_code", "carrier", dicts["carrier_code"])
+    enc = label_encode(enc, "origin_airport", "origin_airport_encoded", dicts["origin_airport"])
+    enc = label_encode(enc, "season", "season_encoded", dicts["season"])
+    return enc, dicts
 
 
 def select_features(df: DataFrame, exclude: list[str] = S.FEATURE_EXCLUDE) -> list[str]:

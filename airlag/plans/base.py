@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from airlag.operators import cleaning as CL
 from airlag.operators import features as FE
 from airlag.plans.preprocess import preprocess
+from airlag.session import cut_lineage
 from airlag.sources.driver_tables import flights_raw
 
 
@@ -23,11 +24,13 @@ def valid(spark, sf) -> DataFrame:
 
 
 def clean(spark, sf) -> DataFrame:
-    return preprocess(raw(spark, sf))
+    """The cleaned stage, materialised once (reliable checkpoint) so that the
+    statistics and dictionary jobs downstream do not redo join + dedup."""
+    return cut_lineage(preprocess(raw(spark, sf)))
 
 
 def clean_regression(spark, sf) -> DataFrame:
-    return preprocess(raw(spark, sf), regression=True)
+    return cut_lineage(preprocess(raw(spark, sf), regression=True))
 
 
 def featured(spark, sf) -> DataFrame:
