@@ -35,19 +35,43 @@ def _wide_to_long(row: DataFrame, cols: list[str], stats: list[str],
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+
+
+# ----------------------------------------------------------- null patterns
+
+def null_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(mask, n_rows): one row per distinct pattern of null columns, bit i set
+    when ``cols[i]`` is null.  Every null report derives from this table: the
+    input is read once, partial aggregation collapses it to a few patterns per
+    task, and the result has at most a few thousand rows in practice."""
+    cols = cols or df.columns
+    if len(cols) > 62:
+        raise ValueError("null_patterns supports up to 62 columns")
+    mask = reduce(lambda a, b: a + b,  # disjoint bits: + is OR
+                  [F.shiftleft(F.col(c).isNull().cast("long"), i) for i, c in enumerate(cols)])
+    return df.select(mask.alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _bit(i: int) -> Column:
+    return F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1
+
 # ------------------------------------------------------------ column level
 
 def column_profile(df: DataFrame) -> DataFrame:
     """column, dtype, non_null, n_null, null_pct (of all rows)."""
     cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias(N), *[F.count(F.col(c)).alias(f"nn__{c}") for c in cols])
+    pats = null_patterns(df, cols)
+    row = pats.agg(F.sum("n_rows").alias(N),
+                   *[F.sum(F.when(_bit(i), F.col("n_rows")).otherwise(0)).alias(f"nul__{c}")
+                     for i, c in enumerate(cols)])
     dtypes = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    long = _wide_to_long(row.withColumns({f"n__{c}": F.col(N) for c in cols}), cols, ["nn", "n"])
+    long = _wide_to_long(row.withColumns({f"n__{c}": F.col(N) for c in cols}), cols, ["nul", "n"])
     types = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
     return long.select(
         "column", types[F.col("column")].alias("dtype"),
-        F.col("nn").alias("non_null"), (F.col("n") - F.col("nn")).alias("n_null"),
-        r6((F.col("n") - F.col("nn")) * 100.0 / F.col("n")).alias("null_pct"))
+        (F.col("n") - F.col("nul")).cast("long").alias("non_null"),
+        F.col("nul").cast("long").alias("n_null"),
+        r6(F.col("nul") * 100.0 / F.col("n")).alias("null_pct"))
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
@@ -82,24 +106,27 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 def missing_per_row_hist(df: DataFrame) -> DataFrame:
     """Distribution of nulls per row; pct of rows (0 nulls = complete rows)."""
-    per_row = df.select(null_count(df.columns).alias("n_missing"))
-    counts = per_row.groupBy("n_missing").agg(F.count(F.lit(1)).alias("n_rows"))
+    pats = null_patterns(df)
+    counts = pats.groupBy(F.bit_count("mask").cast("int").alias("n_missing")).agg(
+        F.sum("n_rows").alias("n_rows"))
     total = counts.agg(F.sum("n_rows").alias("_t"))   # one row
     return counts.crossJoin(total).select(
-        "n_missing", "n_rows", r6(F.col("n_rows") * 100.0 / F.col("_t")).alias("pct_rows"))
+        "n_missing", F.col("n_rows").cast("long").alias("n_rows"),
+        r6(F.col("n_rows") * 100.0 / F.col("_t")).alias("pct_rows"))
 
 
 def missing_cooccurrence(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Rows where both columns are null, for every column pair (a before b), > 0."""
     cols = cols or df.columns
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, n_both_null long")
-    row = df.agg(*[F.count_if(F.col(a).isNull() & F.col(b).isNull()).alias(f"n__{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        F.col(f"n__{i}").alias("n_both_null")) for i, (a, b) in enumerate(pairs)]
-    return (row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    pats = null_patterns(df, cols)
+    structs = [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                        F.when(_bit(i) & _bit(j), F.col("n_rows")).otherwise(0).alias("n"))
+               for i, j in pairs]
+    long = pats.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+    return (long.groupBy("col_a", "col_b").agg(F.sum("n").cast("long").alias("n_both_null"))
             .where(F.col("n_both_null") > 0))
 
 
@@ -177,9 +204,11 @@ def quality_report(df: DataFrame) -> DataFrame:
     """One row: duplicates, columns with nulls, constant columns (one distinct
     non-null value, i.e. min = max), and column counts by type."""
     cols = df.columns
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"nul__{c}") for c in cols],
+    row = df.agg(F.bit_or(reduce(lambda a, b: a + b, [
+                     F.shiftleft(F.col(c).isNull().cast("long"), i) for i, c in enumerate(cols)]))
+                 .alias("_any_null"),
                  *[(F.min(c) == F.max(c)).alias(f"const__{c}") for c in cols])
-    n_null_cols = reduce(lambda a, b: a + b, [(F.col(f"nul__{c}") > 0).cast("int") for c in cols])
+    n_null_cols = F.bit_count("_any_null").cast("int")
     n_const = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"const__{c}"), F.lit(False)).cast("int")
                                           for c in cols])
     types = [f.dataType for f in df.schema.fields]

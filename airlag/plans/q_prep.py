@@ -316,3 +316,14 @@ def q_preprocess(spark, sf):
 @query("preprocess_regression", W(Q.CLEAN_REGRESSION) + "SELECT * FROM clean")
 def q_preprocess_regression(spark, sf):
     return B.clean_regression(spark, sf)
+
+
+@query("stream_ingest_monthly", W(Q.RAW) + "SELECT * FROM raw")
+def q_stream_ingest_monthly(spark, sf):
+    """Monthly files -> Structured Streaming (available-now trigger) ->
+    Parquet stage; the stage equals the raw records."""
+    from airlag.streaming.monthly_ingest import ingest_until_caught_up
+    src = CSV.scratch_path(spark, "monthly_drop")
+    CSV.write_monthly_csv(B.raw(spark, sf), src)
+    return ingest_until_caught_up(spark, src, CSV.scratch_path(spark, "stream_stage"),
+                                  CSV.scratch_path(spark, "stream_ckpt"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the session's checkpoint
+    folder and return a scan of it.
 
-    Used before iterative work (model fitting, repeated passes) so that a lost
-    executor recomputes from the checkpoint, not from the raw scan.
+    Used before iterative work (model fitting, repeated passes) so that later
+    jobs, and any recomputation after a lost executor, start from the written
+    table, not from the raw scan, join and de-duplication.  Unlike
+    ``DataFrame.checkpoint`` (an RDD checkpoint that evaluates the plan twice
+    unless cached) this computes the plan once, and the re-read table keeps
+    column pruning and predicate pushdown.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -47,9 +47,12 @@ def _hhmm(hours: Column, minutes: Column) -> Column:
 
 def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw on-time records (17 columns, date as an M/D/Y string)."""
+    # Hash-partition the fact side on the join key: for big inputs this is the
+    # exchange the lineitem-orders sort-merge join needs anyway (the planner
+    # reuses it), and it spreads a few large files over every core.
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_returnflag", "l_shipdate")
+        "l_returnflag", "l_shipdate").repartition("l_orderkey")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderdate", "o_orderpriority")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
