@@ -379,3 +379,44 @@ def recent_window_rows(df: DataFrame, days: int = 30, date_col: str = "flight_da
             .groupBy("max_date", "n_total").agg(F.count(F.lit(1)).alias("n_recent"))
             .select("n_recent", "n_total", r6(F.col("n_recent") * 100.0 / F.col("n_total"))
                     .alias("pct_recent"), "max_date"))
+
+
+# ------------------------------------------------------------ stage reports
+
+def preprocessing_summary(raw: DataFrame, clean: DataFrame, date_col: str = "flight_date") -> DataFrame:
+    """One row: rows before/after, removed, columns, remaining nulls,
+    duplicates left, unknown tails, date range, carriers, airports, delayed
+    and on-time counts (two one-row aggregates joined)."""
+    r = raw.agg(F.count(F.lit(1)).alias("rows_raw"))
+    cols = clean.columns
+    c = clean.agg(
+        F.count(F.lit(1)).alias("rows_clean"),
+        reduce(lambda a, b: a + b, [F.count_if(F.col(x).isNull()) for x in cols]).alias("missing_values"),
+        F.count_if(F.col("tail_number") == "Unknown").alias("unknown_tails"),
+        F.min(date_col).alias("date_min"), F.max(date_col).alias("date_max"),
+        F.count_distinct("carrier_code").alias("n_carriers"),
+        F.count_distinct("origin_airport").alias("n_airports"),
+        F.count_if(F.col(S.TARGET_DELAY) > 15).alias("n_delayed"),
+        F.count_if(F.col(S.TARGET_DELAY) <= 15).alias("n_on_time"))
+    d = count_duplicates(clean).select(F.col("n_duplicates").alias("duplicates_left"))
+    return (r.crossJoin(c).crossJoin(d)
+            .withColumn("rows_removed", F.col("rows_raw") - F.col("rows_clean"))
+            .withColumn("n_columns", F.lit(len(cols))))
+
+
+def cleaning_checks(raw: DataFrame, valid: DataFrame, clean: DataFrame) -> DataFrame:
+    """Invalid rows removed, Unknown-tail share, remaining nulls outside the
+    time-string columns, duplicates left; ``passed`` when the last two are 0."""
+    non_time = [c for c in clean.columns if c not in S.TIME_STRING_COLS]
+    r = raw.agg(F.count(F.lit(1)).alias("_raw"))
+    v = valid.agg(F.count(F.lit(1)).alias("_valid"))
+    c = clean.agg(
+        F.count(F.lit(1)).alias("_clean"),
+        r6(F.avg((F.col("tail_number") == "Unknown").cast("double")) * 100).alias("unknown_tail_pct"),
+        reduce(lambda a, b: a + b, [F.count_if(F.col(x).isNull()) for x in non_time])
+        .alias("remaining_nulls"))
+    d = count_duplicates(clean).select(F.col("n_duplicates").alias("duplicates_left"))
+    out = r.crossJoin(v).crossJoin(c).crossJoin(d)
+    return out.select((F.col("_raw") - F.col("_valid")).alias("invalid_removed"),
+                      "unknown_tail_pct", "remaining_nulls", "duplicates_left",
+                      ((F.col("remaining_nulls") == 0) & (F.col("duplicates_left") == 0)).alias("passed"))

@@ -274,3 +274,13 @@ def q_write_json_report(spark, sf):
     path = scratch_path(spark, "report")
     SK.write_json_report(rep, path)
     return spark.read.json(path)
+
+
+@query("smote_oversample")
+def q_smote_oversample(spark, sf):
+    """Training rows of the engineered table plus SMOTE rows for the minority
+    class, up to the majority size."""
+    from airlag.operators.smote import smote_oversample
+    e = split_random(B.engineered_keyed(spark, sf)).where(F.col("split") == "train")
+    e = e.select("row_key", *FEATS, "is_delayed")
+    return smote_oversample(e, "is_delayed", FEATS, "row_key", k=5)

@@ -285,3 +285,32 @@ def q_distribution_compare(spark, sf):
   {r6('skewness(arr_delay_min)')} AS skewness, {r6('kurtosis(arr_delay_min)')} AS kurtosis FROM clean""")
 def q_shape_moments(spark, sf):
     return P.shape_moments(B.clean_regression(spark, sf), "arr_delay_min")
+
+
+_DUP = f"(SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM clean GROUP BY {', '.join(DATED_TYPES)}))"
+_NULLS_ALL = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in DATED_TYPES)
+
+
+@query("preprocessing_summary", W(Q.CLEAN) + f"""SELECT (SELECT count(*) FROM raw) AS rows_raw, count(*) AS rows_clean,
+  CAST({_NULLS_ALL} AS BIGINT) AS missing_values,
+  count(*) FILTER (WHERE tail_number = 'Unknown') AS unknown_tails,
+  min(flight_date) AS date_min, max(flight_date) AS date_max,
+  count(DISTINCT carrier_code) AS n_carriers, count(DISTINCT origin_airport) AS n_airports,
+  count(*) FILTER (WHERE arr_delay_min > 15) AS n_delayed, count(*) FILTER (WHERE arr_delay_min <= 15) AS n_on_time,
+  {_DUP} AS duplicates_left, (SELECT count(*) FROM raw) - count(*) AS rows_removed, 17 AS n_columns
+  FROM clean""")
+def q_preprocessing_summary(spark, sf):
+    return P.preprocessing_summary(B.raw(spark, sf), B.clean(spark, sf))
+
+
+_NONTIME = [c for c in DATED_TYPES if c not in ("sched_arr_time", "actual_arr_time", "wheels_on_time")]
+
+
+@query("cleaning_checks", W(Q.CLEAN) + f"""SELECT (SELECT count(*) FROM raw) - (SELECT count(*) FROM valid) AS invalid_removed,
+  {r6("avg(CAST(tail_number = 'Unknown' AS DOUBLE)) * 100")} AS unknown_tail_pct,
+  CAST({" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _NONTIME)} AS BIGINT) AS remaining_nulls,
+  {_DUP} AS duplicates_left,
+  (CAST({" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _NONTIME)} AS BIGINT) = 0 AND {_DUP} = 0) AS passed
+  FROM clean""")
+def q_cleaning_checks(spark, sf):
+    return P.cleaning_checks(B.raw(spark, sf), B.valid(spark, sf), B.clean(spark, sf))
