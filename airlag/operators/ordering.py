@@ -82,3 +82,29 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
     return [c for c in after.columns if c not in set(before.columns)]
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    """Linear-interpolation quantiles (numpy 'linear' / SQL quantile_cont),
+    exact and without a single-task value map: value counts -> distributed
+    prefix sum -> the (at most 2 per probability) rows holding the needed
+    ranks.  Only those rows reach the driver."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    cum = cumulative_sums(counts, col, ["_n"])
+    total = counts.agg(F.sum("_n")).first()[0]
+    if not total:
+        return [None for _ in probs]
+    ranks = sorted({int((total - 1) * p) for p in probs}
+                   | {min(total - 1, int((total - 1) * p) + 1) for p in probs})
+    rk = df.sparkSession.createDataFrame([(r,) for r in ranks], "_r long")
+    hit = cum.crossJoin(F.broadcast(rk)).where(
+        (F.col("cum__n") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("cum__n")))
+    at = {r["_r"]: float(r[col]) for r in hit.select("_r", col).collect()}
+    out = []
+    for p in probs:
+        h = (total - 1) * p
+        lo = int(h)
+        hi = min(lo + 1, total - 1)
+        frac = h - lo
+        out.append(at[lo] + (at[hi] - at[lo]) * frac if frac else at[lo])
+    return out

@@ -79,15 +79,28 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear interpolation), max."""
+    """count, mean, sample std, min, quartiles (linear interpolation), max.
+
+    Integral columns use the built-in exact ``percentile`` (a bounded value
+    map); fractional columns use ``exact_quantiles`` (distributed prefix sum),
+    so no task ever holds all distinct values of a continuous column."""
+    from airlag.operators.ordering import exact_quantiles
     cols = cols or numeric_columns(df)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    integral = [c for c in cols if isinstance(types[c], T.IntegralType)]
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                  F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q__{c}"), F.max(x).alias(f"max__{c}")]
+                 F.max(x).alias(f"max__{c}")]
+        if c in integral:
+            aggs.append(F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q__{c}"))
     row = df.agg(*aggs)
+    for c in cols:
+        if c not in integral:
+            qs = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+            row = row.withColumn(f"q__{c}", F.array(*[F.lit(q).cast("double") for q in qs]))
     row = row.withColumns({**{f"p25__{c}": F.col(f"q__{c}")[0] for c in cols},
                            **{f"p50__{c}": F.col(f"q__{c}")[1] for c in cols},
                            **{f"p75__{c}": F.col(f"q__{c}")[2] for c in cols}})

@@ -9,8 +9,8 @@ How it stays distributed:
 1. Copies are collapsed first: ``groupBy(all columns)`` with a multiplicity
    ``_m`` (map-side partial aggregation, so a row copied a billion times costs
    nothing extra to shuffle).
-2. Distinct rows are spread over ``2^bits`` hash buckets per group (``bits``
-   grows with the data so a bucket holds ~``rows_per_bucket`` rows).  A small
+2. Distinct rows are spread over ``2^bits`` hash buckets per group (16 per
+   shuffle partition, so buckets shrink as a job is sized up).  A small
    table of per-(group, bucket) totals gives each bucket its offset; it is
    size-checked before it is broadcast.
 3. Inside a bucket a window orders rows by (hash, key) and accumulates ``_m``.
@@ -36,10 +36,13 @@ from airlag.operators.joins import broadcast_if_bounded
 OFFSET_BROADCAST_ROWS = 4_000_000
 
 
-def _bits_for(n_rows: int, rows_per_bucket: int) -> int:
-    if n_rows <= rows_per_bucket:
-        return 0
-    return min(32, math.ceil(math.log2(n_rows / rows_per_bucket)))
+def _bits_for(spark, buckets_per_partition: int = 16) -> int:
+    """Hash buckets per group: 16 per shuffle partition (rounded up to a power
+    of two).  ``spark.sql.shuffle.partitions`` is what a job sizes to its data,
+    so a bucket stays a small fraction of one task's share without an extra
+    counting pass over the input."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(24, max(0, math.ceil(math.log2(max(1, parts * buckets_per_partition)))))
 
 
 def collapse_copies(df: DataFrame) -> DataFrame:
@@ -47,11 +50,10 @@ def collapse_copies(df: DataFrame) -> DataFrame:
 
 
 def hash_rank_distinct(g: DataFrame, group_cols: list[str], key_col: str, seed: int = 42,
-                       rows_per_bucket: int = 200_000) -> DataFrame:
+                       buckets_per_partition: int = 16) -> DataFrame:
     """``g`` holds distinct rows with multiplicity ``_m``.  Adds ``_end``
     (rank of the row's last copy), ``_start`` and the group size ``_n``."""
-    n_distinct = g.count()
-    bits = _bits_for(n_distinct, rows_per_bucket)
+    bits = _bits_for(g.sparkSession, buckets_per_partition)
     g = g.withColumn("_h", hash32(key_col, seed))
     g = g.withColumn("_b", F.shiftright(F.col("_h"), 32 - bits) if bits else F.lit(0).cast("long"))
     totals = g.groupBy(*group_cols, "_b").agg(F.sum("_m").alias("_bm"))
@@ -93,8 +95,8 @@ def expand_copies(g: DataFrame, chunk: int = 100_000) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int = 42,
-              rows_per_bucket: int = 200_000) -> DataFrame:
+              buckets_per_partition: int = 16) -> DataFrame:
     """Every row of ``df`` with ``_rank`` (1-based, within its group in
     (hash, key) order) and the group size ``_n``."""
-    g = hash_rank_distinct(collapse_copies(df), group_cols, key_col, seed, rows_per_bucket)
+    g = hash_rank_distinct(collapse_copies(df), group_cols, key_col, seed, buckets_per_partition)
     return expand_copies(g).drop("_m", "_start", "_end")

@@ -155,9 +155,10 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
                 yield pd.DataFrame({"g": [acc.tobytes()], "loss": [tot_loss], "n": [tot_w]})
         parts = sub.mapInPandas(grad_fn, "g binary, loss double, n double").rdd.map(
             lambda r: (np.frombuffer(r["g"], dtype=np.float64), r["loss"], r["n"]))
-        if parts.isEmpty():
+        try:
+            return parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
+        except ValueError:  # no rows in this batch
             return None
-        return parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
 
     best, best_loss, bad, history = [p.copy() for p in params], np.inf, 0, []
     for epoch in range(max_epochs):

@@ -327,3 +327,13 @@ def q_stream_ingest_monthly(spark, sf):
     CSV.write_monthly_csv(B.raw(spark, sf), src)
     return ingest_until_caught_up(spark, src, CSV.scratch_path(spark, "stream_stage"),
                                   CSV.scratch_path(spark, "stream_ckpt"))
+
+
+@query("detect_date_column", W(Q.DATED) + """SELECT 'flight_date' AS date_column, count(flight_date) AS n_dates,
+  min(flight_date) AS min_date, max(flight_date) AS max_date FROM dated""")
+def q_detect_date_column(spark, sf):
+    """The first present date-column candidate, with its coverage."""
+    df = B.dated(spark, sf)
+    col = CL.detect_date_column(df)
+    return df.agg(F.lit(col).alias("date_column"), F.count(col).alias("n_dates"),
+                  F.min(col).alias("min_date"), F.max(col).alias("max_date"))

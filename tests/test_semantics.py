@@ -150,10 +150,10 @@ def test_hash_rank_with_a_hot_copied_row(spark):
     hot = [("hot", 1)] * 3000
     rest = [(f"k{i}", i % 2) for i in range(6000)]
     df = spark.createDataFrame(hot + rest, "key string, g int")
-    r = hash_rank(df, ["g"], "key", rows_per_bucket=500)
+    r = hash_rank(df, ["g"], "key", buckets_per_partition=32)
     # force the heavy path with a small chunk
     from airlag.operators import ranking as R
-    g = R.hash_rank_distinct(R.collapse_copies(df), ["g"], "key", rows_per_bucket=500)
+    g = R.hash_rank_distinct(R.collapse_copies(df), ["g"], "key", buckets_per_partition=32)
     heavy = R.expand_copies(g, chunk=700).drop("_m", "_start", "_end")
     for frame in (r, heavy):
         pdf = frame.toPandas()
@@ -180,3 +180,14 @@ def test_shape_moments_bias_corrected(spark):
     s = pd.Series(vals)
     assert math.isclose(r.skewness, round(s.skew(), 6), abs_tol=1e-6)
     assert math.isclose(r.kurtosis, round(s.kurt(), 6), abs_tol=1e-6)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from airlag.operators.ordering import exact_quantiles
+    rng = random.Random(2)
+    vals = [rng.gauss(0, 1) for _ in range(2001)] + [0.5] * 300
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0])
+    want = np.quantile(np.array(vals), [0.0, 0.25, 0.5, 0.75, 0.9, 1.0])
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
