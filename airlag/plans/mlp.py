@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airlag.functions.hashing import hash_bucket
-from airlag.session import cut_lineage
+from airlag.session import cut_lineage, ship_package
 
 
 def _init(sizes, seed):
@@ -86,6 +86,7 @@ class MLPModel:
 
     def transform(self, df: DataFrame, features_col: str = "x") -> DataFrame:
         params, task = self.params, self.task
+        ship_package(df.sparkSession)
 
         @F.pandas_udf(T.DoubleType())
         def _predict(xs: pd.Series) -> pd.Series:
@@ -133,6 +134,7 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
         hash_bucket(key_col, seed + 1, batches).cast("int").alias("mb"),
         (hash_bucket(key_col, seed + 2) < int(val_frac * 10000)).alias("val"))
     frame = cut_lineage(frame)
+    ship_package(df.sparkSession)
     params = _init([len(feature_cols), *hidden, 1], seed)
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]

@@ -27,7 +27,7 @@ H42 = H.format(seed=42)
 
 KEYED = Q.CLEAN + [f"keyed AS (SELECT *, {_KEY} AS row_key FROM clean)"]
 _feat = Q.FEATURES[-1].replace("FROM clean)", "FROM keyed)")
-ENG_KEYED = KEYED + [_feat] + [c for c in ENGINEERED_CTE[len(Q.FEATURES):-1]] + [
+ENG_KEYED = KEYED + [_feat] + ENGINEERED_CTE[len(Q.FEATURES):-1] + [
     ENGINEERED_CTE[-1].replace("eng AS (SELECT ", "eng AS (SELECT row_key, ")]
 _X = ("((sched_elapsed_min - 180) + 40 * is_weekend + 25 * is_holiday_period - 15 * season_encoded"
       " + 7 * origin_airport_encoded + 20 * carrier_UR - 10 * carrier_LO)")
@@ -64,7 +64,7 @@ def q_histogram(spark, sf):
 SELECT g.y, g.bin, round(0.0 + g.bin * 0.05, 6) AS bin_lo, round(0.0 + (g.bin + 1) * 0.05, 6) AS bin_hi,
   coalesce(n, 0) AS n
 FROM (SELECT CAST(range AS INTEGER) AS bin, y FROM range(20), (SELECT DISTINCT y FROM scored)) g
-LEFT JOIN _c USING (y, bin)""".replace("WITH", "WITH", 1))
+LEFT JOIN _c USING (y, bin)""")
 def q_grouped_histogram(spark, sf):
     return PD.histogram(B.scored(spark, sf), "score", bins=20, lo=0.0, hi=1.0, by="y")
 

@@ -265,13 +265,8 @@ def q_class_balance(spark, sf):
 
 _MOM = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
         "max": "max({c})", "median": "quantile_cont({c}, 0.5)"}
-_CLEAN_A = Q.CLEAN
-_CLEAN_B = [c.replace("clean AS (", "clean_b AS (", 1).replace("FROM _clean0", "FROM _clean0")
-            for c in Q.CLEAN_REGRESSION[len(Q.CLEAN) - 1:]]
-
-
 @query("distribution_compare", W(Q.CLEAN + [
-    Q.CLEAN_REGRESSION[-2].replace("_clean0 AS (", "_clean0 AS (", 1),
+    Q.CLEAN_REGRESSION[-2],
     "clean_b AS (SELECT * FROM _clean0 WHERE arr_delay_min BETWEEN -60 AND 300)"]) + _union([
     f"SELECT '{s}' AS stat, {r6('(SELECT ' + e.format(c='arr_delay_min') + ' FROM clean)')} AS a, "
     f"{r6('(SELECT ' + e.format(c='arr_delay_min') + ' FROM clean_b)')} AS b, "

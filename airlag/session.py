@@ -67,3 +67,32 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``airlag`` importable in executor Python workers (needed by the
+    operators that run NumPy inside tasks): zip the package into the
+    checkpoint folder once per application and ``addPyFile`` it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import airlag
+    pkg = os.path.dirname(os.path.abspath(airlag.__file__))
+    root = os.path.dirname(pkg)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pkg-{uuid.uuid4().hex[:8]}"
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+    os.makedirs(local, exist_ok=True)
+    zpath = os.path.join(local, "airlag.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
