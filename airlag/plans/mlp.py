@@ -84,21 +84,20 @@ class MLPModel:
         self.params, self.task, self.feature_cols = params, task, feature_cols
         self.history = history or []
 
-    def transform(self, df: DataFrame, features_col: str = "x") -> DataFrame:
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``p1`` and ``prediction`` (classification) or ``prediction``."""
         params, task = self.params, self.task
         ship_package(df.sparkSession)
 
         @F.pandas_udf(T.DoubleType())
-        def _predict(xs: pd.Series) -> pd.Series:
-            x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, params[0].shape[0]))
+        def _predict(*cols: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
             out = _forward(params, x)[-1][:, 0]
             if task == "classification":
                 out = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
             return pd.Series(out)
 
-        src = df if features_col in df.columns else df.withColumn(
-            features_col, F.array(*[F.col(c).cast("double") for c in self.feature_cols]))
-        out = src.withColumn("_out", _predict(F.col(features_col)))
+        out = df.withColumn("_out", _predict(*[F.col(c).cast("double") for c in self.feature_cols]))
         if task == "classification":
             return out.withColumnRenamed("_out", "p1").withColumn(
                 "prediction", (F.col("p1") > 0.5).cast("double"))
@@ -127,8 +126,9 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
               max_epochs: int = 30, batches: int = 4, val_frac: float = 0.1, patience: int = 10,
               tol: float = 1e-4, weight_col: str | None = None, key_col: str = "row_key",
               seed: int = 42) -> MLPModel:
+    xcols = [f"_x{i}" for i in range(len(feature_cols))]
     frame = df.select(
-        F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"),
+        *[F.col(c).cast("double").alias(x) for c, x in zip(feature_cols, xcols)],
         F.col(label).cast("double").alias("y"),
         (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"),
         hash_bucket(key_col, seed + 1, batches).cast("int").alias("mb"),
@@ -147,7 +147,7 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
             for pdf in it:
                 if len(pdf) == 0:
                     continue
-                x = np.stack(pdf["x"].to_numpy())
+                x = pdf[xcols].to_numpy(dtype=np.float64)
                 loss, grads = _loss_grad(params_now, x, pdf["y"].to_numpy(), pdf["w"].to_numpy(), task)
                 g = _pack(grads)
                 acc = g if acc is None else acc + g
