@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows, so the check costs the same on a
-    small dimension and on a huge table.
+    ``take`` scans partitions incrementally and stops as soon as
+    ``max_rows + 1`` rows are seen (a ``limit(..).count()`` would run a local
+    limit in every partition), and only a constant column is fetched, so the
+    check costs O(max_rows) on a small dimension and on a huge table alike.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:

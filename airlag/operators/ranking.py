@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from airlag.functions.hashing import hash32
 from airlag.operators.joins import broadcast_if_bounded
 
-OFFSET_BROADCAST_ROWS = 4_000_000
+OFFSET_BROADCAST_ROWS = 1_000_000
 
 
 def _bits_for(spark, buckets_per_partition: int = 16) -> int:

@@ -141,51 +141,77 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
     b1, b2, eps = 0.9, 0.999, 1e-8
     step = 0
 
+    n_parts = frame.rdd.getNumPartitions()
+
     def job(sub: DataFrame, params_now):
+        """One pass: summed gradient and loss of the training rows, and the
+        loss of the validation rows, under ``params_now``."""
         def grad_fn(it):
-            tot_loss, tot_w, acc = 0.0, 0.0, None
+            acc, tr_loss, tr_w, va_loss, va_w = None, 0.0, 0.0, 0.0, 0.0
             for pdf in it:
                 if len(pdf) == 0:
                     continue
+                is_val = pdf["val"].to_numpy(dtype=bool)
                 x = pdf[xcols].to_numpy(dtype=np.float64)
-                loss, grads = _loss_grad(params_now, x, pdf["y"].to_numpy(), pdf["w"].to_numpy(), task)
-                g = _pack(grads)
-                acc = g if acc is None else acc + g
-                tot_loss += loss
-                tot_w += float(pdf["w"].sum())
-            if acc is not None:
-                yield pd.DataFrame({"g": [acc.tobytes()], "loss": [tot_loss], "n": [tot_w]})
-        parts = sub.mapInPandas(grad_fn, "g binary, loss double, n double").rdd.map(
-            lambda r: (np.frombuffer(r["g"], dtype=np.float64), r["loss"], r["n"]))
-        try:
-            return parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth=2)
-        except ValueError:  # no rows in this batch
+                y, w = pdf["y"].to_numpy(), pdf["w"].to_numpy()
+                if (~is_val).any():
+                    loss, grads = _loss_grad(params_now, x[~is_val], y[~is_val], w[~is_val], task)
+                    g = _pack(grads)
+                    acc = g if acc is None else acc + g
+                    tr_loss += loss
+                    tr_w += float(w[~is_val].sum())
+                if is_val.any():
+                    vloss, _ = _loss_grad(params_now, x[is_val], y[is_val], w[is_val], task)
+                    va_loss += vloss
+                    va_w += float(w[is_val].sum())
+            if acc is None:
+                acc = np.zeros(sum(p.size for p in params_now))
+            yield pd.DataFrame({"g": [acc.tobytes()], "loss": [tr_loss], "n": [tr_w],
+                                "vloss": [va_loss], "vn": [va_w]})
+        parts = sub.mapInPandas(grad_fn, "g binary, loss double, n double, vloss double, vn double") \
+            .rdd.map(lambda r: (np.frombuffer(r["g"], dtype=np.float64), r["loss"], r["n"],
+                                r["vloss"], r["vn"]))
+        add = lambda a, b: tuple(u + v for u, v in zip(a, b))
+        try:  # a tree level only pays off with many partitions
+            return parts.treeReduce(add, depth=2 if n_parts > 64 else 1)
+        except ValueError:  # no partitions
             return None
 
+    def adam_step(g_vec, n):
+        nonlocal step
+        grads = _unpack(g_vec / max(n, 1.0), params)
+        for i in range(0, len(params), 2):  # L2 on weight matrices
+            grads[i] = grads[i] + alpha * params[i] / max(n, 1.0)
+        step += 1
+        for i, g in enumerate(grads):
+            m[i] = b1 * m[i] + (1 - b1) * g
+            v[i] = b2 * v[i] + (1 - b2) * g * g
+            params[i] = params[i] - learning_rate * (m[i] / (1 - b1 ** step)) / (
+                np.sqrt(v[i] / (1 - b2 ** step)) + eps)
+
     best, best_loss, bad, history = [p.copy() for p in params], np.inf, 0, []
-    for epoch in range(max_epochs):
+    train_rows = ~F.col("val")
+    for epoch in range(max_epochs + 1):
         for mb in range(batches):
-            res = job(frame.where((F.col("mb") == mb) & ~F.col("val")), params)
+            # the first job of an epoch also scores the hold-out under the
+            # weights the previous epoch ended with
+            cond = (F.col("mb") == mb) & train_rows
+            res = job(frame.where(cond | F.col("val")) if mb == 0 else frame.where(cond),
+                      [p.copy() for p in params])
             if res is None:
                 continue
-            g_vec, _, n = res
-            grads = _unpack(g_vec / max(n, 1.0), params)
-            for i in range(0, len(params), 2):  # L2 on weight matrices
-                grads[i] = grads[i] + alpha * params[i] / max(n, 1.0)
-            step += 1
-            for i, g in enumerate(grads):
-                m[i] = b1 * m[i] + (1 - b1) * g
-                v[i] = b2 * v[i] + (1 - b2) * g * g
-                mh = m[i] / (1 - b1 ** step)
-                vh = v[i] / (1 - b2 ** step)
-                params[i] = params[i] - learning_rate * mh / (np.sqrt(vh) + eps)
-        val = job(frame.where(F.col("val")), params)
-        val_loss = val[1] / max(val[2], 1.0) if val else np.inf
-        history.append(float(val_loss))
-        if val_loss < best_loss - tol:
-            best, best_loss, bad = [p.copy() for p in params], val_loss, 0
-        else:
-            bad += 1
-            if bad >= patience:
+            g_vec, _, n, vloss, vn = res
+            if mb == 0 and epoch > 0:
+                val_loss = vloss / max(vn, 1.0) if vn else np.inf
+                history.append(float(val_loss))
+                if val_loss < best_loss - tol:
+                    best, best_loss, bad = [p.copy() for p in params], val_loss, 0
+                else:
+                    bad += 1
+            if epoch == max_epochs or bad >= patience:
                 break
+            if n > 0:
+                adam_step(g_vec, n)
+        if epoch == max_epochs or bad >= patience:
+            break
     return MLPModel(best, task, feature_cols, history)
