@@ -87,7 +87,11 @@ def write_monthly_csv(raw: DataFrame, path: str, preamble_lines: int = 3) -> str
                               F.lit(" on-time data")).alias("value"), "y", "m")
     head = months.select(F.lit(header).alias("value"), "y", "m")
     out = pre.unionByName(head).unionByName(lines)
-    out.write.mode("overwrite").partitionBy("y", "m").text(path)
+    # cluster by month (+ a salt so one huge month still spreads over many
+    # tasks): a few files per month instead of one per month per task
+    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("value"), F.lit(max(1, parts // 8)))
+    out.repartition("y", "m", salt).write.mode("overwrite").partitionBy("y", "m").text(path)
     return path
 
 
