@@ -40,15 +40,21 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a local one only when unset."""
-    current = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    """Return the checkpoint folder the session names.  Only a session that
+    runs in one process (``local[...]``, as in tests) may leave it unset; it
+    then gets a temporary folder.  On a cluster a folder of one machine would
+    lose data, so an unset folder is an error there."""
+    sc = spark.sparkContext
+    current = spark.conf.get(_CKPT_KEY, None) or sc.getCheckpointDir()
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="airlag-ckpt-")
     spark.conf.set(_CKPT_KEY, local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
@@ -74,8 +80,9 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``airlag`` importable in executor Python workers (needed by the
-    operators that run NumPy inside tasks): zip the package into the
-    checkpoint folder once per application and ``addPyFile`` it."""
+    operators that run NumPy inside tasks).  The zip is built on the driver
+    and ``addPyFile`` serves it to every executor, also to those that join
+    later, so no shared folder is involved."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -84,13 +91,10 @@ def ship_package(spark: SparkSession) -> None:
     import airlag
     pkg = os.path.dirname(os.path.abspath(airlag.__file__))
     root = os.path.dirname(pkg)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pkg-{uuid.uuid4().hex[:8]}"
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-    os.makedirs(local, exist_ok=True)
-    zpath = os.path.join(local, "airlag.zip")
+    zpath = os.path.join(tempfile.mkdtemp(prefix="airlag-pkg-"), "airlag.zip")
     with zipfile.ZipFile(zpath, "w") as z:
         for dirpath, _, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
