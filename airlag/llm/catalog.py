@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from airlag.llm import mixing, sharding, url_filter
+from airlag.llm import mixing, packing, sharding, url_filter, warc
 
 QUERIES = {f.__name__: f for f in (
-    sharding.op2_shard_documents, mixing.op9_mix_documents, url_filter.op10_url_filter)}
+    packing.op1_pack_documents, sharding.op2_shard_documents, warc.op3_warc, mixing.op9_mix_documents,
+    url_filter.op10_url_filter)}
 
 ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}
