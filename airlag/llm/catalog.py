@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from airlag.llm import mixing, ngram_join, packing, sharding, url_filter, warc
+from airlag.llm import mixing, ngram_join, packing, sharding, substring_dedup, url_filter, warc
 
 QUERIES = {f.__name__: f for f in (
-    packing.op1_pack_documents, sharding.op2_shard_documents, warc.op3_warc, ngram_join.op6_ngram_jaccard, mixing.op9_mix_documents,
+    packing.op1_pack_documents, sharding.op2_shard_documents, warc.op3_warc,
+    substring_dedup.op4_substring_dedup, ngram_join.op6_ngram_jaccard, mixing.op9_mix_documents,
     url_filter.op10_url_filter)}
 
 ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlag.session import cut_lineage
+from airlag.session import ensure_checkpoint_dir
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -19,15 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
 _SCRATCH: dict[str, list[tuple[str, str]]] = {}
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and return a scan of it.
-    The folder is remembered, so that ``release`` can delete it."""
-    out = cut_lineage(df, name)
-    files = out.inputFiles()
-    if files:
-        _SCRATCH.setdefault(df.sparkSession.sparkContext.applicationId, []).append(
-            (name, files[0].rsplit("/", 1)[0]))
-    return out
+def scratch(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir`` and return a scan of it, so
+    that what follows starts from a stored table also after executors are
+    lost.  The folder is remembered for ``release``."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(folder)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append((name, folder))
+    return spark.read.parquet(folder)
 
 
 def release(spark: SparkSession, still_read: DataFrame | None = None) -> int:
@@ -36,11 +38,11 @@ def release(spark: SparkSession, still_read: DataFrame | None = None) -> int:
     the results of the earlier operators are stored.  Folders that
     ``still_read`` scans are kept."""
     app = spark.sparkContext.applicationId
-    used = {f.rsplit("/", 1)[0] for f in still_read.inputFiles()} if still_read is not None else set()
+    used = "\n".join(still_read.inputFiles()) if still_read is not None else ""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     kept, gone = [], 0
     for name, folder in _SCRATCH.get(app, []):
-        if folder in used:
+        if folder.rsplit("/", 1)[1] in used:
             kept.append((name, folder))
             continue
         path = jvm.org.apache.hadoop.fs.Path(folder)
