@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from airlag.llm import mixing, ngram_join, packing, sharding, substring_dedup, url_filter, warc
+import corpus_pipeline
+from airlag.llm import (
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+    url_filter,
+    vector_search,
+    warc,
+)
 
 QUERIES = {f.__name__: f for f in (
     packing.op1_pack_documents, sharding.op2_shard_documents, warc.op3_warc,
-    substring_dedup.op4_substring_dedup, ngram_join.op6_ngram_jaccard, mixing.op9_mix_documents,
-    url_filter.op10_url_filter)}
+    substring_dedup.op4_substring_dedup, quality_rules.op5_quality_rules,
+    ngram_join.op6_ngram_jaccard, vector_search.op7_top_k_search,
+    language_id.op8_language_id, mixing.op9_mix_documents, url_filter.op10_url_filter)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}
+ORACLE_SQL = {
+    "op7_top_k_search": vector_search.OP7_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
+}

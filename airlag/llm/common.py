@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
     return df.select(*cols) if cols else df
 
 
-_SCRATCH: dict[str, list[tuple[str, str]]] = {}
+#: Folders of scratch tables by application and owner.
+_SCRATCH: dict[tuple[str, str], list[str]] = {}
+_OWNER = ["operators"]
+
+
+@contextmanager
+def scratch_owner(name: str):
+    """Scratch tables made inside belong to ``name``."""
+    _OWNER.append(name)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
 def scratch(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -28,28 +41,24 @@ def scratch(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(folder)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append((name, folder))
+    _SCRATCH.setdefault((spark.sparkContext.applicationId, _OWNER[-1]), []).append(folder)
     return spark.read.parquet(folder)
 
 
-def release(spark: SparkSession, still_read: DataFrame | None = None) -> int:
-    """Delete the scratch tables of this application and return how many went.
-    Results that were not written yet still read theirs: call this only when
-    the results of the earlier operators are stored.  Folders that
-    ``still_read`` scans are kept."""
-    app = spark.sparkContext.applicationId
+def release(spark: SparkSession, owner: str = "operators", still_read: DataFrame | None = None) -> int:
+    """Delete the owner's scratch tables, other than those that ``still_read``
+    scans, and return how many went.  Results read their scratch tables until
+    they are written: call this once the owner's earlier results are stored."""
+    key = (spark.sparkContext.applicationId, owner)
     used = "\n".join(still_read.inputFiles()) if still_read is not None else ""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    kept, gone = [], 0
-    for name, folder in _SCRATCH.get(app, []):
-        if folder.rsplit("/", 1)[1] in used:
-            kept.append((name, folder))
-            continue
+    kept = [f for f in _SCRATCH.get(key, []) if f.rsplit("/", 1)[1] in used]
+    gone = [f for f in _SCRATCH.get(key, []) if f not in kept]
+    for folder in gone:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-        gone += 1
-    _SCRATCH[app] = kept
-    return gone
+    _SCRATCH[key] = kept
+    return len(gone)
 
 
 def n_words(text: Column) -> Column:
