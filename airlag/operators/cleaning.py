@@ -1,8 +1,8 @@
 """Cleaning operators: date canonicalisation, invalid rows, ranges,
 imputation, duplicates, type validation and IQR outliers.
 
-Statistics that a step needs (medians, modes, quartiles) are computed in one
-aggregate pass per step and applied as literals in a projection, so each step
+Statistics that a step needs (medians, modes, quartiles) are computed first
+(``exact_stats``) and applied as literals in a projection, so a step itself
 costs one scan plus, for de-duplication, one shuffle.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from airlag import schema as S
 from airlag.functions.nulls import null_count
+from airlag.operators.exact_stats import exact_quantiles_many, modes
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -71,7 +72,9 @@ def remove_invalid_rows(df: DataFrame, limit: int = S.INVALID_NULL_LIMIT) -> Dat
 
 def filter_date_range(df: DataFrame, start=None, end=None,
                       date_col: str | None = None) -> DataFrame:
-    """Inclusive range, each end optional; pushed down to the scan."""
+    """Inclusive range, each end optional.  On a stored stage, where the date
+    is a column of its own, the filter reaches the scan; before that it is
+    evaluated on the parsed date."""
     date_col = date_col or detect_date_column(df)
     if date_col is None:
         return df
@@ -91,43 +94,27 @@ def clip_target_range(df: DataFrame, target: str = S.TARGET_DELAY,
 
 # ---------------------------------------------------------------- imputation
 
-def _numeric_fill_stats(df: DataFrame, cols: list[str], strategy: str,
-                        exact: bool) -> list[Column]:
-    out = []
-    for c in cols:
-        out.append(F.count_if(F.col(c).isNull()).alias(f"n__{c}"))
-        if strategy == "median":
-            stat = (F.percentile(F.col(c), 0.5) if exact
-                    else F.percentile_approx(F.col(c), 0.5, 10000))
-        else:
-            stat = F.avg(F.col(c))
-        out.append(stat.cast("double").alias(f"v__{c}"))
-    return out
-
-
-def _categorical_fill_stats(df: DataFrame, cols: list[str]) -> list[Column]:
-    out = []
-    for c in cols:
-        out.append(F.count_if(F.col(c).isNull()).alias(f"n__{c}"))
-        if c != "tail_number":
-            out.append(F.mode(F.col(c), True).alias(f"v__{c}"))
-    return out
-
-
 def missing_value_plan(df: DataFrame, strategy: str = "median", exact: bool = True):
-    """One aggregate pass -> {column: fill value} for every column with nulls."""
+    """{column: fill value} for every numeric and string column with nulls.
+    One pass counts nulls (and takes means); medians and modes are computed for
+    the columns that hold nulls only."""
     num = numeric_columns(df) if strategy in ("median", "mean") else []
     cat = [c for c in string_columns(df) if not S.has_time_in_original_name(c)]
-    stats = _numeric_fill_stats(df, num, strategy, exact) + _categorical_fill_stats(df, cat)
-    if not stats:
+    if not num and not cat:
         return {}, {}
+    stats = [F.count_if(F.col(c).isNull()).alias(f"n__{c}") for c in num + cat]
+    if strategy == "mean":
+        stats += [F.avg(c).cast("double").alias(f"v__{c}") for c in num]
+    elif strategy == "median" and not exact:
+        stats += [F.percentile_approx(c, 0.5, 10000).cast("double").alias(f"v__{c}") for c in num]
     row = df.agg(*stats).first().asDict()
-    num_fill = {c: row[f"v__{c}"] for c in num if row[f"n__{c}"] > 0}
-    cat_fill = {}
-    for c in cat:
-        if row[f"n__{c}"] > 0:
-            value = "Unknown" if c == "tail_number" else row.get(f"v__{c}")
-            cat_fill[c] = "Unknown" if value is None else value
+    num, cat = [c for c in num if row[f"n__{c}"] > 0], [c for c in cat if row[f"n__{c}"] > 0]
+    if strategy == "median" and exact:
+        num_fill = {c: q[0] for c, q in exact_quantiles_many(df, num, [0.5]).items()}
+    else:
+        num_fill = {c: row[f"v__{c}"] for c in num}
+    mode = modes(df, [c for c in cat if c != "tail_number"])
+    cat_fill = {c: "Unknown" if mode.get(c) is None else mode[c] for c in cat}
     return num_fill, cat_fill
 
 
@@ -206,14 +193,15 @@ def validate_types(df: DataFrame, date_col: str | None = None) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
                exact: bool = True) -> dict[str, tuple[float, float]]:
-    """{column: (Q1 - k*IQR, Q3 + k*IQR)} from one aggregate pass (linear
-    interpolation quartiles; ``exact=False`` for continuous data at scale)."""
+    """{column: (Q1 - k*IQR, Q3 + k*IQR)}, linear interpolation quartiles of
+    all columns in one job (``exact=False``: one approximate aggregate)."""
     cols = cols if cols is not None else numeric_columns(df)
     if not cols:
         return {}
-    aggs = [(F.percentile(F.col(c), [0.25, 0.75]) if exact
-             else F.percentile_approx(F.col(c), [0.25, 0.75], 10000)).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+    if exact:
+        row = exact_quantiles_many(df, cols, [0.25, 0.75])
+    else:
+        row = df.agg(*[F.percentile_approx(F.col(c), [0.25, 0.75], 10000).alias(c) for c in cols]).first()
     out = {}
     for c in cols:
         q = row[c]

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlag import schema as S
 from airlag.functions import calendar as C
 from airlag.functions.targets import DELAY_THRESHOLD_MIN, is_delayed
-from airlag.operators.joins import broadcast_if_bounded
+from airlag.session import cut_lineage
 
-# Category dictionaries are collected/broadcast only up to this size.
-MAX_CATEGORIES = 100_000
-
-# --- fixed values: name fragments that define feature groups -----------------
-FEATURE_GROUP_RULES = [
-    ("delay", "Delay"),          # name contains 'Delay' / 'delay'
-    ("carrier", "carrier_"),
-    ("encoded", "_encoded"),
-]
+# --- fixed values: columns of the operational group --------------------------
 OPERATIONAL = ["sched_elapsed_min", "actual_elapsed_min", "taxi_in_min"]
 # ----------------------------------------------------------------------------
 
@@ -48,26 +40,10 @@ def basic_features(df: DataFrame, date_col: str = "flight_date",
     })
 
 
-def category_dictionaries(df: DataFrame, cols: list[str],
-                          max_values: int = MAX_CATEGORIES) -> dict[str, list]:
-    """Sorted distinct non-null values of several columns in ONE bounded job:
-    (column, value) pairs are de-duplicated (partial aggregation first) and at
-    most ``max_values + 1`` pairs are fetched, so an unbounded column fails
-    fast instead of flooding the driver."""
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols
-    ])).alias("p")).select("p.*").where(F.col("v").isNotNull()).distinct()
-    rows = pairs.limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} categories in {cols}")
-    out = {c: [] for c in cols}
-    for r in rows:
-        out[r["c"]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def category_values(df: DataFrame, col: str, max_values: int = MAX_CATEGORIES) -> list:
-    return category_dictionaries(df, [col], max_values)[col]
+def category_values(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct non-null values.  They become columns, so their number
+    is that of a schema's width; use ``label_encode`` for large domains."""
+    return sorted(r[0] for r in df.select(F.col(col).cast("string")).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def onehot(df: DataFrame, col: str, prefix: str, values: list | None = None) -> DataFrame:
@@ -78,33 +54,34 @@ def onehot(df: DataFrame, col: str, prefix: str, values: list | None = None) ->
     return df.withColumns(dummies).drop(col)
 
 
-# Dictionaries up to this size are inlined as a map literal (no join at all);
-# larger ones are joined (broadcast only after a size check).
-INLINE_DICT_MAX = 10_000
+def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """(col, out): dense 0-based codes of the distinct values in order, for any
+    number of values: stored in range order, a code is the value's place in its
+    range partition plus the partition's offset."""
+    values = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
+    stored = cut_lineage(values.repartitionByRange(col).withColumn("_part", F.spark_partition_id()), "codes")
+    run = Window.orderBy("_part")  # one row per range partition
+    before = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_m")).select(
+        "_part", (F.sum("_m").over(run) - F.col("_m")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(col)
+    return stored.join(F.broadcast(before), "_part").select(
+        col, (F.col("_before") + F.row_number().over(inside) - 1).cast("int").alias(out))
 
 
-def label_encode(df: DataFrame, col: str, out: str | None = None,
-                 values: list | None = None) -> DataFrame:
-    """Lexicographic 0-based codes (null stays null)."""
+def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """Lexicographic 0-based codes (null stays null), joined from the stored
+    dictionary; Spark broadcasts it if its files are small."""
     out = out or f"{col}_encoded"
-    values = values if values is not None else category_values(df, col)
-    if len(values) <= INLINE_DICT_MAX:
-        codes = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-        return df.withColumn(out, codes[F.col(col).cast("string")])
-    dic = df.sparkSession.createDataFrame(list(enumerate(values)), f"{out} int, {col} string")
-    return df.join(broadcast_if_bounded(dic, MAX_CATEGORIES), on=col, how="left") \
-        .select(*df.columns, out)
-
+    codes = label_codes(df, col, out).select(F.col(col).alias("_value"), out)
+    return df.join(codes, F.col(col).cast("string") == F.col("_value"), "left").select(*[df[c] for c in df.columns], out)
 
-def encode_categoricals(df: DataFrame):
-    """Carrier one-hot, airport and season label codes.
 
-    Returns (encoded frame, {column: sorted classes})."""
-    dicts = category_dictionaries(df, ["carrier_code", "origin_airport", "season"])
-    enc = onehot(df, "carrier_code", "carrier", dicts["carrier_code"])
-    enc = label_encode(enc, "origin_airport", "origin_airport_encoded", dicts["origin_airport"])
-    enc = label_encode(enc, "season", "season_encoded", dicts["season"])
-    return enc, dicts
+def encode_categoricals(df: DataFrame) -> DataFrame:
+    """Carrier one-hot, airport and season label codes."""
+    enc = onehot(df, "carrier_code", "carrier")
+    for c in ("origin_airport", "season"):
+        enc = label_encode(enc, c)
+    return enc
 
 
 def select_features(df: DataFrame, exclude: list[str] = S.FEATURE_EXCLUDE) -> list[str]:
@@ -116,7 +93,7 @@ def engineered_table(df_clean: DataFrame, regression: bool = False,
     """Cleaned -> engineered: date, features, then target(s); ``keep`` columns
     (e.g. the row key) are carried through first."""
     feat = basic_features(df_clean)
-    enc, _ = encode_categoricals(feat)
+    enc = encode_categoricals(feat)
     cols = [c for c in select_features(enc) if c not in keep]
     targets = [S.TARGET_DELAY] if regression else [S.TARGET_DELAY, S.TARGET_CLASS]
     return enc.select(*keep, "flight_date", *cols, *targets)
@@ -124,15 +101,14 @@ def engineered_table(df_clean: DataFrame, regression: bool = False,
 
 def decode_onehot(df: DataFrame, prefix: str = "carrier_", target: str = S.TARGET_DELAY,
                   name: str = "carrier_code") -> DataFrame:
-    """Recover the category from dummy columns and average the target per
-    category (unpivot -> filter 1 -> group)."""
+    """Recover the category from the dummy columns and average the target per
+    category: one conditional aggregate, then a row per dummy."""
     dummies = [c for c in df.columns if c.startswith(prefix)]
-    long = df.select(target, *dummies).unpivot(
-        [target], dummies, "dummy", "flag")
-    return (long.where(F.col("flag") == 1)
-            .groupBy(F.substring("dummy", len(prefix) + 1, 1000).alias(name))
-            .agg(F.round(F.avg(target), 6).alias("mean_delay"),
-                 F.count(F.lit(1)).alias("n_flights")))
+    row = df.agg(*[x for i, c in enumerate(dummies) for x in (
+        F.avg(F.when(F.col(f"`{c}`") == 1, F.col(target))).alias(f"m{i}"), F.count_if(F.col(f"`{c}`") == 1).alias(f"n{i}"))])
+    structs = [F.struct(F.lit(c[len(prefix):]).alias(name), F.round(f"m{i}", 6).alias("mean_delay"),
+                        F.col(f"n{i}").alias("n_flights")) for i, c in enumerate(dummies)]
+    return row.select(F.explode(F.array(*structs)).alias("x")).select("x.*").where("n_flights > 0")
 
 
 def numeric_coerce(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -154,11 +130,11 @@ def feature_group(name: str) -> str:
 
 
 def feature_groups(df: DataFrame) -> DataFrame:
-    """Group every numeric feature by name and summarise it (count, mean)."""
+    """Group every feature by name and summarise it (count, mean): one
+    aggregate, then a row per feature."""
     cols = [c for c in df.columns if c != "flight_date"]
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "feature", "value")
-    groups = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(feature_group(c)))])
-    return (long.groupBy("feature")
-            .agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-            .withColumn("feature_group", groups[F.col("feature")]))
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.count(f"`{c}`").alias(f"n{i}"), F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}"))])
+    structs = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.round(f"m{i}", 6).alias("mean"),
+                        F.lit(feature_group(c)).alias("feature_group")) for i, c in enumerate(cols)]
+    return row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")

@@ -144,12 +144,11 @@ def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """FPR/TPR at every distinct score used as a '>= threshold' cut."""
     sc = _score_counts(df, y, score)
-    tot = sc.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     cum = cumulative_sums(sc, score, ["pos", "neg"], descending=True)
-    return cum.crossJoin(F.broadcast(tot)).select(
+    return cum.select(
         F.col(score).alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        r6(_safe_div(F.col("cum_pos"), F.col("_P"))).alias("tpr"),
-        r6(_safe_div(F.col("cum_neg"), F.col("_N"))).alias("fpr"))
+        r6(_safe_div(F.col("cum_pos"), F.col("all_pos"))).alias("tpr"),
+        r6(_safe_div(F.col("cum_neg"), F.col("all_neg"))).alias("fpr"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -168,9 +167,8 @@ def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     """Step-wise sum of (R_k - R_{k-1}) * P_k over descending thresholds."""
     sc = _score_counts(df, y, score)
     cum = cumulative_sums(sc, score, ["pos", "neg"], descending=True)
-    tot = sc.agg(F.sum("pos").alias("_P"))
-    term = cum.crossJoin(F.broadcast(tot)).select(
-        (F.col("pos") / F.col("_P") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    term = cum.select(
+        (F.col("pos") / F.col("all_pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
         .alias("t"))
     return term.agg(r6(F.sum("t")).alias("average_precision"))
 
@@ -178,10 +176,9 @@ def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
 def ecdf(df: DataFrame, col: str) -> DataFrame:
     """One row per distinct value: cumulative share of rows <= value."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(F.sum("n").alias("_t"))
     cum = cumulative_sums(counts, col, ["n"])
-    return cum.crossJoin(F.broadcast(tot)).select(
-        col, "n", F.col("cum_n").alias("n_le"), r6(F.col("cum_n") / F.col("_t")).alias("ecdf"))
+    return cum.select(
+        col, "n", F.col("cum_n").alias("n_le"), r6(F.col("cum_n") / F.col("all_n")).alias("ecdf"))
 
 
 # ------------------------------------------------------------ model choice

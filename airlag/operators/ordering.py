@@ -2,46 +2,39 @@
 
 ``cumulative_sums`` is the distributed prefix sum behind ECDF, ROC, exact AUC
 and average precision.  A window ordered over the whole table would put every
-row into one task; instead rows are range-bucketed on approximate quantiles of
-the order column, each bucket gets its offset from a tiny per-bucket total
-table (one row per bucket, broadcast), and the running sum is a window inside
-the bucket only.  Callers aggregate to one row per distinct order value first,
+row into one task; instead rows are range-partitioned by the order column, each
+partition gets its offset from a tiny total table (one row per partition), and
+the running sum is a window inside the partition only.  Callers aggregate to one row per distinct order value first,
 so a heavily repeated value is a single row.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash32
-
-
-def _n_buckets(df: DataFrame) -> int:
-    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+from airlag.operators.exact_stats import exact_quantiles_many
+from airlag.session import cut_lineage
 
 
 def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str],
                     descending: bool = False, prefix: str = "cum_") -> DataFrame:
     """Adds ``cum_<c>`` = sum of ``c`` over rows whose order value is <= the
-    row's (>= when descending), for rows with a non-null order value."""
-    df = df.where(F.col(order_col).isNotNull())
+    row's (>= when descending) and ``all_<c>`` = its sum over all rows, for
+    rows with a non-null order value.  The input is evaluated once: it is
+    stored in range order, and one total per range partition gives offsets."""
     ordv = F.col(order_col).cast("double")
-    df = df.withColumn("_ord", -ordv if descending else ordv)
-    nb = _n_buckets(df)
-    qs = df.approxQuantile("_ord", [i / nb for i in range(1, nb)], 1.0 / (4 * nb))
-    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bk").transform(df)
+    df = df.where(F.col(order_col).isNotNull()).withColumn("_ord", -ordv if descending else ordv)
+    b = cut_lineage(df.repartitionByRange("_ord").withColumn("_bk", F.spark_partition_id()), "ordered")
+    run, every = Window.orderBy("_bk"), Window.partitionBy()
     totals = b.groupBy("_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wt = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # at most len(splits) rows: bounded by construction, so broadcast is safe
+    # one row per range partition: small, so broadcast and window are safe
     offsets = F.broadcast(totals.select(
-        "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}")
-                 for c in sum_cols]))
-    j = b.join(offsets, "_bk")
-    wi = Window.partitionBy("_bk").orderBy("_ord").rangeBetween(Window.unboundedPreceding, 0)
-    out = j.withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.sum(c).over(wi) for c in sum_cols})
+        "_bk", *[(F.sum(f"_t_{c}").over(run) - F.col(f"_t_{c}")).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(every).alias(f"all_{c}") for c in sum_cols]))
+    inside = Window.partitionBy("_bk").orderBy("_ord").rangeBetween(Window.unboundedPreceding, 0)
+    out = b.join(offsets, "_bk").withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.sum(c).over(inside) for c in sum_cols})
     return out.drop("_ord", "_bk", *[f"_o_{c}" for c in sum_cols])
 
 
@@ -63,12 +56,8 @@ def head_tail_sample(df: DataFrame, n: int, order_cols: list[str], key_col: str,
 
 
 def subsample_n(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows without replacement in seeded hash order.
-
-    A top-n by hash is a bounded TakeOrdered (n rows per partition at most),
-    so it needs no global sort; for a large n the exact rank is used."""
-    if n <= 1_000_000:
-        return df.orderBy(hash32(key_col, seed), F.col(key_col)).limit(n)
+    """Exactly n rows without replacement in seeded hash order, all of them
+    if there are fewer: one plan for every n, by exact ranks."""
     from airlag.operators.ranking import hash_rank
     return hash_rank(df, [], key_col, seed).where(F.col("_rank") <= n).drop("_rank", "_n")
 
@@ -85,26 +74,5 @@ def new_columns(before: DataFrame, after: DataFrame) -> list[str]:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Linear-interpolation quantiles (numpy 'linear' / SQL quantile_cont),
-    exact and without a single-task value map: value counts -> distributed
-    prefix sum -> the (at most 2 per probability) rows holding the needed
-    ranks.  Only those rows reach the driver."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    cum = cumulative_sums(counts, col, ["_n"])
-    total = counts.agg(F.sum("_n")).first()[0]
-    if not total:
-        return [None for _ in probs]
-    ranks = sorted({int((total - 1) * p) for p in probs}
-                   | {min(total - 1, int((total - 1) * p) + 1) for p in probs})
-    rk = df.sparkSession.createDataFrame([(r,) for r in ranks], "_r long")
-    hit = cum.crossJoin(F.broadcast(rk)).where(
-        (F.col("cum__n") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("cum__n")))
-    at = {r["_r"]: float(r[col]) for r in hit.select("_r", col).collect()}
-    out = []
-    for p in probs:
-        h = (total - 1) * p
-        lo = int(h)
-        hi = min(lo + 1, total - 1)
-        frac = h - lo
-        out.append(at[lo] + (at[hi] - at[lo]) * frac if frac else at[lo])
-    return out
+    """Exact quantiles of one column; see ``exact_stats``."""
+    return exact_quantiles_many(df, [col], probs)[col]

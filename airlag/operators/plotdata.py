@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash_bucket
+from airlag.operators.exact_stats import exact_quantiles_many
 
 
 def r6(c):
@@ -21,6 +22,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, lo: float | None = None,
     x = F.col(col).cast("double")
     if lo is None or hi is None:
         mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+        if mm["lo"] is None:  # no values: bins of width one from the given end or 0, all empty
+            mm = {"lo": 0.0 if hi is None else hi, "hi": 0.0 if lo is None else lo}
         lo = float(mm["lo"]) if lo is None else lo
         hi = float(mm["hi"]) if hi is None else hi
     width = (hi - lo) / bins if hi > lo else 1.0
@@ -40,15 +43,12 @@ def box_stats(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the most extreme data inside the fences,
     outlier count."""
     x = F.col(col).cast("double")
-    q = df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("q")).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    q = q.withColumns({"lo_f": F.col("q1") - k * (F.col("q3") - F.col("q1")),
-                       "hi_f": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
-    j = df.select(x.alias("x")).crossJoin(F.broadcast(q))  # q is one row
-    agg = j.groupBy("q1", "median", "q3", "lo_f", "hi_f").agg(
-        F.min(F.when(F.col("x") >= F.col("lo_f"), F.col("x"))).alias("whisker_lo"),
-        F.max(F.when(F.col("x") <= F.col("hi_f"), F.col("x"))).alias("whisker_hi"),
-        F.count_if((F.col("x") < F.col("lo_f")) | (F.col("x") > F.col("hi_f"))).alias("n_outliers"))
+    q = dict(zip(("q1", "median", "q3"), exact_quantiles_many(df, [col], [0.25, 0.5, 0.75])[col], strict=True))
+    lo, hi = (None, None) if q["q1"] is None else (q["q1"] - k * (q["q3"] - q["q1"]), q["q3"] + k * (q["q3"] - q["q1"]))
+    lo, hi = F.lit(lo).cast("double"), F.lit(hi).cast("double")
+    agg = df.agg(F.min(F.when(x >= lo, x)).alias("whisker_lo"), F.max(F.when(x <= hi, x)).alias("whisker_hi"),
+                 F.count_if((x < lo) | (x > hi)).alias("n_outliers"))
+    agg = agg.withColumns({n: F.lit(v).cast("double") for n, v in q.items()})
     return agg.select(*[r6(F.col(c)).alias(c) for c in
                         ["q1", "median", "q3", "whisker_lo", "whisker_hi"]], "n_outliers")
 
@@ -59,7 +59,9 @@ def qq_points(df: DataFrame, col: str, n_points: int = 100) -> DataFrame:
     probs = [(i + 0.5) / n_points for i in range(n_points)]
     theo = [NormalDist().inv_cdf(p) for p in probs]
     x = F.col(col).cast("double")
-    row = df.agg(F.percentile(x, probs).alias("q"), F.avg(x).alias("mu"), F.stddev_samp(x).alias("sd"))
+    quantiles = exact_quantiles_many(df, [col], probs)[col]
+    row = df.agg(F.avg(x).alias("mu"), F.stddev_samp(x).alias("sd")).withColumn(
+        "q", F.array(*[F.lit(q).cast("double") for q in quantiles]))
     pts = row.select(F.posexplode("q").alias("i", "sample_q"), "mu", "sd")
     theo_arr = F.array(*[F.lit(t) for t in theo])
     prob_arr = F.array(*[F.lit(p) for p in probs])
@@ -73,6 +75,8 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """2-D equal-width bin counts of (x, y): the scatter plot at any scale."""
     mm = df.agg(F.min(F.col(x).cast("double")).alias("x0"), F.max(F.col(x).cast("double")).alias("x1"),
                 F.min(F.col(y).cast("double")).alias("y0"), F.max(F.col(y).cast("double")).alias("y1")).first()
+    if mm["x0"] is None or mm["y0"] is None:  # no points
+        mm = {"x0": 0.0, "x1": 0.0, "y0": 0.0, "y1": 0.0}
     wx = (mm["x1"] - mm["x0"]) / bins if mm["x1"] > mm["x0"] else 1.0
     wy = (mm["y1"] - mm["y0"]) / bins if mm["y1"] > mm["y0"] else 1.0
     bx = F.least(F.floor((F.col(x).cast("double") - F.lit(float(mm["x0"]))) / F.lit(wx)), F.lit(bins - 1))

@@ -19,6 +19,7 @@ from airlag import schema as S
 from airlag.functions import calendar as C
 from airlag.functions.nulls import null_count
 from airlag.operators.cleaning import iqr_bounds, numeric_columns, outlier_flag
+from airlag.operators.exact_stats import exact_quantiles_many
 
 N = "__n"
 
@@ -39,21 +40,28 @@ def _wide_to_long(row: DataFrame, cols: list[str], stats: list[str],
 
 # ----------------------------------------------------------- null patterns
 
+WORD_BITS = 62
+
+
 def null_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(mask, n_rows): one row per distinct pattern of null columns, bit i set
-    when ``cols[i]`` is null.  Every null report derives from this table: the
-    input is read once, partial aggregation collapses it to a few patterns per
-    task, and the result has at most a few thousand rows in practice."""
+    """(mask, n_rows): one row per distinct pattern of null columns; ``mask``
+    is an array of words of 62 columns each, bit i of word j set when
+    ``cols[62 * j + i]`` is null.  Every null report derives from this table:
+    the input is read once and partial aggregation collapses it to its
+    patterns per task."""
     cols = cols or df.columns
-    if len(cols) > 62:
-        raise ValueError("null_patterns supports up to 62 columns")
-    mask = reduce(lambda a, b: a + b,  # disjoint bits: + is OR
-                  [F.shiftleft(F.col(c).isNull().cast("long"), i) for i, c in enumerate(cols)])
-    return df.select(mask.alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n_rows"))
+    words = [reduce(lambda a, b: a + b,  # disjoint bits: + is OR
+                    [F.shiftleft(F.col(f"`{c}`").isNull().cast("long"), i) for i, c in enumerate(cols[lo:lo + WORD_BITS])])
+             for lo in range(0, len(cols), WORD_BITS)]
+    return df.select(F.array(*words).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def _bit(i: int) -> Column:
-    return F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1
+    return F.shiftright(F.col("mask")[i // WORD_BITS], i % WORD_BITS).bitwiseAND(1) == 1
+
+
+def _n_bits() -> Column:
+    return F.aggregate("mask", F.lit(0), lambda n, word: n + F.bit_count(word).cast("int"))
 
 # ------------------------------------------------------------ column level
 
@@ -79,28 +87,18 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear interpolation), max.
-
-    Integral columns use the built-in exact ``percentile`` (a bounded value
-    map); fractional columns use ``exact_quantiles`` (distributed prefix sum),
-    so no task ever holds all distinct values of a continuous column."""
-    from airlag.operators.ordering import exact_quantiles
+    """count, mean, sample std, min, quartiles (linear interpolation), max;
+    the quartiles of all columns come from one counted table."""
     cols = cols or numeric_columns(df)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    integral = [c for c in cols if isinstance(types[c], T.IntegralType)]
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"),
                  F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"),
                  F.max(x).alias(f"max__{c}")]
-        if c in integral:
-            aggs.append(F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q__{c}"))
     row = df.agg(*aggs)
-    for c in cols:
-        if c not in integral:
-            qs = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-            row = row.withColumn(f"q__{c}", F.array(*[F.lit(q).cast("double") for q in qs]))
+    quartiles = exact_quantiles_many(df, cols, [0.25, 0.5, 0.75])
+    row = row.withColumns({f"q__{c}": F.array(*[F.lit(q).cast("double") for q in quartiles[c]]) for c in cols})
     row = row.withColumns({**{f"p25__{c}": F.col(f"q__{c}")[0] for c in cols},
                            **{f"p50__{c}": F.col(f"q__{c}")[1] for c in cols},
                            **{f"p75__{c}": F.col(f"q__{c}")[2] for c in cols}})
@@ -120,7 +118,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 def missing_per_row_hist(df: DataFrame) -> DataFrame:
     """Distribution of nulls per row; pct of rows (0 nulls = complete rows)."""
     pats = null_patterns(df)
-    counts = pats.groupBy(F.bit_count("mask").cast("int").alias("n_missing")).agg(
+    counts = pats.groupBy(_n_bits().alias("n_missing")).agg(
         F.sum("n_rows").alias("n_rows"))
     total = counts.agg(F.sum("n_rows").alias("_t"))   # one row
     return counts.crossJoin(total).select(
@@ -217,11 +215,10 @@ def quality_report(df: DataFrame) -> DataFrame:
     """One row: duplicates, columns with nulls, constant columns (one distinct
     non-null value, i.e. min = max), and column counts by type."""
     cols = df.columns
-    row = df.agg(F.bit_or(reduce(lambda a, b: a + b, [
-                     F.shiftleft(F.col(c).isNull().cast("long"), i) for i, c in enumerate(cols)]))
-                 .alias("_any_null"),
-                 *[(F.min(c) == F.max(c)).alias(f"const__{c}") for c in cols])
-    n_null_cols = F.bit_count("_any_null").cast("int")
+    row = df.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(f"null__{i}") for i, c in enumerate(cols)],
+                 *[(F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"const__{c}") for c in cols])
+    n_null_cols = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"null__{i}"), F.lit(False)).cast("int")
+                                              for i in range(len(cols))])
     n_const = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"const__{c}"), F.lit(False)).cast("int")
                                           for c in cols])
     types = [f.dataType for f in df.schema.fields]
@@ -349,7 +346,8 @@ def _moments(df: DataFrame, col: str, prefix: str) -> list[Column]:
     x = F.col(col).cast("double")
     return [F.count(x).alias(f"{prefix}count"), F.avg(x).alias(f"{prefix}mean"),
             F.stddev_samp(x).alias(f"{prefix}std"), F.min(x).alias(f"{prefix}min"),
-            F.max(x).alias(f"{prefix}max"), F.percentile(x, 0.5).alias(f"{prefix}median")]
+            F.max(x).alias(f"{prefix}max"),
+            F.lit(exact_quantiles_many(df, [col], [0.5])[col][0]).cast("double").alias(f"{prefix}median")]
 
 
 def distribution_compare(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

@@ -6,13 +6,13 @@ stratified split, k-fold assignment, under-sampling and exact n-row samples.
 
 How it stays distributed:
 
-1. Copies are collapsed first: ``groupBy(all columns)`` with a multiplicity
+1. Copies are collapsed first, and the distinct rows are stored: ``groupBy(all columns)`` with a multiplicity
    ``_m`` (map-side partial aggregation, so a row copied a billion times costs
    nothing extra to shuffle).
 2. Distinct rows are spread over ``2^bits`` hash buckets per group (16 per
    shuffle partition, so buckets shrink as a job is sized up).  A small
    table of per-(group, bucket) totals gives each bucket its offset; it is
-   size-checked before it is broadcast.
+   stored, so Spark broadcasts it by its measured size.
 3. Inside a bucket a window orders rows by (hash, key) and accumulates ``_m``.
    No window partition is ever a whole group.
 4. Copies are expanded back in chunks of at most ``chunk`` rows, and chunks are
@@ -31,9 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash32
-from airlag.operators.joins import broadcast_if_bounded
-
-OFFSET_BROADCAST_ROWS = 1_000_000
+from airlag.session import cut_lineage
 
 
 def _bits_for(spark, buckets_per_partition: int = 16) -> int:
@@ -50,12 +48,14 @@ def collapse_copies(df: DataFrame) -> DataFrame:
 
 
 def hash_rank_distinct(g: DataFrame, group_cols: list[str], key_col: str, seed: int = 42,
-                       buckets_per_partition: int = 16) -> DataFrame:
+                       buckets_per_partition: int = 16, stored: bool = False) -> DataFrame:
     """``g`` holds distinct rows with multiplicity ``_m``.  Adds ``_end``
     (rank of the row's last copy), ``_start`` and the group size ``_n``."""
     bits = _bits_for(g.sparkSession, buckets_per_partition)
     g = g.withColumn("_h", hash32(key_col, seed))
     g = g.withColumn("_b", F.shiftright(F.col("_h"), 32 - bits) if bits else F.lit(0).cast("long"))
+    if not stored:  # read by the totals and by the window
+        g = cut_lineage(g, "ranked")
     totals = g.groupBy(*group_cols, "_b").agg(F.sum("_m").alias("_bm"))
     w = Window.partitionBy(*group_cols).orderBy("_b")
     offsets = totals.select(
@@ -63,7 +63,13 @@ def hash_rank_distinct(g: DataFrame, group_cols: list[str], key_col: str, seed:
         (F.sum("_bm").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
          - F.col("_bm")).alias("_off"),
         F.sum("_bm").over(Window.partitionBy(*group_cols)).alias("_n"))
-    j = g.join(broadcast_if_bounded(offsets, OFFSET_BROADCAST_ROWS), on=[*group_cols, "_b"])
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(group_cols)]
+    offsets = cut_lineage(offsets.select(*keys, F.col("_b").alias("_kb"), "_off", "_n"), "offsets")
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(group_cols):  # null groups are groups too
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    # stored, so its size is known and Spark broadcasts it only if it is small
+    j = g.join(offsets, same).drop("_kb", *[f"_k{i}" for i in range(len(group_cols))])
     wi = (Window.partitionBy(*group_cols, "_b").orderBy("_h", key_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = j.withColumn("_end", F.col("_off") + F.sum("_m").over(wi))
@@ -74,15 +80,19 @@ def _explode_range(df: DataFrame, count_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.col(count_col).cast("int") - 1)))
 
 
-def expand_copies(g: DataFrame, chunk: int = 100_000) -> DataFrame:
+def expand_copies(g: DataFrame, chunk: int = 100_000, most: int | None = None) -> DataFrame:
     """Rows with multiplicity ``_m`` (and first rank ``_start``) -> one row per
     copy with its own ``_rank``.
 
     Rows with at most ``chunk`` copies expand in place.  Heavier rows are cut
     into chunks of ``chunk`` copies and the (few) chunk rows are spread
-    round-robin before expanding, so no single task generates a hot row."""
+    round-robin before expanding, so no single task generates a hot row.
+    ``most``: the largest multiplicity if known; without heavy rows their
+    branch is left out of the plan."""
     light = _explode_range(g.where(F.col("_m") <= chunk), "_m", "_i")
     light = light.withColumn("_rank", F.col("_start") + F.col("_i")).drop("_i")
+    if most is not None and most <= chunk:
+        return light
     heavy = g.where(F.col("_m") > chunk)
     heavy = heavy.withColumn("_nc", F.ceil(F.col("_m") / F.lit(chunk)))
     heavy = _explode_range(heavy, "_nc", "_ci").withColumn("_lo", F.col("_ci") * chunk)
@@ -98,5 +108,7 @@ def hash_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int = 42
               buckets_per_partition: int = 16) -> DataFrame:
     """Every row of ``df`` with ``_rank`` (1-based, within its group in
     (hash, key) order) and the group size ``_n``."""
-    g = hash_rank_distinct(collapse_copies(df), group_cols, key_col, seed, buckets_per_partition)
-    return expand_copies(g).drop("_m", "_start", "_end")
+    g = cut_lineage(collapse_copies(df), "distinct")
+    most = g.agg(F.max("_m")).first()[0] or 0
+    ranked = hash_rank_distinct(g, group_cols, key_col, seed, buckets_per_partition, stored=True)
+    return expand_copies(ranked, most=most).drop("_m", "_start", "_end")

@@ -1,23 +1,24 @@
 """SMOTE over-sampling of the minority class, distributed.
 
 For every synthetic row: a minority row x (chosen in proportion to how often
-its feature vector occurs), one of its k nearest minority neighbours n, and a
+its feature vector occurs), one of its k near minority neighbours n, and a
 gap g in [0, 1): x + g * (n - x).  Choices are hashes of (point, index), so
 the output does not depend on partitioning.
 
-Neighbour search never emits all pairs of a group:
+Neighbour search, by one rule at every size and never over all pairs:
 
 * identical minority vectors collapse into one point with a multiplicity m
   (a vector's own copies are its nearest neighbours at distance 0);
-* distinct points are ordered along a seeded random projection and cut into
-  blocks of ``block`` consecutive points (distributed prefix sum, no global
-  window); each point ranks the candidates of its own and the two adjacent
-  blocks, i.e. at most 3 * ``block`` candidates, and keeps the k nearest.
-  With at most ``block`` distinct minority vectors this is the exact k-NN;
-  beyond that it is k-NN within a locality window of 3 * ``block`` points.
-* synthetic rows are generated per point with the chunked expansion of
-  ``ranking.expand_copies``; each point carries its neighbours as an array, so
-  a heavily repeated point needs no skewed join.
+* distinct points are ordered along each of ``PROJECTIONS`` seeded directions
+  and cut into blocks of ``block`` consecutive points (distributed prefix sum);
+  a point ranks the candidates of its own and the two adjacent blocks, at most
+  3 * ``block`` of them, and keeps the k nearest; the k nearest over all
+  directions are its neighbours.  Up to two blocks of points are searched
+  whole; beyond that a neighbour is missed only if it is far along every
+  direction.
+* a point's quota of synthetic rows needs its multiplicity only and is computed
+  beside the search; rows are generated per point with the chunked expansion of
+  ``ranking.expand_copies``, the neighbours travelling as an array.
 """
 
 from __future__ import annotations
@@ -25,12 +26,17 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash32
 from airlag.operators.ordering import cumulative_sums
 from airlag.operators.ranking import expand_copies
+from airlag.session import cut_lineage, ship_package
+
+PROJECTIONS = 3
 
 
 def _direction(d: int, seed: int) -> list[float]:
@@ -40,40 +46,65 @@ def _direction(d: int, seed: int) -> list[float]:
     return [x / norm for x in v]
 
 
-def minority_neighbours(points: DataFrame, features: list[str], k: int = 5, block: int = 2048,
+def _nearest_in_block(k: int):
+    """Rows (members of a block and its neighbours) -> the k nearest of every own member."""
+    def run(batches):
+        for batch in batches:
+            pid, dist, other, vec = [], [], [], []
+            for members in batch.column(0):
+                v = members.values
+                own = np.flatnonzero(v.field("own").to_numpy(zero_copy_only=False))
+                ids = v.field("_pid").to_pylist()
+                x = np.array(v.field("_x").to_pylist(), float).reshape(len(ids), -1)
+                for i in own:
+                    d = ((x - x[i]) ** 2).sum(1)
+                    d[i] = np.inf
+                    near = np.argpartition(d, min(k, len(d)) - 1)[:k]
+                    for j in near[np.isfinite(d[near])]:
+                        pid.append(ids[i])
+                        dist.append(float(d[j]))
+                        other.append(ids[j])
+                        vec.append(x[j].tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pid, pa.string()), pa.array(dist, pa.float64()), pa.array(other, pa.string()),
+                 pa.array(vec, pa.list_(pa.float64()))], ["_pid", "_d", "_qid", "_qx"])
+    return run
+
+
+def minority_neighbours(points: DataFrame, features: list[str], k: int = 5, block: int = 256,
                         seed: int = 42) -> DataFrame:
     """``points``: distinct vectors with ``_pid`` and multiplicity ``_m``.
-    Returns (_pid, nbrs: array<array<double>>) with k neighbour vectors."""
-    r = _direction(len(features), seed)
-    proj = sum((F.col(c).cast("double") * F.lit(w) for c, w in zip(features, r)), F.lit(0.0))
-    p = points.withColumn("_proj", proj).withColumn("_one", F.lit(1))
-    p = cumulative_sums(p, "_proj", ["_one"]).withColumn(
-        "_blk", F.floor((F.col("cum__one") - 1) / block)).drop("_one", "cum__one")
+    Returns (_pid, _x, _m, nbrs: array<array<double>>) with k neighbour vectors."""
+    ship_package(points.sparkSession)
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    p = p.withColumn("_x", vec).select("_pid", "_blk", "_x", "_m")
-    cand = p.select(F.col("_pid").alias("_qid"), F.col("_x").alias("_qx"),
-                    F.explode(F.array(F.col("_blk") - 1, F.col("_blk"), F.col("_blk") + 1)).alias("_blk"))
-    pairs = p.join(cand, "_blk").where(F.col("_pid") != F.col("_qid"))
-    dist = F.aggregate(F.zip_with("_x", "_qx", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                       lambda acc, v: acc + v)
-    w = Window.partitionBy("_pid").orderBy("_d", "_qid")
-    near = (pairs.withColumn("_d", dist).withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= k)
-            .groupBy("_pid").agg(F.sort_array(F.collect_list(F.struct("_r", "_qx"))).alias("_nn")))
+    p = points.select(F.col("_pid").cast("string").alias("_pid"), vec.alias("_x"), "_m")
+    found = None
+    for turn in range(PROJECTIONS):
+        r = _direction(len(features), seed + turn)
+        proj = sum((F.col("_x")[i] * F.lit(w) for i, w in enumerate(r)), F.lit(0.0))
+        placed = cumulative_sums(p.select("_pid", "_x", proj.alias("_proj"), F.lit(1).alias("_one")), "_proj", ["_one"])
+        blk = F.floor((F.col("cum__one") - 1) / block)
+        dealt = placed.select("_pid", "_x", blk.alias("_own"), F.explode(F.array(blk - 1, blk, blk + 1)).alias("_blk"))
+        # three blocks of points at most
+        blocks = dealt.groupBy("_blk").agg(F.collect_list(F.struct(
+            (F.col("_own") == F.col("_blk")).alias("own"), "_pid", "_x")).alias("members"))
+        near = blocks.where(F.exists("members", lambda m: m["own"])).select("members").mapInArrow(
+            _nearest_in_block(k), "_pid string, _d double, _qid string, _qx array<double>")
+        found = near if found is None else found.unionByName(near)
+    nearest = found.groupBy("_pid").agg(F.slice(F.array_sort(F.collect_set(F.struct("_d", "_qid", "_qx"))), 1, k).alias("_nn"))
     # own copies first (distance 0), then the nearest other points, k in all
-    out = p.join(near, "_pid", "left").select(
+    return p.join(nearest, "_pid", "left").select(
         "_pid", "_x", "_m",
         F.slice(F.concat(F.array_repeat(F.col("_x"), F.least(F.col("_m") - 1, F.lit(k)).cast("int")),
                          F.coalesce(F.transform("_nn", lambda s: s["_qx"]),
                                     F.array().cast("array<array<double>>"))), 1, k).alias("nbrs"))
-    return out
 
 
 def smote_oversample(df: DataFrame, label: str, features: list[str], key_col: str = "row_key",
-                     k: int = 5, block: int = 2048, seed: int = 42) -> DataFrame:
+                     k: int = 5, block: int = 256, seed: int = 42) -> DataFrame:
     """Original rows plus synthetic minority rows up to the majority size;
     ``synthetic`` flags the new rows."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).take(3)}
     if len(counts) != 2:
         raise ValueError("SMOTE needs exactly two classes")
     minority = min(counts, key=lambda c: (counts[c], c))
@@ -82,15 +113,15 @@ def smote_oversample(df: DataFrame, label: str, features: list[str], key_col: st
     base = df.withColumn("synthetic", F.lit(False))
     if n_new == 0:
         return base
-    pts = (df.where(F.col(label) == minority)
-           .groupBy(*features).agg(F.count(F.lit(1)).alias("_m"), F.min(key_col).alias("_pid")))
-    nb = minority_neighbours(pts, features, k, block, seed)
+    pts = cut_lineage(df.where(F.col(label) == minority)
+                      .groupBy(*features).agg(F.count(F.lit(1)).alias("_m"), F.min(key_col).cast("string").alias("_pid")), "points")
     # synthetic count per point, proportional to its multiplicity (exact total)
-    cm = cumulative_sums(nb.withColumn("_h", hash32("_pid", seed)), "_h", ["_m"])
-    alloc = cm.withColumn("_s", (F.floor(F.col("cum__m") * n_new / n_min)
-                                 - F.floor((F.col("cum__m") - F.col("_m")) * n_new / n_min)).cast("long"))
-    gen = alloc.where(F.col("_s") > 0).select("_pid", "_x", "nbrs", F.col("_s").alias("_m"),
-                                              F.lit(0).cast("long").alias("_start"))
+    cm = cumulative_sums(pts.select("_pid", "_m", hash32("_pid", seed).alias("_h")), "_h", ["_m"])
+    alloc = cm.select("_pid", (F.floor(F.col("cum__m") * n_new / n_min)
+                               - F.floor((F.col("cum__m") - F.col("_m")) * n_new / n_min)).cast("long").alias("_s"))
+    nb = minority_neighbours(pts, features, k, block, seed).drop("_m")
+    gen = cut_lineage(nb.join(alloc.where("_s > 0"), "_pid").select(
+        "_pid", "_x", "nbrs", F.col("_s").alias("_m"), F.lit(0).cast("long").alias("_start")), "quotas")
     rows = expand_copies(gen)  # one row per synthetic sample, _rank = 0.._s-1
     tag = F.concat_ws(":", F.col("_pid"), F.col("_rank").cast("string"))
     idx = (F.pmod(hash32(tag, seed + 1), F.size("nbrs")) + 1).cast("int")

@@ -10,10 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash_bucket, row_key
-from airlag.operators.joins import broadcast_if_bounded
-from airlag.operators.ranking import hash_rank
-
-MAX_CLASSES = 10_000
+from airlag.operators.ranking import collapse_copies, expand_copies, hash_rank, hash_rank_distinct
+from airlag.session import cut_lineage
 
 
 def add_row_key(df: DataFrame, cols: list[str] | None = None, name: str = "row_key") -> DataFrame:
@@ -44,35 +42,34 @@ def kfold_stratified(df: DataFrame, label: str, k: int = 3, key_col: str = "row_
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    return broadcast_if_bounded(counts, MAX_CLASSES)
+    """Rows per class, stored: small, and read by what follows without
+    counting again."""
+    return cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")), "classes")
 
 
 def class_weight_balanced(df: DataFrame, label: str, col: str = "weight") -> DataFrame:
     """w_c = n / (k * n_c) for every row of class c."""
     counts = class_counts(df, label)
-    stats = counts.agg(F.sum("_nc").alias("_tot"), F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(stats).select(
-        label, (F.col("_tot") / (F.col("_k") * F.col("_nc"))).alias(col))
-    return df.join(F.broadcast(w), label, "left")  # w has one row per class (checked above)
+    tot = counts.agg(F.sum("_nc"), F.count(F.lit(1))).first()
+    w = counts.select(F.col(label).alias("_label"), (F.lit(tot[0]) / (F.lit(tot[1]) * F.col("_nc"))).alias(col))
+    return df.join(w, df[label] == w["_label"], "left").drop("_label")
 
 
 def scale_pos_weight(df: DataFrame, label: str, col: str = "weight") -> DataFrame:
-    """Positives weighted n0 / n1, negatives 1."""
-    counts = class_counts(df, label)
-    ratio = counts.agg((F.sum(F.when(F.col(label) == 0, F.col("_nc")))
-                        / F.sum(F.when(F.col(label) == 1, F.col("_nc")))).alias("_spw"))
-    return df.crossJoin(F.broadcast(ratio)).withColumn(
-        col, F.when(F.col(label) == 1, F.col("_spw")).otherwise(F.lit(1.0))).drop("_spw")
+    """Positives weighted n0 / n1, negatives 1: the two counts are one aggregate."""
+    n = df.agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).first()
+    ratio = n["n0"] / n["n1"] if n["n0"] and n["n1"] else None
+    return df.withColumn(col, F.when(F.col(label) == 1, F.lit(ratio).cast("double")).otherwise(F.lit(1.0)))
 
 
 def undersample_majority(df: DataFrame, label: str, key_col: str = "row_key",
                          seed: int = 42) -> DataFrame:
     """Every class cut to the minority size: the first rows in hash order."""
-    r = hash_rank(df, [label], key_col, seed)
-    n_min = r.select("_n").distinct().agg(F.min("_n").alias("_nmin"))
-    return (r.crossJoin(F.broadcast(n_min)).where(F.col("_rank") <= F.col("_nmin"))
-            .drop("_rank", "_n", "_nmin"))
+    g = cut_lineage(collapse_copies(df), "distinct")
+    n_min = g.groupBy(label).agg(F.sum("_m").alias("n")).agg(F.min("n")).first()[0] or 0
+    r = hash_rank_distinct(g, [label], key_col, seed, stored=True).where(F.col("_start") <= n_min)
+    return (expand_copies(r.withColumn("_m", F.least(F.col("_m"), n_min - F.col("_start") + 1)))
+            .drop("_m", "_start", "_end", "_rank", "_n"))
 
 
 def apply_balancing(df: DataFrame, method: str, label: str, key_col: str = "row_key",

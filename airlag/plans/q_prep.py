@@ -136,7 +136,7 @@ def q_label_encode(spark, sf):
 
 @query("encode_categoricals", W(Q.FEATURES + [_APT_CTE, _SEA_CTE, _ENC_CTE]) + "SELECT * FROM enc")
 def q_encode_categoricals(spark, sf):
-    enc, _ = FE.encode_categoricals(B.featured(spark, sf))
+    enc = FE.encode_categoricals(B.featured(spark, sf))
     return enc
 
 

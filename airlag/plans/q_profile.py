@@ -126,7 +126,7 @@ _SUB_CANDIDATES = [c for c in VARYING if c != "arr_delay_min"] + [
 @query("top_corr_submatrix")
 def q_top_corr_submatrix(spark, sf):
     from airlag.operators import features as FE
-    enc, _ = FE.encode_categoricals(B.featured(spark, sf))
+    enc = FE.encode_categoricals(B.featured(spark, sf))
     return P.top_corr_submatrix(enc, "arr_delay_min", _SUB_CANDIDATES, k=15)
 
 

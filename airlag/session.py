@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +76,25 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stored(df: DataFrame, name: str = "stage"):
+    """``cut_lineage`` for statistics that are fetched inside the block: the
+    table is deleted at its end."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        delete_folder(spark, path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,10 +1,15 @@
 """Monthly CSV files with free-text preambles.
 
-Files hold metadata lines, a header that starts with ``Carrier Code,Date``,
-then data rows.  Spark has no line numbers, so instead of skipping the first
-N lines the reader keeps the lines that *look like records*: not the header
-and exactly the record's field count.  That works per line, on any split of
-any file, in one distributed scan; the result is the union of all files.
+A file holds metadata lines, a header that starts with ``Carrier Code,Date``,
+then data rows; without such a header its first line is the header.  Columns
+are read by header name, so files may order them differently; short rows are
+padded with nulls, quoted fields keep their commas, blank lines are skipped,
+and a footer becomes a row of nulls, which ``remove_invalid_rows`` drops later.
+
+Spark has no line numbers, but a line's place is known from its file, the start
+of its split and its order in the split.  One row per file holds the place and
+the text of the header; the lines are joined to it and those behind it parsed.
+Files are split and read in parallel; a quoted field may not span lines.
 """
 
 from __future__ import annotations
@@ -15,23 +20,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlag import schema as S
-from airlag.session import ensure_checkpoint_dir
+from airlag.session import cut_lineage, ensure_checkpoint_dir
 
-N_FIELDS = len(S.RAW_COLS)
+CSV_OPTIONS = {"mode": "PERMISSIVE", "escape": '"'}
 
 
-def is_record_line(line_col="value", n_fields: int = N_FIELDS):
-    line = F.col(line_col) if isinstance(line_col, str) else line_col
-    n_commas = F.length(line) - F.length(F.regexp_replace(line, ",", ""))
-    return (~line.startswith(S.HEADER_PREFIX)) & (n_commas == n_fields - 1)
+def with_places(text: DataFrame) -> DataFrame:
+    """Lines of a text scan with their file and the start of their split."""
+    return text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def parse_record_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """Lines -> typed raw records (bad numbers -> null, empty -> null)."""
-    ddl = ", ".join(f"`{c}` STRING" for c in S.RAW_COLS)
-    parsed = lines.where(is_record_line(line_col)).select(
-        F.from_csv(F.col(line_col), ddl, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    return typed_raw(parsed)
+def parse_monthly_lines(lines: DataFrame) -> DataFrame:
+    """Lines of ``with_places`` -> typed raw records (bad numbers -> null, empty -> null)."""
+    lines = lines.withColumn("_id", F.monotonically_increasing_id()).where(F.col("value") != "")
+    place = F.struct("_block", "_id")
+    here = F.struct(place.alias("at"), F.col("value").alias("line"))
+    # one row per file
+    heads = cut_lineage(lines.groupBy("_file").agg(F.coalesce(
+        F.min(F.when(F.col("value").startswith(S.HEADER_PREFIX), here)), F.min(here)).alias("head")), "headers")
+    width = heads.agg(F.max(F.size(F.split("head.line", ",")))).first()[0] or len(S.RAW_COLS)
+    ddl = ", ".join(f"f{i} STRING" for i in range(width))
+
+    def fields(line):
+        row = F.from_csv(line, ddl, CSV_OPTIONS)
+        return F.array(*[row[f"f{i}"] for i in range(width)])
+
+    heads = heads.select("_file", F.col("head.at").alias("_head"), fields(F.col("head.line")).alias("_names"))
+    rows = lines.join(heads, "_file").where(place > F.col("_head")).select("_names", fields(F.col("value")).alias("_fields"))
+    at = lambda c: F.array_position("_names", F.lit(S.ORIGINAL_NAMES[c])).cast("int")
+    return typed_raw(rows.select(*[F.when(at(c) > 0, F.get("_fields", at(c) - 1)).alias(c) for c in S.RAW_COLS]))
 
 
 def typed_raw(df: DataFrame) -> DataFrame:
@@ -47,7 +64,7 @@ def typed_raw(df: DataFrame) -> DataFrame:
 
 def combine_monthly_csv(spark: SparkSession, path: str) -> DataFrame:
     """All monthly files under ``path`` as one frame of raw records."""
-    return parse_record_lines(spark.read.text(path))
+    return parse_monthly_lines(with_places(spark.read.text(path)))
 
 
 def load_typed(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
@@ -60,38 +77,22 @@ def load_typed(spark: SparkSession, path: str, nrows: int | None = None) -> Data
 
 # ----------------------------------------------------------- writing months
 
-def _csv_line(df: DataFrame) -> DataFrame:
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in S.RAW_COLS]
-    return df.select(F.concat_ws(",", *fields).alias("value"),
-                     F.substring("date_mdy", 7, 4).alias("y"),
-                     F.substring("date_mdy", 1, 2).alias("m"))
-
-
-def write_monthly_csv(raw: DataFrame, path: str, preamble_lines: int = 3) -> str:
-    """Write raw records as one text folder per month: preamble lines (their
-    count varies by month, none for even months), the header and the rows.
-
-    Everything is one distributed ``write.partitionBy(...).text``; line order
-    inside a file is irrelevant to the reader above.
-    """
-    lines = _csv_line(raw)
-    months = lines.select("y", "m").distinct()
-    header = ",".join(S.ORIGINAL_NAMES[c] if c != "date_mdy" else "Date (MM/DD/YYYY)"
-                      for c in S.RAW_COLS)
-    pre = months.select(
-        "y", "m",
-        F.explode(F.array_repeat(F.lit(0), F.when(F.col("m").cast("int") % 2 == 1,
-                                                  F.lit(preamble_lines)).otherwise(0)))
-        .alias("_"))
-    pre = pre.select(F.concat(F.lit("Report period "), F.col("y"), F.lit("-"), F.col("m"),
-                              F.lit(" on-time data")).alias("value"), "y", "m")
-    head = months.select(F.lit(header).alias("value"), "y", "m")
-    out = pre.unionByName(head).unionByName(lines)
-    # cluster by month (+ a salt so one huge month still spreads over many
-    # tasks): a few files per month instead of one per month per task
-    parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("value"), F.lit(max(1, parts // 8)))
-    out.repartition("y", "m", salt).write.mode("overwrite").partitionBy("y", "m").text(path)
+def write_monthly_csv(raw: DataFrame, path: str, preamble_lines: int = 3, parts: int = 1) -> str:
+    """Write raw records as text files ``y=/m=/part=``, each with its preamble
+    (none in even months) and header on top.  ``parts`` spreads a month over so
+    many files; the records are evaluated once."""
+    line = F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in S.RAW_COLS]), {"escape": '"'})
+    lines = cut_lineage(raw.select(
+        line.alias("value"), F.substring("date_mdy", 7, 4).alias("y"), F.substring("date_mdy", 1, 2).alias("m"),
+        F.pmod(F.xxhash64(*S.RAW_COLS), F.lit(parts)).alias("part"), F.lit(2).alias("_order")), "months")
+    files = lines.select("y", "m", "part").distinct()
+    header = ",".join(S.ORIGINAL_NAMES[c] for c in S.RAW_COLS)
+    pre = files.where(F.col("m").cast("int") % 2 == 1).select(
+        F.concat(F.lit("Report period "), F.col("y"), F.lit("-"), F.col("m"), F.lit(" on-time data")).alias("value"),
+        "y", "m", "part", F.explode(F.array_repeat(F.lit(0), preamble_lines)).alias("_order"))
+    head = files.select(F.lit(header).alias("value"), "y", "m", "part", F.lit(1).alias("_order"))
+    out = pre.unionByName(head).unionByName(lines).repartition("y", "m", "part").sortWithinPartitions("y", "m", "part", "_order")
+    out.drop("_order").write.mode("overwrite").partitionBy("y", "m", "part").text(path)
     return path
 
 

@@ -1,30 +1,31 @@
 """Incremental ingest of monthly CSV drops with Structured Streaming.
 
-New monthly files landing under ``src`` are read as text lines, the same
-line predicate as the batch reader keeps the records (no line numbers are
-needed), and each micro-batch is appended to a Parquet stage.  The stream's
-checkpoint records which files were ingested, so a restarted job (or a lost
-executor) neither skips nor duplicates a month: the file sink commits each
-batch exactly once.
+New files landing under ``src`` arrive as whole files in micro-batches, and
+each batch goes through the parser of the batch reader.  A batch is written to
+a folder of its number, replacing what an interrupted attempt left there, and
+the stream's checkpoint records which files were ingested; so a restarted job
+(or a lost executor) neither skips nor duplicates a month.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from airlag.sources.csv_ingest import parse_record_lines
+from airlag.sources.csv_ingest import parse_monthly_lines, with_places
 
 
 def start_monthly_ingest(spark: SparkSession, src: str, out: str, checkpoint: str,
                          available_now: bool = True, max_files_per_trigger: int = 64) -> StreamingQuery:
-    lines = (spark.readStream.format("text")
-             .option("maxFilesPerTrigger", max_files_per_trigger)
-             .option("recursiveFileLookup", "true")
-             .load(src))
-    records = parse_record_lines(lines)
-    writer = (records.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint).option("path", out))
+    lines = with_places(spark.readStream.format("text")
+                        .option("maxFilesPerTrigger", max_files_per_trigger)
+                        .option("recursiveFileLookup", "true")
+                        .load(src))
+
+    def write(batch: DataFrame, number: int) -> None:
+        parse_monthly_lines(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
@@ -34,4 +35,4 @@ def ingest_until_caught_up(spark: SparkSession, src: str, out: str, checkpoint:
     Parquet stage as a batch DataFrame."""
     q = start_monthly_ingest(spark, src, out, checkpoint, available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")

@@ -88,19 +88,25 @@ def _line(vals):
     return ",".join("" if v is None else str(v) for v in vals)
 
 
-def test_csv_preamble_header_footer(spark, tmp_path):
-    header = ",".join(S.ORIGINAL_NAMES[c] for c in S.RAW_COLS)
+def test_csv_by_header_position_and_name(spark, tmp_path):
+    names = [S.ORIGINAL_NAMES[c] for c in S.RAW_COLS]
     rec = ["UR", "01/02/2024", 12, "N1", "ATL", "10:00", "10:05", "10:01", 60, 65, 5, 3, 0, 0, 0, 0, 0]
+    order = [0, 1, *range(16, 1, -1)]  # the other columns backwards
     files = {
-        "a.csv": ["Report A", "Generated by something", header, _line(rec), _line(rec[:1] + ["01/03/2024"] + rec[2:])],
-        "b.csv": ["Only one preamble line", header, _line(["HI"] + rec[1:]), "Total: 2"],
-        "c.csv": [header, _line([None] * 17)],
+        "a.csv": ["Report A", "Carrier list, by date", ",".join(names), _line(rec), "", _line(["AA", "01/03/2024", *rec[2:]])],
+        "b.csv": ["Only one preamble line", ",".join(names), _line(["HI", *rec[1:]]), "Total: 2"],
+        "c.csv": [",".join(names[i] for i in order), _line([rec[i] for i in order]), _line(["QU", *rec[1:2], *[rec[i] for i in order[2:]]])],
+        "d.csv": [",".join(names), _line([*rec[:4], '"Atlanta, GA"', *rec[5:]]), _line(["SH", "01/05/2024", 7])],
+        "e.csv": ["Flight Number,Carrier Code", "77,NP"],
     }
     for name, lines in files.items():
         (tmp_path / name).write_text("\n".join(lines) + "\n")
     df = combine_monthly_csv(spark, str(tmp_path))
-    assert df.count() == 4
-    assert df.where(F.col("carrier_code").isNull()).count() == 1  # all-empty record kept as nulls
+    pad = lambda v: tuple([*v, *[None] * (17 - len(v))])
+    want = [tuple(rec), ("AA", "01/03/2024", *rec[2:]), ("HI", *rec[1:]), pad(["Total: 2"]), tuple(rec), ("QU", *rec[1:]),
+            (*rec[:4], "Atlanta, GA", *rec[5:]), pad(["SH", "01/05/2024", 7]), pad(["NP", None, 77])]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
     assert df.schema["arr_delay_min"].dataType.simpleString() == "smallint"
 
 
