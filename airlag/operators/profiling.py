@@ -160,11 +160,17 @@ def outlier_report_iqr(df: DataFrame, cols: list[str] | None = None, k: float =
 
 # ------------------------------------------------------------- correlation
 
+def pearson(a: str, b: str) -> Column:
+    """r of the rows that have both; null where a column does not vary."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)  # corr() fails on a column that does not vary
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r, pairwise-complete, every pair a < b plus the diagonal."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r__{i}")
-                   for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(a, b).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                         F.col(f"r__{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     long = row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
@@ -178,8 +184,7 @@ def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float = 0.8) -> D
 
 def target_correlation(df: DataFrame, target: str, cols: list[str], k: int = 8) -> DataFrame:
     """r of every feature with the target; top k and bottom k (a ranking)."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}")
-                   for c in cols])
+    row = df.agg(*[pearson(c, target).alias(f"r__{c}") for c in cols])
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"r__{c}").alias("r")) for c in cols]
     long = row.select(F.explode(F.array(*structs)).alias("x")).select(
         "x.feature", r6(F.col("x.r")).alias("r")).where(F.col("r").isNotNull())
@@ -193,8 +198,7 @@ def top_corr_submatrix(df: DataFrame, target: str, cols: list[str], k: int = 15)
     target, as a correlation matrix; otherwise all columns."""
     feats = [c for c in cols if c != target]
     if len(feats) > k:
-        row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c)
-                       for c in feats]).first()
+        row = df.agg(*[F.round(pearson(c, target), 9).alias(c) for c in feats]).first()
         ranked = sorted([c for c in feats if row[c] is not None],
                         key=lambda c: (-abs(row[c]), c))
         feats = ranked[:k]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from airlag.operators import cleaning as CL
 from airlag.operators import features as FE
 from airlag.plans.preprocess import preprocess
-from airlag.session import cut_lineage
+from airlag.session import cut_lineage, delete_folder
 from airlag.sources.driver_tables import flights_raw
 
 
@@ -23,14 +23,46 @@ def valid(spark, sf) -> DataFrame:
     return CL.remove_invalid_rows(dated(spark, sf))
 
 
+#: Cleaned stages by (application, folder, variant, state of the input files).
+_STAGES: dict[tuple, DataFrame] = {}
+_INPUTS = ("lineitem", "orders", "supplier", "nation")
+
+
+def _changed(spark: SparkSession, sf: str) -> tuple:
+    """Modification times of the input tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in _INPUTS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet")
+        out.append(path.getFileSystem(conf).getFileStatus(path).getModificationTime())
+    return tuple(out)
+
+
+def _stage(spark: SparkSession, sf: str, regression: bool) -> DataFrame:
+    """The cleaned table, written once per input and session: its statistics,
+    join and de-duplication are shared by all reports, which then read the
+    columns that they need."""
+    key = (spark.sparkContext.applicationId, sf, regression, _changed(spark, sf))
+    if key not in _STAGES:
+        _STAGES[key] = cut_lineage(preprocess(raw(spark, sf), regression=regression), "cleaned")
+    return _STAGES[key]
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the session's cleaned stages (results that still read them must
+    be stored by then); later reports write them anew."""
+    mine = [k for k in _STAGES if k[0] == spark.sparkContext.applicationId]
+    for k in mine:
+        delete_folder(spark, _STAGES.pop(k).inputFiles()[0].rsplit("/", 1)[0])
+    return len(mine)
+
+
 def clean(spark, sf) -> DataFrame:
-    """The cleaned stage, materialised once (reliable checkpoint) so that the
-    statistics and dictionary jobs downstream do not redo join + dedup."""
-    return cut_lineage(preprocess(raw(spark, sf)))
+    return _stage(spark, sf, False)
 
 
 def clean_regression(spark, sf) -> DataFrame:
-    return cut_lineage(preprocess(raw(spark, sf), regression=True))
+    return _stage(spark, sf, True)
 
 
 def featured(spark, sf) -> DataFrame:

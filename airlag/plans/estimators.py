@@ -9,6 +9,7 @@ raw scan, join and de-duplication.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airlag.operators.features import numeric_coerce
 from airlag.operators.splits import class_weight_balanced, scale_pos_weight
@@ -37,9 +39,8 @@ BOOSTED_TUNED_REG = {"n_estimators": 1576, "max_depth": 9, "learning_rate": 0.23
 BOOSTED_TUNED_CLF = {"n_estimators": 1516, "max_depth": 6, "learning_rate": 0.2880,
                      "subsample": 0.9378, "colsample_bytree": 0.7581, "early_stopping_rounds": 50}
 # ----------------------------------------------------------------------------
-# Spark's GBT adds one distributed pass per tree; rounds are capped here and
-# early stopping on a validation split ends most runs well before the cap.
-BOOSTED_MAX_ROUNDS = 60
+#: Rounds of the first fit of an early-stopped run; doubled until the best round is known.
+BOOSTED_FIRST_ROUNDS = 64
 # Deep trees: cache node ids (no re-walk of every tree per level) and give the
 # per-level node statistics more room so fewer passes are needed.
 TREE_RESOURCES = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
@@ -58,23 +59,34 @@ def prepare(df: DataFrame, feature_cols: list[str], label: str, keep: tuple = ()
     return cut_lineage(out) if checkpoint else out
 
 
-def load_xy(df: DataFrame, task: str, threshold: float = 15) -> tuple[DataFrame, list[str], str]:
-    """Target by task; the date is dropped; for classification the delay
-    column is dropped (leakage) and exactly two classes are required."""
-    cols = [c for c in df.columns if c not in ("flight_date",)]
-    if task == "regression":
-        target = "arr_delay_min"
-        feats = [c for c in cols if c not in ("arr_delay_min", "is_delayed", "row_key")]
-        return df.select(*[c for c in cols if c != "is_delayed"]), feats, target
-    target = "is_delayed"
-    if target not in df.columns:
-        df = df.withColumn(target, F.coalesce(F.col("arr_delay_min") > threshold, F.lit(False)).cast("int"))
-        cols.append(target)
-    n_classes = df.agg(F.count_distinct(target)).first()[0]
-    if n_classes != 2:
-        raise ValueError(f"classification needs 2 classes, found {n_classes}")
-    feats = [c for c in cols if c not in ("arr_delay_min", "is_delayed", "row_key")]
-    return df.select(*[c for c in cols if c != "arr_delay_min"]), feats, target
+def load_xy(df: DataFrame, task: str, threshold: float = 15, target: str | None = None) -> tuple[DataFrame, list[str], str]:
+    """Features and target by task: (frame, feature columns, target).
+
+    Without ``target``: the arrival delay, else the departure delay, for
+    regression; ``is_delayed``, else arrival delay over ``threshold``, for
+    classification; no such column is an error.  The date is dropped,
+    non-numeric features are coerced (what is no number becomes 0), and for
+    classification the arrival delay is no feature (leakage) and exactly two
+    classes are required."""
+    if target is None:
+        wanted = ("arr_delay_min", "dep_delay_min") if task == "regression" else ("is_delayed",)
+        target = next((c for c in wanted if c in df.columns), None)
+        if target is None and task != "regression" and "arr_delay_min" in df.columns:
+            target = "is_delayed"
+            df = df.withColumn(target, F.coalesce(F.col("arr_delay_min") > threshold, F.lit(False)).cast("int"))
+    if target is None or target not in df.columns:
+        raise ValueError(f"no target column for {task}")
+    left_out = {target, "flight_date", "row_key"} | ({"arr_delay_min"} if task != "regression" else {"is_delayed"})
+    feats = [c for c in df.columns if c not in left_out]
+    text = [f.name for f in df.schema.fields if f.name in feats and not isinstance(f.dataType, T.NumericType)]
+    if text:
+        df = numeric_coerce(df, text)
+    if task != "regression":
+        n_classes = df.agg(F.count_distinct(target)).first()[0]
+        if n_classes != 2:
+            raise ValueError(f"classification needs 2 classes, found {n_classes}")
+    keep = [c for c in df.columns if c in feats or c == target or c == "row_key"]
+    return df.select(*keep), feats, target
 
 
 # ------------------------------------------------------------------ fitting
@@ -106,8 +118,14 @@ def logistic_regression(df: DataFrame, C: float = 1.0, penalty: str = "l2",
     return lr.fit(df)
 
 
-def _depth(max_depth):
-    return SPARK_MAX_DEPTH if max_depth is None else min(int(max_depth), SPARK_MAX_DEPTH)
+def effective_depth(max_depth: int | None) -> int:
+    """Spark's trees go down to depth 30.  No limit (None) means that depth; a
+    larger number cannot be honoured and is an error."""
+    if max_depth is None:
+        return SPARK_MAX_DEPTH
+    if int(max_depth) > SPARK_MAX_DEPTH:
+        raise ValueError(f"depth {max_depth} asked, {SPARK_MAX_DEPTH} possible")
+    return int(max_depth)
 
 
 def rf_classifier(df: DataFrame, n_estimators: int = 100, max_depth: int | None = None,
@@ -115,7 +133,7 @@ def rf_classifier(df: DataFrame, n_estimators: int = 100, max_depth: int | None
                   max_features: str = "sqrt", seed: int = 42):
     df = with_weights(df, class_weight)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                                maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf,
+                                maxDepth=effective_depth(max_depth), minInstancesPerNode=min_samples_leaf,
                                 featureSubsetStrategy=max_features, seed=seed, maxBins=64,
                                 **TREE_RESOURCES)
     if "weight" in df.columns:
@@ -126,7 +144,7 @@ def rf_classifier(df: DataFrame, n_estimators: int = 100, max_depth: int | None
 def rf_regressor(df: DataFrame, n_estimators: int = 100, max_depth: int | None = None,
                  min_samples_leaf: int = 1, max_features: str = "all", seed: int = 42):
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                               maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf,
+                               maxDepth=effective_depth(max_depth), minInstancesPerNode=min_samples_leaf,
                                featureSubsetStrategy=max_features, seed=seed, maxBins=64,
                                **TREE_RESOURCES)
     return rf.fit(df)
@@ -137,20 +155,45 @@ def _subset(colsample: float) -> str:
 
 
 def boosted(df: DataFrame, task: str, config: dict | None = None, validation_col: str | None = None,
-            max_rounds: int = BOOSTED_MAX_ROUNDS, seed: int = 42):
-    """Gradient-boosted trees with early stopping on ``validation_col``."""
+            seed: int = 42):
+    """Gradient-boosted trees with the configured number of rounds.
+
+    With ``validation_col`` (rows it marks are held back) training stops early:
+    when the best round on the held-back rows lies ``early_stopping_rounds``
+    before the last one, or the configured number is reached.  Spark fits a
+    given number of rounds, and a shorter fit with the same seed is a prefix of
+    a longer one, so rounds are doubled until the best is known and the best
+    prefix is the model.  The model has ``best_iteration`` (from 0),
+    ``best_score`` (the held-back loss) and ``rounds``."""
     cfg = dict(config or (BOOSTED_DEFAULT_REG if task == "regression" else BOOSTED_DEFAULT_CLF))
-    kw = dict(featuresCol="features", labelCol="label",
-              maxIter=min(int(cfg["n_estimators"]), max_rounds), maxDepth=_depth(cfg["max_depth"]),
-              stepSize=float(cfg["learning_rate"]), subsamplingRate=float(cfg["subsample"]),
-              featureSubsetStrategy=_subset(cfg["colsample_bytree"]), seed=seed, maxBins=64)
-    if validation_col:
-        kw.update(validationIndicatorCol=validation_col, validationTol=1e-4)
-    est = GBTRegressor(lossType="absolute" if cfg.get("eval_metric") == "mae" else "squared", **kw) \
-        if task == "regression" else GBTClassifier(**kw)
-    if "weight" in df.columns:
-        est.setWeightCol("weight")
-    return est.fit(df)
+    loss = "absolute" if cfg.get("eval_metric") == "mae" else "squared"
+    train = df.where(~F.col(validation_col)) if validation_col else df
+    held = df.where(F.col(validation_col)) if validation_col else None
+
+    def fit(rounds: int):
+        kw = dict(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=effective_depth(cfg["max_depth"]),
+                  stepSize=float(cfg["learning_rate"]), subsamplingRate=float(cfg["subsample"]),
+                  featureSubsetStrategy=_subset(cfg["colsample_bytree"]), seed=seed, maxBins=64)
+        est = GBTRegressor(lossType=loss, **kw) if task == "regression" else GBTClassifier(**kw)
+        if "weight" in df.columns:
+            est.setWeightCol("weight")
+        return est.fit(train)
+
+    most, patience = int(cfg["n_estimators"]), int(cfg.get("early_stopping_rounds") or 0)
+    rounds = min(most, max(BOOSTED_FIRST_ROUNDS, patience + 1)) if validation_col and patience else most
+    while True:
+        model = fit(rounds)
+        losses = None
+        if held is not None:
+            losses = list(model.evaluateEachIteration(held, loss) if task == "regression" else model.evaluateEachIteration(held))
+        best = min(range(len(losses)), key=losses.__getitem__) if losses else rounds - 1
+        if rounds == most or not losses or best < rounds - patience:
+            break
+        rounds = min(most, 2 * rounds)
+    if best + 1 < rounds:
+        model = fit(best + 1)
+    model.best_iteration, model.best_score, model.rounds = best, (losses[best] if losses else None), rounds
+    return model
 
 
 # --------------------------------------------------------------- inference
@@ -207,10 +250,13 @@ def fit_pipeline(df: DataFrame, feature_cols: list[str], estimator) -> PipelineM
     return Pipeline(stages=[assembler(feature_cols), estimator]).fit(df)
 
 
-def save_model(model: PipelineModel, path: str, feature_cols: list[str], meta: dict) -> str:
+def save_model(model: PipelineModel, path: str, feature_cols: list[str], meta: dict, scaler: dict | None = None) -> str:
+    """The fitted pipeline and, beside it, its metadata: feature list, what
+    ``meta`` names (task, configuration, balancing, ...), the time, and the
+    scaler's statistics if features were scaled before the pipeline."""
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    side = {"feature_columns": feature_cols, **{k: json.dumps(v) for k, v in meta.items()}}
+    side = {"feature_columns": feature_cols, "saved_at": dt.datetime.now(dt.timezone.utc).isoformat(), "scaler": scaler, **meta}
     spark.createDataFrame([(json.dumps(side),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
     return path
@@ -225,6 +271,8 @@ def load_model(path: str):
 def model_info(model, task: str, feature_cols: list[str], balancing: str) -> DataFrame:
     spark = SparkSession.getActiveSession()
     n_trees = len(model.trees) if hasattr(model, "trees") else None
-    row = [("trained", task, len(feature_cols), n_trees, balancing, ",".join(feature_cols))]
+    row = [("trained", task, len(feature_cols), n_trees, getattr(model, "best_iteration", None),
+            getattr(model, "best_score", None), balancing, ",".join(feature_cols))]
     return spark.createDataFrame(
-        row, "status string, task string, n_features int, n_trees int, balancing string, features string")
+        row, "status string, task string, n_features int, n_trees int, best_iteration int, best_score double, "
+             "balancing string, features string")

@@ -1,4 +1,4 @@
-"""Data-parallel multi-layer perceptron (ReLU hidden layers, Adam, L2).
+"""Data-parallel multi-layer perceptron (ReLU or tanh hidden layers, Adam, L2).
 
 Spark ML has no ReLU/Adam network with sample weights and no MLP regressor,
 so the network is trained the data-parallel way: the weights live on the
@@ -12,7 +12,9 @@ depend on partitioning.  The training frame is checkpointed first.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
+import json
 
 import numpy as np
 import pandas as pd
@@ -34,19 +36,22 @@ def _init(sizes, seed):
     return params
 
 
-def _forward(params, x):
+def _forward(params, x, activation="relu"):
     acts = [x]
     h = x
     n_layers = len(params) // 2
     for i in range(n_layers):
         z = h @ params[2 * i] + params[2 * i + 1]
-        h = np.maximum(z, 0.0) if i < n_layers - 1 else z
+        if i < n_layers - 1:
+            h = np.tanh(z) if activation == "tanh" else np.maximum(z, 0.0)
+        else:
+            h = z
         acts.append(h)
     return acts
 
 
-def _loss_grad(params, x, y, w, task):
-    acts = _forward(params, x)
+def _loss_grad(params, x, y, w, task, activation="relu"):
+    acts = _forward(params, x, activation)
     out = acts[-1][:, 0]
     if task == "classification":
         p = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
@@ -63,7 +68,8 @@ def _loss_grad(params, x, y, w, task):
         grads[2 * i] = acts[i].T @ delta
         grads[2 * i + 1] = delta.sum(axis=0)
         if i > 0:
-            delta = (delta @ params[2 * i].T) * (acts[i] > 0)
+            slope = 1.0 - acts[i] ** 2 if activation == "tanh" else acts[i] > 0
+            delta = (delta @ params[2 * i].T) * slope
     return loss, grads
 
 
@@ -80,24 +86,31 @@ def _unpack(vec, like):
 
 
 class MLPModel:
-    def __init__(self, params, task, feature_cols, history=None):
+    """A trained network.  ``scaler`` ({feature: (mean, std)}) is applied to
+    the features before the first layer, so a loaded model scores raw rows."""
+
+    def __init__(self, params, task, feature_cols, history=None, activation="relu", scaler=None):
         self.params, self.task, self.feature_cols = params, task, feature_cols
-        self.history = history or []
+        self.history, self.activation, self.scaler = history or [], activation, scaler
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``p1`` and ``prediction`` (classification) or ``prediction``."""
-        params, task = self.params, self.task
+        params, task, activation = self.params, self.task, self.activation
         ship_package(df.sparkSession)
+        inputs = []
+        for c in self.feature_cols:
+            mean, std = (self.scaler or {}).get(c, (0.0, 1.0))
+            inputs.append((F.col(c).cast("double") - F.lit(float(mean))) / F.lit(float(std)))
 
         @F.pandas_udf(T.DoubleType())
         def _predict(*cols: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
-            out = _forward(params, x)[-1][:, 0]
+            out = _forward(params, x, activation)[-1][:, 0]
             if task == "classification":
                 out = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
             return pd.Series(out)
 
-        out = df.withColumn("_out", _predict(*[F.col(c).cast("double") for c in self.feature_cols]))
+        out = df.withColumn("_out", _predict(*inputs))
         if task == "classification":
             return out.withColumnRenamed("_out", "p1").withColumn(
                 "prediction", (F.col("p1") > 0.5).cast("double"))
@@ -108,8 +121,10 @@ class MLPModel:
         spark = SparkSession.getActiveSession()
         buf = io.BytesIO()
         np.savez(buf, *self.params)
-        spark.createDataFrame([(self.task, ",".join(self.feature_cols), bytearray(buf.getvalue()))],
-                              "task string, features string, params binary") \
+        side = {"features": self.feature_cols, "activation": self.activation, "scaler": self.scaler,
+                "epochs": len(self.history), "saved_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+        spark.createDataFrame([(self.task, json.dumps(side), bytearray(buf.getvalue()))],
+                              "task string, meta string, params binary") \
             .coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
@@ -117,15 +132,17 @@ class MLPModel:
         from pyspark.sql import SparkSession
         row = SparkSession.getActiveSession().read.parquet(path).first()
         z = np.load(io.BytesIO(bytes(row["params"])))
-        params = [z[f"arr_{i}"] for i in range(len(z.files))]
-        return MLPModel(params, row["task"], row["features"].split(","))
+        side = json.loads(row["meta"])
+        return MLPModel([z[f"arr_{i}"] for i in range(len(z.files))], row["task"], side["features"],
+                        activation=side["activation"], scaler=side["scaler"])
 
 
 def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "classification",
-              hidden=(100, 50), alpha: float = 1e-4, learning_rate: float = 1e-2,
-              max_epochs: int = 30, batches: int = 4, val_frac: float = 0.1, patience: int = 10,
+              hidden=(100, 50), alpha: float = 1e-4, learning_rate: float = 1e-3,
+              max_epochs: int = 100, batches: int = 4, val_frac: float = 0.1, patience: int = 10,
               tol: float = 1e-4, weight_col: str | None = None, key_col: str = "row_key",
-              seed: int = 42) -> MLPModel:
+              seed: int = 42, activation: str = "relu", scaler: dict | None = None) -> MLPModel:
+    """``scaler``: statistics the features of ``df`` were scaled with, kept in the model."""
     xcols = [f"_x{i}" for i in range(len(feature_cols))]
     frame = df.select(
         *[F.col(c).cast("double").alias(x) for c, x in zip(feature_cols, xcols)],
@@ -133,7 +150,9 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
         (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"),
         hash_bucket(key_col, seed + 1, batches).cast("int").alias("mb"),
         (hash_bucket(key_col, seed + 2) < int(val_frac * 10000)).alias("val"))
-    frame = cut_lineage(frame)
+    # stored once, and cached with the rows of a mini-batch together: a step
+    # skips the cached batches of the others by their statistics
+    frame = cut_lineage(frame).sortWithinPartitions("val", "mb").persist()
     ship_package(df.sparkSession)
     params = _init([len(feature_cols), *hidden, 1], seed)
     m = [np.zeros_like(p) for p in params]
@@ -155,13 +174,13 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
                 x = pdf[xcols].to_numpy(dtype=np.float64)
                 y, w = pdf["y"].to_numpy(), pdf["w"].to_numpy()
                 if (~is_val).any():
-                    loss, grads = _loss_grad(params_now, x[~is_val], y[~is_val], w[~is_val], task)
+                    loss, grads = _loss_grad(params_now, x[~is_val], y[~is_val], w[~is_val], task, activation)
                     g = _pack(grads)
                     acc = g if acc is None else acc + g
                     tr_loss += loss
                     tr_w += float(w[~is_val].sum())
                 if is_val.any():
-                    vloss, _ = _loss_grad(params_now, x[is_val], y[is_val], w[is_val], task)
+                    vloss, _ = _loss_grad(params_now, x[is_val], y[is_val], w[is_val], task, activation)
                     va_loss += vloss
                     va_w += float(w[is_val].sum())
             if acc is None:
@@ -214,4 +233,5 @@ def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "c
                 adam_step(g_vec, n)
         if epoch == max_epochs or bad >= patience:
             break
-    return MLPModel(best, task, feature_cols, history)
+    frame.unpersist()
+    return MLPModel(best, task, feature_cols, history, activation, scaler)

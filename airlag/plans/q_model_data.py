@@ -3,6 +3,8 @@ scaling and metrics (§2.6-2.8, standard_scale, §2.10)."""
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from airlag.operators import metrics as M
@@ -87,7 +89,15 @@ def q_box_stats(spark, sf):
     return PD.box_stats(B.clean_regression(spark, sf), "arr_delay_min")
 
 
-@query("qq_points")
+_QQ_PROBS = [(i + 0.5) / 100 for i in range(100)]
+_QQ_SQL = ("SELECT p, " + r6("theoretical") + " AS theoretical, " + r6("q") + " AS sample, " + r6("(q - mu) / sd")
+           + " AS sample_z FROM (SELECT unnest([" + ", ".join(f"{p}::DOUBLE" for p in _QQ_PROBS)
+           + "]) AS p, unnest([" + ", ".join(f"{NormalDist().inv_cdf(p)!r}::DOUBLE" for p in _QQ_PROBS)
+           + "]) AS theoretical, unnest(quantile_cont(arr_delay_min::DOUBLE, [" + ", ".join(map(str, _QQ_PROBS))
+           + "])) AS q, avg(arr_delay_min) AS mu, stddev_samp(arr_delay_min) AS sd FROM clean)")
+
+
+@query("qq_points", W(Q.CLEAN_REGRESSION) + _QQ_SQL)
 def q_qq_points(spark, sf):
     return PD.qq_points(B.clean_regression(spark, sf), "arr_delay_min")
 
@@ -173,7 +183,13 @@ def q_mask_union(spark, sf):
     return c.where(reduce(lambda a, b: a | b, [outlier_flag(k, *v) for k, v in bounds.items()]))
 
 
-@query("new_columns")
+_NEW = {"month": "int", "day": "int", "day_of_week": "int", "is_weekend": "int", "is_holiday_period": "int",
+        "season": "string", "is_delayed": "int"}
+
+
+@query("new_columns", W(Q.FEATURES) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, '{t}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS n_null, "
+    + r6(f"(count(*) - count({c})) * 100.0 / count(*)") + " AS null_pct FROM feat" for c, t in _NEW.items()))
 def q_new_columns(spark, sf):
     before, after = B.clean(spark, sf), B.featured(spark, sf)
     added = O.new_columns(before, after)

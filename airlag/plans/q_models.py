@@ -19,9 +19,7 @@ from airlag.plans.q_prep import ENGINEERED_CTE
 from airlag.plans.q_profile import ENG_FEATURES
 from airlag.plans.registry import query
 from airlag.plans.scaling import standard_scale
-from airlag.plans.tuning import (
-    cv_results, grid_search_lr, random_search_lr,
-)
+from airlag.plans.tuning import grid_search_lr, random_search_lr
 from airlag.sources import sinks as SK
 from airlag.sources.csv_ingest import scratch_path
 
@@ -118,26 +116,27 @@ def q_boosted_regressor(spark, sf):
 
 
 def _mlp_frame(spark, sf, regression):
+    """Split rows, scaled by statistics of the training rows, and those."""
     e = split_random(B.engineered_keyed(spark, sf, regression))
-    e, _ = standard_scale(e, FEATS, fit_filter=F.col("split") == "train")
-    return e
+    return standard_scale(e, FEATS, fit_filter=F.col("split") == "train")
 
 
 @query("mlp_classifier")
 def q_mlp_classifier(spark, sf):
     from airlag.operators.splits import class_weight_balanced
-    e = class_weight_balanced(_mlp_frame(spark, sf, False), "is_delayed")
+    e, _ = _mlp_frame(spark, sf, False)
+    e = class_weight_balanced(e, "is_delayed")
     model = train_mlp(e.where(F.col("split") == "train"), FEATS, "is_delayed", "classification",
-                      weight_col="weight", max_epochs=15, patience=5)
+                      weight_col="weight", max_epochs=100, patience=10)
     pred = model.transform(e).withColumn("label", F.col("is_delayed").cast("double"))
     return _cls_eval(pred)
 
 
 @query("mlp_regressor")
 def q_mlp_regressor(spark, sf):
-    e = _mlp_frame(spark, sf, True)
+    e, _ = _mlp_frame(spark, sf, True)
     model = train_mlp(e.where(F.col("split") == "train"), FEATS, "arr_delay_min", "regression",
-                      max_epochs=15, patience=5)
+                      max_epochs=200, patience=10)
     pred = model.transform(e).withColumn("label", F.col("arr_delay_min").cast("double"))
     return _reg_eval(pred)
 
@@ -163,8 +162,8 @@ def q_feature_importance(spark, sf):
 @query("importance_by_type")
 def q_importance_by_type(spark, sf):
     d = model_frame(spark, sf, validation=True)
-    model = E.boosted(d.where(F.col("split") == "train"), "classification", E.BOOSTED_DEFAULT_CLF,
-                      validation_col="is_val", max_rounds=20)
+    model = E.boosted(d.where(F.col("split") == "train"), "classification", E.BOOSTED_TUNED_CLF,
+                      validation_col="is_val")
     return E.importance_by_type(model, FEATS, scratch_path(spark, "gbt"))
 
 
@@ -176,31 +175,27 @@ def q_coefficients(spark, sf):
     return E.coefficients(model, FEATS)
 
 
-def _folded(spark, sf, regression=False):
-    d = model_frame(spark, sf, regression=regression, scale=not regression)
-    train = d.where(F.col("split") == "train")
-    return kfold_stratified(train, "label", k=3 if regression else 5)
+def _folded(spark, sf, k):
+    """Training rows with raw features, label and fold."""
+    e = split_random(B.engineered_keyed(spark, sf)).where(F.col("split") == "train")
+    return kfold_stratified(e.select("row_key", *FEATS, F.col("is_delayed").cast("double").alias("label")), "label", k=k)
 
 
 @query("grid_search")
 def q_grid_search(spark, sf):
-    cvm, maps = grid_search_lr(_folded(spark, sf), parallelism=8)
-    return cv_results(cvm, maps)
+    return grid_search_lr(_folded(spark, sf, 5), FEATS, parallelism=8)
 
 
 @query("random_search")
 def q_random_search(spark, sf):
-    cvm, maps = random_search_lr(kfold_stratified(
-        model_frame(spark, sf, scale=True).where(F.col("split") == "train"), "label", k=3),
-        parallelism=8)
-    return cv_results(cvm, maps)
+    return random_search_lr(_folded(spark, sf, 3), FEATS, parallelism=8)
 
 
 @query("model_info")
 def q_model_info(spark, sf):
     d = model_frame(spark, sf, validation=True)
-    model = E.boosted(d.where(F.col("split") == "train"), "classification", E.BOOSTED_DEFAULT_CLF,
-                      validation_col="is_val", max_rounds=20)
+    model = E.boosted(d.where(F.col("split") == "train"), "classification", E.BOOSTED_TUNED_CLF,
+                      validation_col="is_val")
     return E.model_info(model, "classification", FEATS, "none")
 
 
@@ -213,7 +208,8 @@ def q_save_model(spark, sf):
     pipe = E.fit_pipeline(e.where(F.col("split") == "train"), FEATS,
                           LogisticRegression(maxIter=50, regParam=0.01))
     path = scratch_path(spark, "lr_pipeline")
-    E.save_model(pipe, path, FEATS, {"task": "classification", "threshold": 15})
+    E.save_model(pipe, path, FEATS, {"task": "classification", "threshold": 15, "balancing": "none",
+                                     "config": {"maxIter": 50, "regParam": 0.01}})
     loaded, meta = E.load_model(path)
     out = E.predict(loaded, e.where(F.col("split") == "test"))
     return out.select("row_key", F.col("prediction").cast("int").alias("yhat"),
@@ -222,14 +218,15 @@ def q_save_model(spark, sf):
 
 @query("load_model")
 def q_load_model(spark, sf):
-    e = _mlp_frame(spark, sf, False)
-    model = train_mlp(e.where(F.col("split") == "train"), FEATS, "is_delayed", "classification",
-                      max_epochs=3, patience=3)
+    """A saved network scores raw rows as the fitted one scores scaled rows."""
+    e, stats = _mlp_frame(spark, sf, False)
+    model = train_mlp(e.where(F.col("split") == "train"), FEATS, "is_delayed", "classification", scaler=stats)
     path = scratch_path(spark, "mlp")
     model.save(path)
     loaded = MLPModel.load(path)
-    a = model.transform(e.where(F.col("split") == "test")).select("row_key", F.col("p1").alias("p_fit"))
-    b = loaded.transform(e.where(F.col("split") == "test")).select("row_key", F.col("p1").alias("p_loaded"))
+    raw = split_random(B.engineered_keyed(spark, sf)).where(F.col("split") == "test")
+    a = model.transform(raw).select("row_key", F.col("p1").alias("p_fit"))
+    b = loaded.transform(raw).select("row_key", F.col("p1").alias("p_loaded"))
     return a.join(b, "row_key").withColumn("equal", F.abs(F.col("p_fit") - F.col("p_loaded")) < 1e-12)
 
 
@@ -255,21 +252,24 @@ def q_write_summary(spark, sf):
 
 @query("append_summary")
 def q_append_summary(spark, sf):
-    existing = _summary_rows(spark, sf)
+    """Two appends: the first creates the summary, the second adds a model with other metrics."""
+    path = scratch_path(spark, "summary")
+    SK.append_summary(_summary_rows(spark, sf), path)
     d = model_frame(spark, sf, regression=True)
     model = E.rf_regressor(d.where(F.col("split") == "train"), n_estimators=20, max_depth=8)
-    new = _reg_eval(E.predict(model, d)).select(F.lit("rf_regressor").alias("model"), "*")
-    return SK.append_summary(existing, new)
+    SK.append_summary(_reg_eval(E.predict(model, d)).select(F.lit("rf_regressor").alias("model"), "*"), path)
+    return SK.read_summary(spark, path)
 
 
 @query("write_json_report")
 def q_write_json_report(spark, sf):
     d = model_frame(spark, sf, validation=True)
-    model = E.boosted(d.where(F.col("split") == "train"), "classification", E.BOOSTED_DEFAULT_CLF,
-                      validation_col="is_val", max_rounds=20)
+    model = E.boosted(d.where(F.col("split") == "train"), "classification", E.BOOSTED_TUNED_CLF,
+                      validation_col="is_val")
     m = _cls_eval(E.predict(model, d)).first().asDict()
     rep = SK.report_frame(spark, {k: v for k, v in m.items() if k != "split"},
-                          E.BOOSTED_DEFAULT_CLF, dt.datetime.now(dt.timezone.utc).isoformat(),
+                          dict(E.BOOSTED_TUNED_CLF, rounds=model.rounds, best_iteration=model.best_iteration),
+                          dt.datetime.now(dt.timezone.utc).isoformat(),
                           "classification")
     path = scratch_path(spark, "report")
     SK.write_json_report(rep, path)

@@ -178,7 +178,13 @@ def q_decode_onehot(spark, sf):
     return FE.decode_onehot(B.engineered(spark, sf))
 
 
-@query("feature_groups")
+_GROUPED = ["sched_elapsed_min", "is_weekend", "is_holiday_period", *[f"carrier_{v}" for v in CARRIERS],
+            "origin_airport_encoded", "season_encoded", "arr_delay_min", "is_delayed"]
+
+
+@query("feature_groups", W(ENGINEERED_CTE) + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n, " + r6(f"avg({c})") + f" AS mean, '{FE.feature_group(c)}' AS feature_group FROM eng"
+    for c in _GROUPED))
 def q_feature_groups(spark, sf):
     return FE.feature_groups(B.engineered(spark, sf))
 

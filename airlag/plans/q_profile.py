@@ -19,9 +19,6 @@ DATED_TYPES = {
     "actual_arr_time": "string", "wheels_on_time": "string",
     **{c: "smallint" for c in CLEAN_ORDER[8:]},
 }
-# columns with variance in the cleaned table (nas / security are constant 0)
-VARYING = ["flight_number", "sched_elapsed_min", "actual_elapsed_min", "arr_delay_min",
-           "taxi_in_min", "delay_carrier_min", "delay_weather_min", "delay_late_aircraft_min"]
 FILTER = "count(*) FILTER (WHERE {})"
 
 
@@ -89,19 +86,26 @@ def q_outlier_report_iqr(spark, sf):
 
 # ------------------------------------------------------------- correlation
 
-_CPAIRS = [(a, b) for i, a in enumerate(VARYING) for b in VARYING[i:]]
-_CORR_SQL = _union([f"SELECT '{a}' AS col_a, '{b}' AS col_b, {r6(f'corr({a}, {b})')} AS r FROM clean"
-                    for a, b in _CPAIRS])
+def _pairs_sql(pairs, table):
+    """(col_a, col_b, r): all correlations in one aggregate; null where a column does not vary."""
+    corr = [f"CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END" for a, b in pairs]
+    names = lambda i: "[" + ", ".join(f"'{p[i]}'" for p in pairs) + "]"
+    return (f"SELECT unnest({names(0)}) AS col_a, unnest({names(1)}) AS col_b, "
+            f"unnest([{', '.join(corr)}]) AS r FROM {table}")
+
+
+_CORR_SQL = ("SELECT col_a, col_b, " + r6("r") + " AS r FROM ("
+             + _pairs_sql([(a, b) for i, a in enumerate(NUMERIC_CLEAN) for b in NUMERIC_CLEAN[i:]], "clean") + ")")
 
 
 @query("correlation_matrix", W(Q.CLEAN) + _CORR_SQL)
 def q_correlation_matrix(spark, sf):
-    return P.correlation_matrix(B.clean(spark, sf), VARYING)
+    return P.correlation_matrix(B.clean(spark, sf), NUMERIC_CLEAN)
 
 
 @query("high_corr_pairs", W(Q.CLEAN) + f"SELECT * FROM ({_CORR_SQL}) WHERE col_a <> col_b AND abs(r) > 0.8")
 def q_high_corr_pairs(spark, sf):
-    return P.high_corr_pairs(B.clean(spark, sf), VARYING)
+    return P.high_corr_pairs(B.clean(spark, sf), NUMERIC_CLEAN)
 
 
 ENG_FEATURES = (["sched_elapsed_min", "is_weekend", "is_holiday_period"]
@@ -118,12 +122,20 @@ def q_target_correlation(spark, sf):
     return P.target_correlation(B.engineered(spark, sf), "arr_delay_min", ENG_FEATURES)
 
 
-_SUB_CANDIDATES = [c for c in VARYING if c != "arr_delay_min"] + [
+_SUB_CANDIDATES = [c for c in NUMERIC_CLEAN if c != "arr_delay_min"] + [
     "month", "day", "day_of_week", "is_weekend", "is_holiday_period",
     *[f"carrier_{v}" for v in CARRIERS], "origin_airport_encoded", "season_encoded"]
+_SUB_ALL = ["arr_delay_min", *_SUB_CANDIDATES]
+_SUB_SQL = f"""SELECT x.col_a, x.col_b, {r6("x.r")} AS r FROM (
+    SELECT CASE WHEN a.k <= b.k THEN p.col_a ELSE p.col_b END AS col_a, CASE WHEN a.k <= b.k THEN p.col_b ELSE p.col_a END AS col_b, p.r
+    FROM pairs p JOIN ranked a ON p.col_a = a.col JOIN ranked b ON p.col_b = b.col WHERE a.k <= 15 AND b.k <= 15) x"""
 
 
-@query("top_corr_submatrix")
+@query("top_corr_submatrix", W([*ENGINEERED_CTE[:-1],
+       "pairs AS (" + _pairs_sql([(a, b) for i, a in enumerate(_SUB_ALL) for b in _SUB_ALL[i:]], "enc") + ")",
+       """ranked AS (SELECT 'arr_delay_min' AS col, 0 AS k UNION ALL SELECT col_b,
+            row_number() OVER (ORDER BY abs(round(r, 9)) DESC, col_b) FROM pairs
+          WHERE col_a = 'arr_delay_min' AND col_b <> 'arr_delay_min' AND r IS NOT NULL)"""]) + _SUB_SQL)
 def q_top_corr_submatrix(spark, sf):
     from airlag.operators import features as FE
     enc = FE.encode_categoricals(B.featured(spark, sf))

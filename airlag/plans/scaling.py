@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,19 @@ def standard_scale(df: DataFrame, cols: list[str], fit_filter: Column | None = N
     for c in cols:
         s = row[f"s_{c}"]
         stats[c] = (row[f"m_{c}"], 1.0 if (s is None or s == 0) else s)
-    out = df.withColumns({c: (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
-                          for c, (m, s) in stats.items()})
-    return out, stats
+    return apply_scale(df, stats), stats
+
+
+def apply_scale(df: DataFrame, stats: dict) -> DataFrame:
+    """Scale by statistics that were fitted (or loaded) before."""
+    return df.withColumns({c: (F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, (m, s) in stats.items()})
+
+
+def save_scaler(spark: SparkSession, stats: dict, path: str) -> str:
+    rows = [(c, float(m), float(s)) for c, (m, s) in stats.items()]
+    spark.createDataFrame(rows, "column string, mean double, std double").coalesce(1).write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_scaler(spark: SparkSession, path: str) -> dict:
+    return {r["column"]: (r["mean"], r["std"]) for r in spark.read.parquet(path).collect()}  # a row per feature

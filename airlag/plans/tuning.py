@@ -1,127 +1,156 @@
-"""Hyper-parameter search with ``CrossValidator`` on hash-assigned folds.
+"""Hyper-parameter search on hash-assigned folds.
 
 Folds come from ``kfold_stratified`` (a ``fold`` column), so fold membership
-is the same on every run.  Random search draws its candidates on the driver
-from a seeded generator (a handful of parameter maps) and hands them to the
-same ``CrossValidator``; each candidate x fold fit is a distributed job and
-``parallelism`` runs several at once.
+is the same on every run.  For every fold the scaler and the class weights are
+fitted on the other folds' rows only, the scaled frame is stored once, and the
+candidates are fitted on it, several at a time; each fit is a distributed job.
+Random search draws its candidates on the driver from a seeded generator.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlag.operators.metrics import average_precision
-from airlag.operators.splits import class_weight_balanced
+from airlag.operators import metrics as M
+from airlag.plans import estimators as E
+from airlag.plans.mlp import train_mlp
+from airlag.plans.scaling import standard_scale
+from airlag.session import cut_lineage
 
 # --- fixed values: published search spaces ----------------------------------
 LR_GRID = {"C": [0.001, 0.01, 0.1, 1, 10], "penalty": ["l1", "l2"],
            "class_weight": [None, "balanced"]}
 LR_RANDOM = {"C_loguniform": (1e-4, 1e2), "class_weight": [None, "balanced"], "n_iter": 20}
-RF_REG_RANDOM = {"n_estimators": [150, 250, 400], "max_depth": [10, 20, 30, None],
-                 "min_samples_leaf": [1, 2, 4], "max_features": ["sqrt"], "n_iter": 12}
+LR_MAX_ITER = 10_000
+RF_REG_RANDOM = {"n_estimators": [150, 250, 400], "max_depth": [None, 15, 25, 35],
+                 "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4, 8], "max_features": ["sqrt"]}
+BOOSTED_RANDOM = {"n_estimators": (500, 2000), "learning_rate": (0.01, 0.31), "subsample": (0.6, 1.0),
+                  "colsample_bytree": (0.6, 1.0), "scale_pos_weight": (1.0, 6.0), "n_iter": 25,
+                  "early_stopping_rounds": 25}
+BOOSTED_DEPTH = {"regression": (3, 10), "classification": (3, 8)}
 # ----------------------------------------------------------------------------
 
 
-class AveragePrecisionEvaluator(Evaluator):
-    """Step-wise average precision of P(class 1) (exact, distributed)."""
+def cross_validate(train: DataFrame, features: list[str], candidates: list[dict], fit, score, label: str = "label",
+                   scale: bool = False, assemble: bool = True, parallelism: int = 4) -> DataFrame:
+    """``candidate, params, mean_score, fold_scores``, a row per candidate.
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        from pyspark.ml.functions import vector_to_array
-        scored = dataset.select(F.col("label").cast("int").alias("y"),
-                                vector_to_array("probability")[1].alias("score"))
-        return float(average_precision(scored, "y", "score").first()[0] or 0.0)
+    ``train`` has the raw features, ``label``, ``fold`` and ``row_key``;
+    ``fit(frame, candidate)`` returns a model, ``score(model, frame)`` a number."""
+    folds = sorted(r[0] for r in train.select("fold").distinct().collect())  # one row per fold
+    scores: list[list[float]] = [[] for _ in candidates]
+    for f in folds:
+        frame = train
+        if scale:
+            frame, _ = standard_scale(frame, features, fit_filter=F.col("fold") != f)
+        if assemble:
+            frame = E.prepare(frame, features, label, keep=("row_key", "fold"))
+        else:
+            frame = cut_lineage(frame, "fold")
+        rest, held = frame.where(F.col("fold") != f), frame.where(F.col("fold") == f)
+        with ThreadPool(parallelism) as pool:
+            for i, s in enumerate(pool.map(lambda c: float(score(fit(rest, c), held)), candidates)):  # noqa: B023
+                scores[i].append(s)
+    rows = [(i, json.dumps(c, sort_keys=True), sum(s) / len(s), s)
+            for i, (c, s) in enumerate(zip(candidates, scores, strict=True))]
+    return train.sparkSession.createDataFrame(
+        rows, "candidate int, params string, mean_score double, fold_scores array<double>")
 
-    def isLargerBetter(self) -> bool:
-        return True
 
+def f1_score(model, held: DataFrame, label: str = "label") -> float:
+    p = model.transform(held).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
+    c = p.agg(
+        F.count_if((F.col("y") == 1) & (F.col("yhat") == 1)).alias("tp"), F.count_if(F.col("y") != F.col("yhat")).alias("wrong")).first()
+    return 2 * c["tp"] / (2 * c["tp"] + c["wrong"]) if c["tp"] else 0.0
 
-def f1_evaluator() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
-                                             labelCol="label", predictionCol="prediction")
 
+def average_precision_score(model, held: DataFrame) -> float:
+    scored = model.transform(held).select(F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
+    return M.average_precision(scored, "y", "score").first()[0] or 0.0
 
-def _weighted(df: DataFrame) -> DataFrame:
-    """Two weight columns so class weighting is a grid dimension."""
-    df = class_weight_balanced(df, "label", "w_balanced")
-    return df.withColumn("w_none", F.lit(1.0))
 
+def error_score(kind: str):
+    """Negative rmse, mae or mse, so that larger is better."""
+    def score(model, held: DataFrame, label: str = "label") -> float:
+        e = F.col(label).cast("double") - F.col("prediction")
+        r = model.transform(held).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae")).first()
+        return -(math.sqrt(r["mse"]) if kind == "rmse" else r[kind])
+    return score
 
-def _lr(sum_w_by_col: dict):
-    return LogisticRegression(featuresCol="features", labelCol="label", standardization=False,
-                              maxIter=100, tol=1e-4)
 
+def _fit_lr(rest: DataFrame, c: dict):
+    # regParam uses the weight sum of these rows; see estimators.logistic_regression
+    return E.logistic_regression(rest, C=c["C"], penalty=c.get("penalty", "l2"), class_weight=c["class_weight"], max_iter=LR_MAX_ITER)
 
-def _n_folds(df: DataFrame) -> int:
-    return int(df.agg(F.max("fold")).first()[0]) + 1
 
+def grid_search_lr(train: DataFrame, features: list[str], grid: dict = LR_GRID, parallelism: int = 4) -> DataFrame:
+    """C x penalty x class weight, scored by F1 of class 1."""
+    found = [{"C": c, "penalty": p, "class_weight": w} for c in grid["C"] for p in grid["penalty"] for w in grid["class_weight"]]
+    return cross_validate(train, features, found, _fit_lr, f1_score, scale=True, parallelism=parallelism)
 
-def grid_search_lr(train: DataFrame, parallelism: int = 4, grid: dict = LR_GRID):
-    """C x penalty x class weight, scored by F1 of class 1 on the folds."""
-    df = _weighted(train)
-    n = df.count()
-    lr = _lr({})
-    maps = []
-    for C in grid["C"]:
-        for pen in grid["penalty"]:
-            for cw in grid["class_weight"]:
-                maps.append({lr.regParam: 1.0 / (C * n), lr.elasticNetParam: 1.0 if pen == "l1" else 0.0,
-                             lr.weightCol: "w_balanced" if cw == "balanced" else "w_none"})
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, evaluator=f1_evaluator(),
-                        foldCol="fold", numFolds=_n_folds(df), parallelism=parallelism, seed=42)
-    return cv.fit(df), maps
 
-
-def random_search_lr(train: DataFrame, parallelism: int = 4, space: dict = LR_RANDOM, seed: int = 42):
+def random_search_lr(train: DataFrame, features: list[str], space: dict = LR_RANDOM, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """Log-uniform C and class weight, scored by average precision."""
-    df = _weighted(train)
-    n = df.count()
     rng = random.Random(seed)
-    lo, hi = space["C_loguniform"]
-    lr = _lr({})
-    maps = []
+    lo, hi = (math.log(x) for x in space["C_loguniform"])
+    found = [{"C": math.exp(rng.uniform(lo, hi)), "class_weight": rng.choice(space["class_weight"])} for _ in range(space["n_iter"])]
+    return cross_validate(train, features, found, _fit_lr, average_precision_score, scale=True, parallelism=parallelism)
+
+
+def random_search_rf_regressor(train: DataFrame, features: list[str], n_iter: int, space: dict = RF_REG_RANDOM,
+                               seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Random forest candidates scored by RMSE.  Spark bounds depth by 30 and
+    knows the least rows of a child only: the candidate carries the depth that
+    is fitted, and a node of ``min_samples_split`` rows is guaranteed by
+    children of half as many."""
+    rng, found = random.Random(seed), []
+    for _ in range(n_iter):
+        c = {k: rng.choice(v) for k, v in space.items()}
+        c["fitted_depth"] = E.SPARK_MAX_DEPTH if c["max_depth"] is None else min(c["max_depth"], E.SPARK_MAX_DEPTH)
+        found.append(c)
+    fit = lambda rest, c: E.rf_regressor(
+        rest, c["n_estimators"], c["fitted_depth"], max(c["min_samples_leaf"], -(-c["min_samples_split"] // 2)), c["max_features"], seed)
+    return cross_validate(train, features, found, fit, error_score("rmse"), parallelism=parallelism)
+
+
+def random_search_boosted(train: DataFrame, features: list[str], task: str, space: dict = BOOSTED_RANDOM, seed: int = 42,
+                          parallelism: int = 2) -> DataFrame:
+    """Boosted trees, 25 draws, scored by MAE or F1; early stopping on a tenth
+    of the fitted rows, by a hash of the key."""
+    from airlag.functions.hashing import hash_bucket
+    rng, found = random.Random(seed), []
     for _ in range(space["n_iter"]):
-        C = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-        cw = rng.choice(space["class_weight"])
-        maps.append({lr.regParam: 1.0 / (C * n), lr.elasticNetParam: 0.0,
-                     lr.weightCol: "w_balanced" if cw == "balanced" else "w_none"})
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=maps, evaluator=AveragePrecisionEvaluator(),
-                        foldCol="fold", numFolds=_n_folds(df), parallelism=parallelism, seed=seed)
-    return cv.fit(df), maps
-
-
-def random_search_rf_regressor(train: DataFrame, parallelism: int = 4, space: dict = RF_REG_RANDOM,
-                               seed: int = 42, n_iter: int | None = None):
-    """Random forest regressor candidates scored by RMSE."""
-    rng = random.Random(seed)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="label", seed=seed, maxBins=64)
-    maps = []
-    for _ in range(n_iter or space["n_iter"]):
-        depth = rng.choice(space["max_depth"])
-        maps.append({rf.numTrees: rng.choice(space["n_estimators"]),
-                     rf.maxDepth: 30 if depth is None else depth,
-                     rf.minInstancesPerNode: rng.choice(space["min_samples_leaf"]),
-                     rf.featureSubsetStrategy: rng.choice(space["max_features"])})
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps,
-                        evaluator=RegressionEvaluator(metricName="rmse", labelCol="label"),
-                        foldCol="fold", numFolds=_n_folds(train), parallelism=parallelism, seed=seed)
-    return cv.fit(train), maps
-
-
-def cv_results(cv_model, maps) -> DataFrame:
-    """One row per candidate: its parameters (as text) and mean fold metric."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    rows = []
-    for i, (m, score) in enumerate(zip(maps, cv_model.avgMetrics)):
-        params = ";".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name))
-        rows.append((i, params, float(score)))
-    return spark.createDataFrame(rows, "candidate int, params string, mean_score double")
+        c = {"n_estimators": rng.randrange(*space["n_estimators"]), "max_depth": rng.randrange(*BOOSTED_DEPTH[task]),
+             **{k: rng.uniform(*space[k]) for k in ("learning_rate", "subsample", "colsample_bytree")},
+             "early_stopping_rounds": space["early_stopping_rounds"]}
+        if task == "classification":
+            c["scale_pos_weight"] = rng.uniform(*space["scale_pos_weight"])
+        found.append(c)
+
+    def fit(rest, c):
+        frame = rest.withColumn("is_val", hash_bucket("row_key", 7) < 1000)
+        if task == "classification":
+            frame = frame.withColumn("weight", F.when(F.col("label") == 1, c["scale_pos_weight"]).otherwise(1.0))
+        return E.boosted(frame, task, dict(c, eval_metric="mae" if task == "regression" else "logloss"), validation_col="is_val")
+
+    return cross_validate(train, features, found, fit, error_score("mae") if task == "regression" else f1_score, parallelism=parallelism)
+
+
+def grid_search_mlp(train: DataFrame, features: list[str], task: str, grid: dict[str, list], label: str = "label",
+                    max_epochs: int | None = None) -> DataFrame:
+    """Networks over every combination of ``grid`` (``hidden``, ``alpha``,
+    ``learning_rate``, ``activation``, ...), scored by F1 or MSE."""
+    found = [{}]
+    for name, values in grid.items():
+        found = [{**c, name: v} for c in found for v in values]
+    epochs = max_epochs or (100 if task == "classification" else 200)
+    fit = lambda rest, c: train_mlp(rest, features, label, task, max_epochs=epochs, **c)
+    score = f1_score if task == "classification" else error_score("mse")
+    return cross_validate(train, features, found, fit, score, label=label, scale=True, assemble=False, parallelism=1)

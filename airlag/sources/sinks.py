@@ -1,14 +1,15 @@
 """Stage, summary and report sinks.
 
 Stages are Parquet folders by default (CSV as an export option).  Summaries
-are one row per model run; appending is a ``unionByName`` with missing
-columns null-filled, written as a new folder version so a failed job never
-leaves a half-written summary behind.
+are one row per model run; appending reads what is there, adds the new rows
+with missing columns null-filled and writes the result beside it before it
+takes the old one's place, so a failed job leaves the old summary whole.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +39,35 @@ def load_stage(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return spark.read.parquet(path)
 
 
-def append_summary(existing: DataFrame | None, new_rows: DataFrame) -> DataFrame:
+def merge_summary(existing: DataFrame | None, new_rows: DataFrame) -> DataFrame:
     """Existing summary + new rows; metrics absent on either side -> null."""
     if existing is None:
         return new_rows
     return existing.unionByName(new_rows, allowMissingColumns=True)
 
 
+def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
+    """The summary at ``path``, None if there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.option("header", True).csv(path)
+
+
+def append_summary(new_rows: DataFrame, path: str) -> str:
+    """Append rows to the summary at ``path``, creating it when absent."""
+    spark = new_rows.sparkSession
+    text = new_rows.select(*[F.col(c).cast("string").alias(c) for c in new_rows.columns])
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
+    write_summary(merge_summary(read_summary(spark, path), text), beside)
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (beside, path))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot move {beside} to {path}")
+    return path
+
+
 def write_summary(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     df.coalesce(1).write.mode(mode).option("header", True).csv(path)
     return path
