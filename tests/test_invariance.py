@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from airlag.operators import metrics as M
@@ -44,7 +46,7 @@ def test_folds_and_undersampling_ignore_partitioning(spark):
 
 def test_null_patterns_match_direct_counts(spark):
     a = _frame(spark)
-    pats = {r["mask"]: r["n_rows"] for r in P.null_patterns(a, ["delay", "cat"]).collect()}
+    pats = {r["mask"][0]: r["n_rows"] for r in P.null_patterns(a, ["delay", "cat"]).collect()}
     n_delay = a.where(F.col("delay").isNull()).count()
     n_both = a.where(F.col("delay").isNull() & F.col("cat").isNull()).count()
     assert sum(v for m, v in pats.items() if m & 1) == n_delay
@@ -63,3 +65,30 @@ def test_broadcast_guard(spark, capsys):
     small.join(broadcast_if_bounded(big, 100), "id").explain(extended=True)
     plan_big = capsys.readouterr().out.lower()
     assert "strategy=broadcast" in plan_small and "strategy=broadcast" not in plan_big
+
+
+def test_reports_of_wide_tables(spark):
+    """70 and 200 columns, most of them null: more than one word of the pattern."""
+    for width in (70, 200):
+        df = spark.range(5).select(*[(F.col("id") if i < 4 else F.when(F.col("id") == i % 7, F.col("id"))).alias(f"c{i}") for i in range(width)])
+        nulls = sum(df.where(F.col(c).isNull()).count() > 0 for c in (f"c{i}" for i in range(0, width, 23)))
+        prof = {r["column"]: r["n_null"] for r in P.column_profile(df).collect()}
+        assert len(prof) == width and sum(prof[f"c{i}"] > 0 for i in range(0, width, 23)) == nulls
+        assert P.quality_report(df).first()["n_cols_with_nulls"] == sum(n > 0 for n in prof.values()) == width - 4
+        hist = P.missing_per_row_hist(df).collect()
+        assert sum(r["n_rows"] for r in hist) == 5
+        assert sum(r["n_missing"] * r["n_rows"] for r in hist) == sum(prof.values())
+
+
+def test_exact_quantiles_and_modes(spark):
+    from airlag.operators.exact_stats import exact_quantiles_many, modes
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame({"a": rng.integers(0, 50, 4000).astype(float), "b": rng.normal(size=4000), "c": np.nan, "s": rng.choice(list("xyz"), 4000)})
+    data.loc[::7, "a"] = None
+    df = spark.createDataFrame([tuple(None if isinstance(v, float) and v != v else v for v in r) for r in data.itertuples(index=False)],
+                               "a double, b double, c double, s string")
+    got = exact_quantiles_many(df, ["a", "b", "c"], [0, 0.1, 0.5, 0.999, 1])
+    for c in "ab":
+        assert np.allclose(got[c], data[c].dropna().quantile([0, 0.1, 0.5, 0.999, 1]))
+    assert got["c"] == [None] * 5
+    assert modes(df, ["s", "c"]) == {"s": data["s"].mode()[0], "c": None}

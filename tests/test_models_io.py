@@ -77,11 +77,89 @@ def test_mlp_learns_planted_signal(spark, tmp_path):
     assert np.allclose(a, b)
 
 
-def test_gbt_early_stopping_runs(spark):
-    df = _planted(spark).withColumn("is_val", F.col("row_key").endswith("7"))
-    d = E.prepare(df, ["a", "b"], "y", keep=("is_val",), checkpoint=False)
-    model = E.boosted(d, "classification", E.BOOSTED_DEFAULT_CLF, validation_col="is_val", max_rounds=10)
-    assert 1 <= len(model.trees) <= 10
+def test_gbt_early_stopping_keeps_the_best_prefix(spark):
+    df = _planted(spark, 600).withColumn("is_val", F.col("row_key").endswith("7"))
+    d = E.prepare(df, ["a", "b"], "y", keep=("is_val",), checkpoint=False).cache()
+    config = dict(E.BOOSTED_DEFAULT_CLF, n_estimators=24, max_depth=3, learning_rate=0.5, early_stopping_rounds=3)
+    E_FIRST, E.BOOSTED_FIRST_ROUNDS = E.BOOSTED_FIRST_ROUNDS, 6
+    try:
+        model = E.boosted(d, "classification", config, validation_col="is_val")
+    finally:
+        E.BOOSTED_FIRST_ROUNDS = E_FIRST
+    losses = E.boosted(d, "classification", dict(config, early_stopping_rounds=0), validation_col="is_val")
+    assert len(model.trees) == model.best_iteration + 1 <= model.rounds <= 24
+    assert model.rounds == 24 or model.best_iteration < model.rounds - 3
+    assert model.best_score >= losses.best_score - 1e-12
+    assert E.boosted(d, "classification", dict(config, n_estimators=5)).rounds == 5
+
+
+def test_depth_beyond_sparks_is_an_error():
+    assert E.effective_depth(None) == 30 and E.effective_depth(20) == 20
+    try:
+        E.effective_depth(35)
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_load_xy_targets(spark):
+    df = spark.createDataFrame([("2024-01-01", 1, "3", 20, 5), ("2024-01-02", 2, "x", 1, 6)],
+                               "flight_date string, a int, b string, arr_delay_min int, dep_delay_min int")
+    xy, feats, target = E.load_xy(df, "classification")
+    assert (feats, target) == (["a", "b", "dep_delay_min"], "is_delayed") and "arr_delay_min" not in xy.columns
+    assert sorted(r["b"] for r in xy.collect()) == [0.0, 3.0]
+    assert E.load_xy(df.drop("arr_delay_min"), "regression")[2] == "dep_delay_min"
+    assert E.load_xy(df, "regression", target="a")[1:] == (["b", "arr_delay_min", "dep_delay_min"], "a")
+    for bad in (lambda: E.load_xy(df.select("a"), "regression"), lambda: E.load_xy(df.where("a = 1"), "classification"),
+                lambda: E.load_xy(df, "regression", target="z")):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_summary_is_appended_on_disk(spark, tmp_path):
+    from airlag.sources import sinks as SK
+    path = str(tmp_path / "summary")
+    SK.append_summary(spark.createDataFrame([("a", 0.5)], "model string, f1 double"), path)
+    SK.append_summary(spark.createDataFrame([("b", 3.0)], "model string, rmse double"), path)
+    got = {r["model"]: (r["f1"], r["rmse"]) for r in SK.read_summary(spark, path).collect()}
+    assert got == {"a": ("0.5", None), "b": (None, "3.0")}
+
+
+def test_scaler_round_trip(spark, tmp_path):
+    from airlag.plans.scaling import apply_scale, load_scaler, save_scaler, standard_scale
+    df = _planted(spark, 200)
+    scaled, stats = standard_scale(df, ["a", "b"])
+    again = apply_scale(df, load_scaler(spark, save_scaler(spark, stats, str(tmp_path / "scaler"))))
+    assert sorted(map(tuple, scaled.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_search_scales_and_weighs_per_fold(spark):
+    from airlag.plans import tuning as T
+    df = _planted(spark, 400).select("row_key", "a", "b", F.col("y").cast("double").alias("label"),
+                                     (F.crc32("row_key") % 2).cast("int").alias("fold"))
+    found = T.grid_search_lr(df, ["a", "b"], {"C": [0.01, 1], "penalty": ["l2"], "class_weight": [None, "balanced"]}).collect()
+    assert len(found) == 4 and all(len(r["fold_scores"]) == 2 and r["mean_score"] > 0.8 for r in found)
+    assert len(T.random_search_rf_regressor(df, ["a", "b"], 2, dict(T.RF_REG_RANDOM, n_estimators=[5], max_depth=[4])).collect()) == 2
+    space = dict(T.BOOSTED_RANDOM, n_estimators=(3, 5), n_iter=2)
+    assert len(T.random_search_boosted(df, ["a", "b"], "classification", space).collect()) == 2
+    grid = T.grid_search_mlp(df, ["a", "b"], "regression", {"hidden": [(4,)], "activation": ["relu", "tanh"]}, max_epochs=2)
+    assert grid.count() == 2
+
+
+def test_smote_neighbours_are_near_beyond_one_block(spark):
+    rng = random.Random(9)
+    pts = [(rng.random(), rng.random()) for _ in range(900)]
+    df = spark.createDataFrame([(str(i), x, y, 1) for i, (x, y) in enumerate(pts)], "_pid string, x double, y double, _m int")
+    nb = {r["_pid"]: r["nbrs"] for r in minority_neighbours(df, ["x", "y"], k=5, block=128).collect()}
+    exact = 0
+    for i, (x, y) in enumerate(pts):
+        d = sorted(((x - x2) ** 2 + (y - y2) ** 2, j) for j, (x2, y2) in enumerate(pts) if j != i)
+        assert len(nb[str(i)]) == 5
+        exact += {tuple(v) for v in nb[str(i)]} == {pts[j] for _, j in d[:5]}
+    assert exact >= 0.9 * len(pts)
 
 
 def _line(vals):
