@@ -12,10 +12,12 @@ candidates.  Per shared prefix shingle:
    band, hot groups in several tiles per band, and each tile compares the pairs
    of different components only.
 
-Both ways compare hashed bitmap signatures first: a shingle flips one of 512
-bits, so the number of different bits is at most the size of the symmetric
-difference, which bounds the overlap from above.  What passes is settled by
-exact intersection of the sorted shingle arrays.  Every pair that reaches the
+Both ways compare hashed bitmap signatures first: a shingle flips one bit, so
+the number of different bits is at most the size of the symmetric difference,
+which bounds the overlap from above.  A signature has at least two bits per
+shingle; the longer of two is folded to the length of the other.  What passes
+is settled by exact intersection of the sorted shingle arrays, one star per
+node first, and of the others only those that still join two components.  Every pair that reaches the
 threshold is compared or already lies in one component, so the components are
 those of the full join, and no group is ever held or paired as a whole.
 """
@@ -35,6 +37,7 @@ from airlag.session import ship_package
 
 #: Default for near duplicates; the contract of the query names its own.
 SHINGLE, PERCENT = 5, 80
+#: Least length of a signature in 64-bit words.
 SIGNATURE_WORDS = 8
 #: A shingle is put last if it is found this often in one run of texts ...
 LOCAL_REPEATS = 3
@@ -54,9 +57,21 @@ def node_of(shingles: np.ndarray) -> np.uint64:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles on each of 512 bits, as eight words."""
-    bits = np.bincount((shingles >> _U64(20)).astype(np.int64) & 511, minlength=64 * SIGNATURE_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parity of the number of shingles on each bit; a power of two of 64-bit words."""
+    width = 64 * SIGNATURE_WORDS
+    while width < 2 * len(shingles):
+        width *= 2
+    bits = np.bincount((shingles >> _U64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(_U64)
+
+
+def folded(sign: np.ndarray, words: int) -> np.ndarray:
+    return sign if len(sign) == words else np.bitwise_xor.reduce(sign.reshape(-1, words), 0)
+
+
+def most_apart(total, percent: int):
+    """Largest symmetric difference of two sets of ``total`` shingles together that reach the threshold."""
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
 def needed_overlap(n: int, percent: int) -> int:
@@ -107,8 +122,8 @@ def _describe(shingle: int, percent: int, frequent):
                 size.append(n)
                 key = int(node_of(s).view(np.int64)) if n else None
                 node.append(key)
-                signs.append(signature(s))
                 first.append(n > 0 and key not in seen)
+                signs.append(signature(s).tobytes() if first[-1] else None)
                 if first[-1]:
                     seen.add(key)
                     late = hot.has(s)
@@ -118,26 +133,24 @@ def _describe(shingle: int, percent: int, frequent):
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(
                 np.concatenate([*prefix, np.empty(0, _U64)]).astype(np.int64)), mask=pa.array([not f for f in first]))
-            table = np.array(signs, np.int64).reshape(-1, SIGNATURE_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists,
-                 *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(SIGNATURE_WORDS)]],
-                [*batch.schema.names[:-1], "node", "n", "prefix", *_SIGNS])
+                [*batch.columns[:-1], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(signs, pa.binary())],
+                [*batch.schema.names[:-1], "node", "n", "prefix", "sign"])
     return run
 
 
 def _arrays_of(shingle: int, wanted):
+    """Shingle arrays of the texts (``h``, ``text``) whose hash is wanted."""
     def run(batches):
         want = wanted.value
         for batch in batches:
+            some = batch.filter(pa.array(want.has(batch.column(0).to_numpy().view(_U64)), pa.bool_()))
             nodes, arrays, seen = [], [], set()
-            for _, s in shingle_sets(batch.column(0), shingle):
-                if len(s) == 0:
-                    continue
-                key = node_of(s)
-                if int(key) not in seen and want.has(key[None])[0]:
-                    seen.add(int(key))
-                    nodes.append(int(key.view(np.int64)))
+            for _, s in shingle_sets(some.column(1), shingle):
+                key = int(node_of(s).view(np.int64)) if len(s) else None
+                if key is not None and key not in seen:
+                    seen.add(key)
+                    nodes.append(key)
                     arrays.append(s)
             offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -147,6 +160,20 @@ def _arrays_of(shingle: int, wanted):
     return run
 
 
+def _may_reach(percent: int):
+    """Pairs (a, b, n, m, two signatures) that the signatures allow."""
+    def run(batches):
+        for batch in batches:
+            most = most_apart(batch.column(2).to_numpy() + batch.column(3).to_numpy(), percent)
+            keep = []
+            for x, y, limit in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True):
+                x, y = np.frombuffer(x, _U64), np.frombuffer(y, _U64)
+                words = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= limit)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _intersect(percent: int):
     """Pairs of which the sorted arrays reach the threshold."""
     def run(batches):
@@ -168,8 +195,10 @@ def _tile_pairs(percent: int):
         for batch in batches:
             out_a, out_b = [], []
             for diagonal, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cols = {f: members.values.field(f).to_numpy() for f in ("side", "node", "comp", "n", *_SIGNS)}
-                signs = np.stack([cols[s] for s in _SIGNS], 1)
+                cols = {f: members.values.field(f).to_numpy() for f in ("side", "node", "comp", "n")}
+                signs = [np.frombuffer(x, _U64) for x in members.values.field("sign").to_pylist()]
+                words = min(len(x) for x in signs)
+                signs = np.stack([folded(x, words) for x in signs])
                 own = np.flatnonzero(cols["side"] == 0)
                 other = np.flatnonzero(cols["side"] == 1)
                 for at, i in enumerate(own):
@@ -177,9 +206,8 @@ def _tile_pairs(percent: int):
                     j = j[cols["comp"][j] != cols["comp"][i]]
                     if not len(j):
                         continue
-                    total = cols["n"][j] + cols["n"][i]
-                    most = total - 2 * -(-percent * total // (100 + percent))
-                    apart = np.bitwise_count((signs[j] ^ signs[i]).view(_U64)).sum(1)
+                    most = most_apart(cols["n"][j] + cols["n"][i], percent)
+                    apart = np.bitwise_count(signs[j] ^ signs[i]).sum(1)
                     ratio = 100 * np.minimum(cols["n"][j], cols["n"][i]) >= percent * np.maximum(cols["n"][j], cols["n"][i])
                     j = j[(apart <= most) & ratio]
                     out_a.append(np.minimum(cols["node"][j], cols["node"][i]))
@@ -189,34 +217,23 @@ def _tile_pairs(percent: int):
     return run
 
 
-_SIGNS = [f"s{i}" for i in range(SIGNATURE_WORDS)]
-
-
 # ----------------------------------------------------------------- in Spark
-def _may_reach(percent: int) -> Column:
-    """Size ratio and signatures of the pair (n, s0 ..) and (m, r0 ..) allow the threshold."""
-    total, apart = F.col("n") + F.col("m"), F.lit(0)
-    for s in _SIGNS:
-        apart = apart + F.bit_count(F.col(s).bitwiseXOR(F.col("r" + s)))
-    most = total - 2 * F.ceil(percent * total / (100 + percent))
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart <= most)
-
-
 def _stars(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of every group's smallest node and another that may reach the threshold."""
     hubs = groups.groupBy("token").agg(F.min("node").alias("a"))
     pairs = (groups.join(hubs, "token").where(F.col("node") != F.col("a"))
              .select("a", F.col("node").alias("b")).distinct())
-    left = nodes.select(F.col("node").alias("a"), "n", *_SIGNS)
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), *[F.col(s).alias("r" + s) for s in _SIGNS])
-    return pairs.join(left, "a").join(right, "b").where(_may_reach(percent)).select("a", "b")
+    left = nodes.select(F.col("node").alias("a"), "n", F.col("sign").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y"))
+    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(_may_reach(percent), "a long, b long")
 
 
 def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in one group that may reach the threshold."""
     members = groups.where("g > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = members.join(mixed.select("token"), "token").join(nodes.select("node", "n", *_SIGNS), "node").withColumns({
+    rows = members.join(mixed.select("token"), "token").join(nodes.select("node", "n", "sign"), "node").withColumns({
         "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"),
         "k": F.ceil(F.col("g") / TILE).cast("int")})
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -226,25 +243,27 @@ def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int)
     own = F.transform(all_k, lambda j: tile(F.col("band"), F.col("part"), j, 0))
     same = F.transform(F.filter(all_k, lambda i: i < F.col("part")), lambda i: tile(F.col("band"), i, F.col("part"), 1))
     below = F.transform(all_k, lambda i: tile(F.col("band") + 1, i, F.col("part"), 1))
-    dealt = rows.select("token", F.explode(F.concat(own, same, below)).alias("t"), "node", "comp", "n", *_SIGNS)
+    dealt = rows.select("token", F.explode(F.concat(own, same, below)).alias("t"), "node", "comp", "n", "sign")
     # a tile holds about three times TILE rows at most, by the hash
     tiles = dealt.groupBy("token", "t.band", "t.i", "t.j").agg(
-        F.collect_list(F.struct(F.col("t.side").alias("side"), "node", "comp", "n", *_SIGNS)).alias("members"))
+        F.collect_list(F.struct(F.col("t.side").alias("side"), "node", "comp", "n", "sign")).alias("members"))
     tiles = tiles.where((F.size("members") > 1) & F.exists("members", lambda m: m["side"] == 0))
     return tiles.select((F.col("i") == F.col("j")).alias("diagonal"), "members").mapInArrow(
         _tile_pairs(percent), "a long, b long").distinct()
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold.  Texts are scanned for the nodes in
-    question only (a bit set passes them), and only their arrays travel."""
-    wanted = bit_set(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
-    arrays = texts.mapInArrow(_arrays_of(shingle, wanted), "node long, shingles array<long>")
-    arrays = scratch(arrays, "ngram-arrays").groupBy("node").agg(F.first("shingles").alias("shingles"))
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs that reach the threshold.  Of every node in question one text
+    is shingled again (a bit set of text hashes passes it), and its array goes
+    to the pairs that it is in."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = bit_set(nodes.join(asked, "node", "left_semi"), "h")
+    arrays = docs.select("h", "text").mapInArrow(_arrays_of(shingle, wanted), "node long, shingles array<long>")
+    arrays = arrays.groupBy("node").agg(F.first("shingles").alias("shingles"))
     left = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
-        _intersect(percent), "a long, b long")
+    return scratch(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(
+        _intersect(percent), "a long, b long"), "ngram-links")
 
 
 def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
@@ -260,26 +279,31 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     spark = docs.sparkSession
     ship_package(spark)
     carry = carry or {}
-    texts = docs.select(F.col(text_col).alias("text"))
-    repeats = texts.mapInArrow(_count_repeats(shingle), "shingle long, n long")
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    repeats = texts.select("text").mapInArrow(_count_repeats(shingle), "shingle long, n long")
     frequent = bit_set(repeats.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "shingle")
-    slim = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in carry.items()], F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in carry.items()],
+                       F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    rows = scratch(slim.mapInArrow(_describe(shingle, percent, frequent), f"{kept}, node long, n long, prefix array<long>, "
-                                   + ", ".join(f"{s} long" for s in _SIGNS)), "ngram-rows")
+    rows = scratch(slim.mapInArrow(_describe(shingle, percent, frequent),
+                                   f"{kept}, node long, n long, prefix array<long>, sign binary"), "ngram-rows")
     nodes = scratch(rows.where("prefix is not null").groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("n", "prefix", *_SIGNS)]), "ngram-nodes")
+        F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("n", "prefix", "sign")]), "ngram-nodes")
     tokens = nodes.select(F.explode("prefix").alias("token"), "node")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     groups = scratch(tokens.join(shared, "token"), "ngram-groups")
 
-    first = scratch(_stars(groups, nodes, percent), "ngram-stars")
-    links = scratch(_verified(texts, first, shingle, percent), "ngram-links")
+    stars = scratch(_stars(groups, nodes, percent), "ngram-stars")
+    first = scratch(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-first")
+    links = _verified(texts, nodes, first, shingle, percent)
     comps = components(links)
-    rest = scratch(_tiles(groups, nodes, comps, percent).join(
-        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "ngram-tiles")
+    of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+    others = (stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
+              .where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
+    rest = scratch(others.unionByName(_tiles(groups, nodes, comps, percent)).distinct()
+                   .join(first, ["a", "b"], "left_anti"), "ngram-rest")
     if not rest.isEmpty():
-        more = scratch(_verified(texts, rest, shingle, percent), "ngram-links")
+        more = _verified(texts, nodes, rest, shingle, percent)
         if not more.isEmpty():
             comps = components(links.unionByName(more))
     return rows.join(comps, "node", "left").select(
