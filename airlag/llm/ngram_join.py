@@ -14,8 +14,8 @@ candidates.  Per shared prefix shingle:
 
 Both ways compare hashed bitmap signatures first: a shingle flips one bit, so
 the number of different bits is at most the size of the symmetric difference,
-which bounds the overlap from above.  A signature has at least two bits per
-shingle; the longer of two is folded to the length of the other.  What passes
+which bounds the overlap from above.  Signatures grow with the set; the longer
+of two is folded to the length of the other.  What passes
 is settled by exact intersection of the sorted shingle arrays, one star per
 node first, and of the others only those that still join two components.  Every pair that reaches the
 threshold is compared or already lies in one component, so the components are
@@ -56,10 +56,11 @@ def node_of(shingles: np.ndarray) -> np.uint64:
         return mix((both + _U64(len(shingles)))[None])[0]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles on each bit; a power of two of 64-bit words."""
-    width = 64 * SIGNATURE_WORDS
-    while width < 2 * len(shingles):
+def signature(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Parity of the number of shingles on each bit; a power of two of 64-bit
+    words, more than four bits per shingle that sets at the threshold may differ in."""
+    width, wanted = 64 * SIGNATURE_WORDS, 9 * len(shingles) * (100 - percent) // (100 + percent)
+    while width < wanted:
         width *= 2
     bits = np.bincount((shingles >> _U64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(_U64)
@@ -123,7 +124,7 @@ def _describe(shingle: int, percent: int, frequent):
                 key = int(node_of(s).view(np.int64)) if n else None
                 node.append(key)
                 first.append(n > 0 and key not in seen)
-                signs.append(signature(s).tobytes() if first[-1] else None)
+                signs.append(signature(s, percent).tobytes() if first[-1] else None)
                 if first[-1]:
                     seen.add(key)
                     late = hot.has(s)
@@ -232,7 +233,11 @@ def _stars(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in one group that may reach the threshold."""
     members = groups.where("g > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    mixed = members.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m2")).where("lo <> hi")
+    # of groups with the same members (the shingles of one passage) one is enough
+    mixed = mixed.groupBy("size", "m1", "m2").agg(F.min("token").alias("token"))
     rows = members.join(mixed.select("token"), "token").join(nodes.select("node", "n", "sign"), "node").withColumns({
         "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"),
         "k": F.ceil(F.col("g") / TILE).cast("int")})
