@@ -35,7 +35,7 @@ def bit_set(df: DataFrame, col: str, bits: int = BITS):
             .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("words")))
     out = bytearray()
-    for r in rows.toLocalIterator():  # bits / 2**15 rows of 4 KiB at most
+    for r in rows.collect():  # bits / 2**15 rows of 4 KiB at most
         if not out:
             out = bytearray(bits // 8)
         lo = (r["bucket"] - 1) * 4096

@@ -17,7 +17,7 @@ the number of different bits is at most the size of the symmetric difference,
 which bounds the overlap from above.  Signatures grow with the set; the longer
 of two is folded to the length of the other.  What passes
 is settled by exact intersection of the sorted shingle arrays, one star per
-node first, and of the others only those that still join two components.  Every pair that reaches the
+node first, and of the others only those that still lie between two components.  Every pair that reaches the
 threshold is compared or already lies in one component, so the components are
 those of the full join, and no group is ever held or paired as a whole.
 """
@@ -40,9 +40,9 @@ SHINGLE, PERCENT = 5, 80
 #: Least length of a signature in 64-bit words.
 SIGNATURE_WORDS = 8
 #: A shingle is put last if it is found this often in one run of texts ...
-LOCAL_REPEATS = 3
+LOCAL_REPEATS = 2
 #: ... and this often over all runs.
-FREQUENT = 24
+FREQUENT = 4
 RUN_SHINGLES = 4_000_000
 TILE = 512
 _U64 = np.uint64
@@ -58,8 +58,9 @@ def node_of(shingles: np.ndarray) -> np.uint64:
 
 def signature(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Parity of the number of shingles on each bit; a power of two of 64-bit
-    words, more than four bits per shingle that sets at the threshold may differ in."""
-    width, wanted = 64 * SIGNATURE_WORDS, 9 * len(shingles) * (100 - percent) // (100 + percent)
+    words, about 18 bits per shingle that sets at the threshold may differ in, so
+    that few of the differences meet on one bit and the bound is tight."""
+    width, wanted = 64 * SIGNATURE_WORDS, 36 * len(shingles) * (100 - percent) // (100 + percent)
     while width < wanted:
         width *= 2
     bits = np.bincount((shingles >> _U64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
@@ -257,6 +258,13 @@ def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int)
         _tile_pairs(percent), "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
+    return (pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            .where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs that reach the threshold.  Of every node in question one text
     is shingled again (a bit set of text hashes passes it), and its array goes
@@ -302,15 +310,12 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     first = scratch(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-first")
     links = _verified(texts, nodes, first, shingle, percent)
     comps = components(links)
-    of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
-    others = (stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
-              .where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
-    rest = scratch(others.unionByName(_tiles(groups, nodes, comps, percent)).distinct()
-                   .join(first, ["a", "b"], "left_anti"), "ngram-rest")
-    if not rest.isEmpty():
-        more = _verified(texts, nodes, rest, shingle, percent)
-        if not more.isEmpty():
-            comps = components(links.unionByName(more))
+    for more in (lambda: _apart(stars, comps), lambda: _tiles(groups, nodes, comps, percent)):
+        rest = scratch(more().join(first, ["a", "b"], "left_anti"), "ngram-rest")
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(texts, nodes, rest, shingle, percent))
+            comps = components(links)
+            first = first.unionByName(rest)
     return rows.join(comps, "node", "left").select(
         "doc_id", *carry, F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component"))
 
