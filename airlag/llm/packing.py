@@ -36,6 +36,8 @@ ISLANDS = 2
 POPULATION = 4
 EPOCHS = 3
 OFFSPRING = 8
+#: Islands that a task evolves in an epoch.
+TASK_ISLANDS = 16
 #: Bins filled below this share are dealt anew for the second round.
 POOR = 0.98
 #: Share of a parent's bins that a crossover injects.
@@ -190,7 +192,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 _STATE = "block long, island int, rows array<long>, lengths array<int>, population array<array<int>>"
 
 
-def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
+def _epoch(state: DataFrame, epoch: int, capacity: int, tasks: int) -> DataFrame:
     def run(frames):
         for frame in frames:
             frame["population"] = [
@@ -199,7 +201,8 @@ def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 for block, island, lengths, population in zip(
                     frame["block"], frame["island"], frame["lengths"], frame["population"], strict=True)]
             yield frame
-    return scratch(state.mapInPandas(run, _STATE), "packing-islands")
+    # the state is small and its evolution is not: tasks are counted by islands, not by bytes
+    return scratch(state.repartition(tasks, "block", "island").mapInPandas(run, _STATE), "packing-islands")
 
 
 def pack_lengths(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS,
@@ -214,8 +217,9 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK,
     state = blocks.select(
         "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.row").alias("rows"),
         F.transform("items", lambda x: (-x["minus"]).cast("int")).alias("lengths"),
-        F.array().cast("array<array<int>>").alias("population")).repartition("block", "island")
-    state = _epoch(state, 0, capacity)
+        F.array().cast("array<array<int>>").alias("population"))
+    tasks = -(-n_blocks * islands // TASK_ISLANDS)
+    state = _epoch(state, 0, capacity, tasks)
     for epoch in range(1, epochs):
         # elite migration: the best packing of an island replaces the last one of the next island
         elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"),
@@ -223,7 +227,7 @@ def pack_lengths(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK,
         moved = state.join(elite, ["block", "island"]).select(
             "block", "island", "rows", "lengths",
             F.concat("elite", F.slice("population", 1, POPULATION - 1)).alias("population"))
-        state = _epoch(moved, epoch, capacity)
+        state = _epoch(moved, epoch, capacity, tasks)
     best = state.select("block", "rows", "lengths", F.col("population")[0].alias("bins"), F.struct(
         (-F.array_max(F.col("population")[0])).alias("minus_bins"), F.col("island")).alias("rank"))
     best = best.groupBy("block").agg(F.max_by(F.struct("rows", "lengths", "bins"), "rank").alias("b"))

@@ -200,9 +200,12 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
     payload_bytes, payload, path, offset``.  Payloads are always decoded and
     checked; without ``with_payload`` they are null in the result."""
     ship_package(files.sparkSession)
+    count = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     splits = (files.where("bytes > 0").select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"))
-        .select("path", "lo", (F.col("lo") + split_bytes).alias("hi")).repartition("path", "lo"))
+        .select("path", "lo", (F.col("lo") + split_bytes).alias("hi"))
+        # a task per range: split rows are tiny, and a size-based plan would put them into one task
+        .repartition(int(count), "path", "lo"))
     names = [x.split()[0] for x in RECORDS.split(", ")]
     schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("payload_bytes", "offset")
                          else pa.string()) for n in names])
