@@ -15,7 +15,8 @@ candidates.  Per shared prefix shingle:
 Both ways compare hashed bitmap signatures first: a shingle flips one bit, so
 the number of different bits is at most the size of the symmetric difference,
 which bounds the overlap from above.  Signatures grow with the set; the longer
-of two is folded to the length of the other.  What passes
+of two is folded to the length of the other.  Stars and tiles carry a short form;
+the pairs it allows are held against the long one, on which few differences meet.  What passes
 is settled by exact intersection of the sorted shingle arrays, one star per
 node first, and of the others only those that still lie between two components.  Every pair that reaches the
 threshold is compared or already lies in one component, so the components are
@@ -38,13 +39,17 @@ from airlag.session import ship_package
 #: Default for near duplicates; the contract of the query names its own.
 SHINGLE, PERCENT = 5, 80
 #: Least length of a signature in 64-bit words.
-SIGNATURE_WORDS = 8
+SIGNATURE_WORDS = 16
+#: Bits per shingle that sets at the threshold may differ in, for the short and the long form.
+SHORT_BITS, LONG_BITS = 4.5, 18
 #: A shingle is put last if it is found this often in one run of texts ...
 LOCAL_REPEATS = 2
 #: ... and this often over all runs.
 FREQUENT = 4
 RUN_SHINGLES = 4_000_000
 TILE = 512
+#: Width of a size band in threshold ratios.
+BAND = 4
 _U64 = np.uint64
 
 
@@ -56,13 +61,17 @@ def node_of(shingles: np.ndarray) -> np.uint64:
         return mix((both + _U64(len(shingles)))[None])[0]
 
 
+def sign_words(n: int, percent: int, bits: float) -> int:
+    """Length of a signature of ``n`` shingles: a power of two of 64-bit words."""
+    words, wanted = SIGNATURE_WORDS, bits * 2 * n * (100 - percent) / (100 + percent)
+    while 64 * words < wanted:
+        words *= 2
+    return words
+
+
 def signature(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Parity of the number of shingles on each bit; a power of two of 64-bit
-    words, about 18 bits per shingle that sets at the threshold may differ in, so
-    that few of the differences meet on one bit and the bound is tight."""
-    width, wanted = 64 * SIGNATURE_WORDS, 36 * len(shingles) * (100 - percent) // (100 + percent)
-    while width < wanted:
-        width *= 2
+    """Parity of the number of shingles on each bit, in the long form."""
+    width = 64 * sign_words(len(shingles), percent, LONG_BITS)
     bits = np.bincount((shingles >> _U64(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(_U64)
 
@@ -118,14 +127,16 @@ def _describe(shingle: int, percent: int, frequent):
     def run(batches):
         hot = frequent.value
         for batch in batches:
-            node, size, signs, prefix, first, seen = [], [], [], [], [], set()
+            node, size, signs, longs, prefix, first, seen = [], [], [], [], [], [], set()
             for _, s in shingle_sets(batch.column(batch.num_columns - 1), shingle):
                 n = len(s)
                 size.append(n)
                 key = int(node_of(s).view(np.int64)) if n else None
                 node.append(key)
                 first.append(n > 0 and key not in seen)
-                signs.append(signature(s, percent).tobytes() if first[-1] else None)
+                long = signature(s, percent) if first[-1] else None
+                longs.append(None if long is None else long.tobytes())
+                signs.append(None if long is None else folded(long, sign_words(n, percent, SHORT_BITS)).tobytes())
                 if first[-1]:
                     seen.add(key)
                     late = hot.has(s)
@@ -136,8 +147,9 @@ def _describe(shingle: int, percent: int, frequent):
             lists = pa.ListArray.from_arrays(offsets, pa.array(
                 np.concatenate([*prefix, np.empty(0, _U64)]).astype(np.int64)), mask=pa.array([not f for f in first]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, pa.array(signs, pa.binary())],
-                [*batch.schema.names[:-1], "node", "n", "prefix", "sign"])
+                [*batch.columns[:-1], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists,
+                 pa.array(signs, pa.binary()), pa.array(longs, pa.binary())],
+                [*batch.schema.names[:-1], "node", "n", "prefix", "sign", "long_sign"])
     return run
 
 
@@ -225,8 +237,13 @@ def _stars(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     hubs = groups.groupBy("token").agg(F.min("node").alias("a"))
     pairs = (groups.join(hubs, "token").where(F.col("node") != F.col("a"))
              .select("a", F.col("node").alias("b")).distinct())
-    left = nodes.select(F.col("node").alias("a"), "n", F.col("sign").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y"))
+    return _allowed(pairs, nodes, "sign", percent)
+
+
+def _allowed(pairs: DataFrame, nodes: DataFrame, sign: str, percent: int) -> DataFrame:
+    """The pairs whose sizes and signatures (column ``sign``) allow the threshold."""
+    left = nodes.select(F.col("node").alias("a"), "n", F.col(sign).alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col(sign).alias("y"))
     sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(_may_reach(percent), "a long, b long")
 
@@ -240,15 +257,17 @@ def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int)
     # of groups with the same members (the shingles of one passage) one is enough
     mixed = mixed.groupBy("size", "m1", "m2").agg(F.min("token").alias("token"))
     rows = members.join(mixed.select("token"), "token").join(nodes.select("node", "n", "sign"), "node").withColumns({
-        "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"),
-        "k": F.ceil(F.col("g") / TILE).cast("int")})
+        "step": F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)), "k": F.ceil(F.col("g") / TILE).cast("int")})
+    # a band is BAND threshold ratios wide; the last of them (and a little more,
+    # for rounding) has partners in the next band
+    rows = rows.withColumns({"band": F.floor(F.col("step") / BAND).cast("int"), "high": F.pmod(F.col("step"), F.lit(float(BAND))) > BAND - 1.01})
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     all_k = F.sequence(F.lit(0), F.col("k") - 1)
     tile = lambda band, i, j, side: F.struct(
         band.alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     own = F.transform(all_k, lambda j: tile(F.col("band"), F.col("part"), j, 0))
     same = F.transform(F.filter(all_k, lambda i: i < F.col("part")), lambda i: tile(F.col("band"), i, F.col("part"), 1))
-    below = F.transform(all_k, lambda i: tile(F.col("band") + 1, i, F.col("part"), 1))
+    below = F.transform(F.filter(all_k, lambda i: F.col("high")), lambda i: tile(F.col("band") + 1, i, F.col("part"), 1))
     dealt = rows.select("token", F.explode(F.concat(own, same, below)).alias("t"), "node", "comp", "n", "sign")
     # a tile holds about three times TILE rows at most, by the hash
     tiles = dealt.groupBy("token", "t.band", "t.i", "t.j").agg(
@@ -269,6 +288,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     """The pairs that reach the threshold.  Of every node in question one text
     is shingled again (a bit set of text hashes passes it), and its array goes
     to the pairs that it is in."""
+    pairs = scratch(_allowed(pairs, nodes, "long_sign", percent), "ngram-allowed")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = bit_set(nodes.join(asked, "node", "left_semi"), "h")
     arrays = docs.select("h", "text").mapInArrow(_arrays_of(shingle, wanted), "node long, shingles array<long>")
@@ -299,9 +319,9 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                        F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     rows = scratch(slim.mapInArrow(_describe(shingle, percent, frequent),
-                                   f"{kept}, node long, n long, prefix array<long>, sign binary"), "ngram-rows")
+                                   f"{kept}, node long, n long, prefix array<long>, sign binary, long_sign binary"), "ngram-rows")
     nodes = scratch(rows.where("prefix is not null").groupBy("node").agg(
-        F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("n", "prefix", "sign")]), "ngram-nodes")
+        F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("n", "prefix", "sign", "long_sign")]), "ngram-nodes")
     tokens = nodes.select(F.explode("prefix").alias("token"), "node")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     groups = scratch(tokens.join(shared, "token"), "ngram-groups")
