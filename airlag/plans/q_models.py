@@ -25,12 +25,10 @@ from airlag.sources.csv_ingest import scratch_path
 
 W = Q.with_ctes
 FEATS = ENG_FEATURES
-#: Rounds that the registered boosted queries ask for instead of the published
-#: 1516 / 1576, which take Spark's trees too long for a report; the patience is
-#: the published one.  ``estimators.boosted`` itself has no limit.
-QUERY_ROUNDS = 128
-BOOSTED_CLF = dict(E.BOOSTED_TUNED_CLF, n_estimators=QUERY_ROUNDS)
-BOOSTED_REG = dict(E.BOOSTED_TUNED_REG, n_estimators=QUERY_ROUNDS, eval_metric="mae")
+#: The registered boosted queries run the published tuned configurations; the
+#: patience on the held-back rows ends the fit.
+BOOSTED_CLF = E.BOOSTED_TUNED_CLF
+BOOSTED_REG = dict(E.BOOSTED_TUNED_REG, eval_metric="mae")
 
 
 def model_frame(spark, sf, regression=False, scale=False, validation=False):

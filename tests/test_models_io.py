@@ -199,3 +199,28 @@ def test_streaming_ingest(spark, tmp_path):
     write_monthly_csv(raw, src)
     out = ingest_until_caught_up(spark, src, str(tmp_path / "stage"), str(tmp_path / "ckpt"))
     assert sorted(map(tuple, out.select(*S.RAW_COLS).collect())) == sorted(map(tuple, raw.collect()))
+
+
+def test_boosted_queries_run_the_published_rounds(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    from airlag.operators import splits
+    from airlag.plans import q_models as Q
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def boosted(df, task, config, validation_col=None):
+        asked.append((task, config["n_estimators"], config["early_stopping_rounds"], validation_col))
+        raise Stop
+
+    monkeypatch.setattr(Q, "model_frame", MagicMock())
+    monkeypatch.setattr(splits, "scale_pos_weight", MagicMock())
+    monkeypatch.setattr(E, "boosted", boosted)
+    for run in (Q.q_boosted_classifier, Q.q_importance_by_type, Q.q_model_info, Q.q_write_json_report, Q.q_boosted_regressor):
+        try:
+            run(spark, None)
+        except Stop:
+            continue
+    assert asked == [("classification", 1516, 50, "is_val")] * 4 + [("regression", 1576, 50, "is_val")]
