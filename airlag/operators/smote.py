@@ -1,21 +1,21 @@
 """SMOTE over-sampling of the minority class, distributed.
 
 For every synthetic row: a minority row x (chosen in proportion to how often
-its feature vector occurs), one of its k near minority neighbours n, and a
+its feature vector occurs), one of its k nearest minority neighbours n, and a
 gap g in [0, 1): x + g * (n - x).  Choices are hashes of (point, index), so
 the output does not depend on partitioning.
 
-Neighbour search, by one rule at every size and never over all pairs:
+Neighbour search, by one rule at every size and never over all pairs of points:
 
 * identical minority vectors collapse into one point with a multiplicity m
   (a vector's own copies are its nearest neighbours at distance 0);
-* distinct points are ordered along each of ``PROJECTIONS`` seeded directions
-  and cut into blocks of ``block`` consecutive points (distributed prefix sum);
-  a point ranks the candidates of its own and the two adjacent blocks, at most
-  3 * ``block`` of them, and keeps the k nearest; the k nearest over all
-  directions are its neighbours.  Up to two blocks of points are searched
-  whole; beyond that a neighbour is missed only if it is far along every
-  direction.
+* distinct points are cut into cells of at most about ``block``, by ranks along
+  the ``LEVELS`` features of largest variance one after the other; a point's
+  k-th distance in its own cell bounds how far its neighbours can be;
+* a pair of cells is compared only if their bounding boxes are no further apart
+  than the largest such bound in the first, and in it only the points whose own
+  bound reaches the second's box.  No point outside those boxes can be nearer,
+  so the k nearest are exact at every size; ties go to the smaller ``_pid``.
 * a point's quota of synthetic rows needs its multiplicity only and is computed
   beside the search; rows are generated per point with the chunked expansion of
   ``ranking.expand_copies``, the neighbours travelling as an array.
@@ -24,11 +24,11 @@ Neighbour search, by one rule at every size and never over all pairs:
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash32
@@ -36,62 +36,119 @@ from airlag.operators.ordering import cumulative_sums
 from airlag.operators.ranking import expand_copies
 from airlag.session import cut_lineage, ship_package
 
-PROJECTIONS = 3
-
-
-def _direction(d: int, seed: int) -> list[float]:
-    rng = random.Random(seed)
-    v = [rng.gauss(0.0, 1.0) for _ in range(d)]
-    norm = math.sqrt(sum(x * x for x in v)) or 1.0
-    return [x / norm for x in v]
-
-
-def _nearest_in_block(k: int):
-    """Rows (members of a block and its neighbours) -> the k nearest of every own member."""
-    def run(batches):
-        for batch in batches:
-            pid, dist, other, vec = [], [], [], []
-            for members in batch.column(0):
-                v = members.values
-                own = np.flatnonzero(v.field("own").to_numpy(zero_copy_only=False))
-                ids = v.field("_pid").to_pylist()
-                x = np.array(v.field("_x").to_pylist(), float).reshape(len(ids), -1)
-                for i in own:
-                    d = ((x - x[i]) ** 2).sum(1)
-                    d[i] = np.inf
-                    near = np.argpartition(d, min(k, len(d)) - 1)[:k]
-                    for j in near[np.isfinite(d[near])]:
-                        pid.append(ids[i])
-                        dist.append(float(d[j]))
-                        other.append(ids[j])
-                        vec.append(x[j].tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pid, pa.string()), pa.array(dist, pa.float64()), pa.array(other, pa.string()),
-                 pa.array(vec, pa.list_(pa.float64()))], ["_pid", "_d", "_qid", "_qx"])
-    return run
+LEVELS = 3
+#: Bounds are widened by this share, so that rounding cannot part equal distances.
+SLACK = 1 + 1e-9
+#: Pairs of cells a task compares, about; their members reach Python together.
+TASK_PAIRS = 512
+_NEAR = "array<struct<_d: double, _qid: string, _qx: array<double>>>"
+
+
+def _members(m):
+    """A list of member structs, by id: ids, vectors and the struct array."""
+    v = m.values
+    v = v.take(pa.compute.sort_indices(v.field("_pid")))
+    return v.field("_pid").to_pylist(), np.asarray(v.field("_x").flatten(), float).reshape(len(v), -1), v
+
+
+def _closest(d, need, bound, ids, x):
+    """The ``need`` smallest of ``d`` that are within ``bound``; ``ids`` are sorted, so ties go by id."""
+    near = np.flatnonzero(d <= bound)
+    near = near[np.argsort(d[near], kind="stable")[:need]]
+    return [{"_d": float(d[j]), "_qid": ids[j], "_qx": x[j].tolist()} for j in near]
+
+
+def _near_rows(rows):
+    kinds = {"_pid": pa.string(), "_r": pa.float64(),
+             "_nn": pa.list_(pa.struct([("_d", pa.float64()), ("_qid", pa.string()), ("_qx", pa.list_(pa.float64()))]))}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+def _within(batches):
+    """Members of a cell -> per point the nearest there, and the squared distance
+    within which all it needs are (infinite if the cell has too few)."""
+    for batch in batches:
+        for members in batch.column(0):
+            ids, x, v = _members(members)
+            rows = []
+            for i, need in enumerate(v.field("_need").to_pylist()):
+                if need == 0:
+                    rows.append((ids[i], -1.0, []))
+                    continue
+                d = ((x - x[i]) ** 2).sum(1)
+                d[i] = np.inf
+                r = float(np.partition(d, need - 1)[need - 1]) if need <= len(d) else math.inf
+                rows.append((ids[i], r, _closest(d, need, min(r, np.finfo(float).max), ids, x)))
+            yield _near_rows(rows)
+
+
+def _across(batches):
+    """Members of a cell and of another -> what the first's points find in the other within their bounds."""
+    for batch in batches:
+        for own, other in zip(batch.column(0), batch.column(1)):
+            ids, x, v = _members(own)
+            oids, ox, _ = _members(other)
+            need, r = v.field("_need").to_pylist(), v.field("_r").to_numpy()
+            gap = np.maximum(np.maximum(ox.min(0) - x, x - ox.max(0)), 0)
+            rows = []
+            for i in np.flatnonzero((gap ** 2).sum(1) <= r * SLACK):
+                near = _closest(((ox - x[i]) ** 2).sum(1), need[i], min(r[i], np.finfo(float).max), oids, ox)
+                if near:
+                    rows.append((ids[i], float(r[i]), near))
+            yield _near_rows(rows)
+
+
+def _cells(p: DataFrame, d: int, block: int) -> DataFrame:
+    """Adds ``_cell``: nested ranks along the features of largest variance."""
+    stats = p.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(F.col("_x")[i]).alias(f"v{i}") for i in range(d)]).first()
+    parts = math.ceil(math.ceil(max(stats["n"], 1) / block) ** (1 / LEVELS) - 1e-9)
+    axes = sorted(range(d), key=lambda i: (-(stats[f"v{i}"] or 0.0), i))[:LEVELS]
+    # equal values are dealt by a hash, so that a frequent one does not make a large cell
+    lead = p.select(F.col("_x")[axes[0]].alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    ends = cumulative_sums(lead, "_v", ["_c"]).select("_v", (F.col("cum__c") - F.col("_c")).alias("_before"), "_c")
+    unit = F.pmod(hash32("_pid", 1), F.lit(1 << 20)) / F.lit(1 << 20)
+    out = p.withColumn("_v", F.col("_x")[axes[0]]).join(ends, "_v").withColumn(
+        "_c0", F.floor((F.col("_before") + F.col("_c") * unit) * parts / F.lit(max(stats["n"], 1)))).drop("_v", "_before", "_c")
+    cell = ["_c0"]
+    for level, axis in enumerate(axes[1:], 1):
+        by = Window.partitionBy(*cell)
+        rank = F.row_number().over(by.orderBy(F.col("_x")[axis], "_pid")) - 1
+        out = out.withColumn(f"_c{level}", F.floor(rank * parts / F.count(F.lit(1)).over(by)))
+        cell.append(f"_c{level}")
+    return out.withColumn("_cell", F.concat_ws(":", *cell)).drop(*cell)
 
 
 def minority_neighbours(points: DataFrame, features: list[str], k: int = 5, block: int = 256,
                         seed: int = 42) -> DataFrame:
     """``points``: distinct vectors with ``_pid`` and multiplicity ``_m``.
-    Returns (_pid, _x, _m, nbrs: array<array<double>>) with k neighbour vectors."""
+    Returns (_pid, _x, _m, nbrs: array<array<double>>) with the k nearest
+    neighbour vectors; a vector with a null or non-finite component is nobody's
+    neighbour and has its own copies only."""
     ship_package(points.sparkSession)
+    n_dim = len(features)
     vec = F.array(*[F.col(c).cast("double") for c in features])
     p = points.select(F.col("_pid").cast("string").alias("_pid"), vec.alias("_x"), "_m")
-    found = None
-    for turn in range(PROJECTIONS):
-        r = _direction(len(features), seed + turn)
-        proj = sum((F.col("_x")[i] * F.lit(w) for i, w in enumerate(r)), F.lit(0.0))
-        placed = cumulative_sums(p.select("_pid", "_x", proj.alias("_proj"), F.lit(1).alias("_one")), "_proj", ["_one"])
-        blk = F.floor((F.col("cum__one") - 1) / block)
-        dealt = placed.select("_pid", "_x", blk.alias("_own"), F.explode(F.array(blk - 1, blk, blk + 1)).alias("_blk"))
-        # three blocks of points at most
-        blocks = dealt.groupBy("_blk").agg(F.collect_list(F.struct(
-            (F.col("_own") == F.col("_blk")).alias("own"), "_pid", "_x")).alias("members"))
-        near = blocks.where(F.exists("members", lambda m: m["own"])).select("members").mapInArrow(
-            _nearest_in_block(k), "_pid string, _d double, _qid string, _qx array<double>")
-        found = near if found is None else found.unionByName(near)
-    nearest = found.groupBy("_pid").agg(F.slice(F.array_sort(F.collect_set(F.struct("_d", "_qid", "_qx"))), 1, k).alias("_nn"))
+    whole = p.where(F.forall("_x", lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False)))).select(
+        "_pid", "_x", (k - F.least(F.col("_m") - 1, F.lit(k))).cast("int").alias("_need"))
+    placed = cut_lineage(_cells(whole, n_dim, block), "cells")
+    here = placed.groupBy("_cell").agg(F.collect_list(F.struct("_pid", "_x", "_need")).alias("members"))
+    first = cut_lineage(here.select("members").mapInArrow(_within, f"_pid string, _r double, _nn {_NEAR}"), "within")
+    cells = cut_lineage(placed.join(first.select("_pid", "_r"), "_pid").groupBy("_cell").agg(
+        F.max("_r").alias("_reach"), F.array(*[F.min(F.col("_x")[i]) for i in range(n_dim)]).alias("_lo"),
+        F.array(*[F.max(F.col("_x")[i]) for i in range(n_dim)]).alias("_hi"),
+        F.collect_list(F.struct("_pid", "_x", "_need", "_r")).alias("members")), "boxes")
+    # boxes only: some thousandths of the points
+    a = cells.where("_reach >= 0").select(F.col("_cell").alias("_a"), "_reach", F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi"))
+    b = cells.select(F.col("_cell").alias("_b"), "_lo", "_hi")
+    apart = sum((F.pow(F.greatest(F.col("_lo")[i] - F.col("_ahi")[i], F.col("_alo")[i] - F.col("_hi")[i], F.lit(0.0)), F.lit(2.0))
+                 for i in range(n_dim)), F.lit(0.0))
+    pairs = cut_lineage(a.crossJoin(b).where((F.col("_a") != F.col("_b")) & (apart <= F.col("_reach") * SLACK)).select("_a", "_b"), "pairs")
+    tasks = 1 + pairs.count() // TASK_PAIRS
+    both = cells.select(F.col("_cell").alias("_a"), F.col("members").alias("own")).repartition(tasks, "_a").join(
+        pairs.join(cells.select(F.col("_cell").alias("_b"), F.col("members").alias("other")), "_b").repartition(tasks, "_a"), "_a")
+    more = both.select("own", "other").mapInArrow(_across, f"_pid string, _r double, _nn {_NEAR}")
+    nearest = first.unionByName(more).groupBy("_pid").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("_nn"))), 1, k).alias("_nn"))
     # own copies first (distance 0), then the nearest other points, k in all
     return p.join(nearest, "_pid", "left").select(
         "_pid", "_x", "_m",

@@ -224,3 +224,20 @@ def test_boosted_queries_run_the_published_rounds(spark, monkeypatch):
         except Stop:
             continue
     assert asked == [("classification", 1516, 50, "is_val")] * 4 + [("regression", 1576, 50, "is_val")]
+
+
+def test_smote_neighbours_exact_over_many_cells(spark):
+    rng = random.Random(11)
+    # discrete and continuous features, a frequent value, more dimensions than levels, a far cluster
+    pts = sorted({(rng.choice([0.0, 0.0, 0.0, 6.0, 12.0]), float(rng.randrange(25)), rng.gauss(0, 2), rng.gauss(0, 2),
+                   rng.gauss(0, 2), float(rng.random() < 0.3)) for _ in range(1200)} | {(500.0 + i, 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(3)})
+    names = [f"f{j}" for j in range(6)]
+    df = spark.createDataFrame([(str(i), *x, 1 + i % 3) for i, x in enumerate(pts)], ["_pid", *names, "_m"])
+    nb = {r["_pid"]: r["nbrs"] for r in minority_neighbours(df, names, k=5, block=16).collect()}
+    x = np.array(pts)
+    for i in range(len(pts)):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        copies = i % 3
+        want = sorted(range(len(pts)), key=lambda j: (d[j], str(j)))[:5 - copies]
+        assert [tuple(v) for v in nb[str(i)]] == [pts[i]] * copies + [pts[j] for j in want]
