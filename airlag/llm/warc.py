@@ -93,10 +93,17 @@ def decode_record(raw: bytes) -> dict:
             "payload_digest": digest, "payload_bytes": length, "payload": None if revisit else payload}
 
 
-def members(f, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded bytes) of the records that start in [lo, hi) of an open file."""
+def members(f, lo: int, hi: int, strict: bool = False) -> Iterator[tuple[int, bytes]]:
+    """(offset, decoded bytes) of the records that start in [lo, hi) of an open file.
+
+    A magic without a WARC header behind it is no record; a record that cannot
+    be decoded to its end is an error.  ``strict``: the file holds records and
+    nothing else, so one must start at 0 and wherever one ends, up to the end of
+    the file; the reader of a record looks at the start of the next, also
+    beyond ``hi``."""
     f.seek(lo)
     base, buf, at, ended = lo, b"", lo, False
+    due = strict and lo == 0
 
     def more() -> bool:
         nonlocal buf, ended
@@ -104,10 +111,14 @@ def members(f, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
         buf, ended = buf + got, not got
         return bool(got)
 
-    while at < hi:
+    while at < hi or due:
         while at + len(MAGIC) > base + len(buf) and not ended:
             more()
         p = buf.find(MAGIC, at - base)
+        if due and p != at - base:
+            if ended and at == base + len(buf):
+                return
+            raise ValueError(f"no record at {at}")
         if p < 0:
             at = max(at, base + len(buf) - len(MAGIC) + 1)
             if ended or at >= hi:
@@ -116,7 +127,7 @@ def members(f, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
             more()
             continue
         start = base + p
-        if start >= hi:
+        if start >= hi and not due:
             return
         buf, base = buf[p:], start
         while len(buf) < 512 and not ended:
@@ -124,6 +135,14 @@ def members(f, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
         try:
             if zlib.decompressobj(31).decompress(buf[:4096], 7) != b"WARC/1.":
                 raise zlib.error("no record")
+        except zlib.error as e:
+            if due:
+                raise ValueError(f"no record at {start}") from e
+            at = start + 1
+            continue
+        if start >= hi:
+            return
+        try:
             z = zlib.decompressobj(31)
             parts, fed = [z.decompress(buf)], len(buf)
             while not z.eof:
@@ -131,10 +150,10 @@ def members(f, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
                     raise zlib.error("cut off")
                 parts.append(z.decompress(buf[fed:]))
                 fed = len(buf)
-        except zlib.error:
-            at = start + 1
-            continue
+        except zlib.error as e:
+            raise ValueError(f"damaged record at {start}") from e
         yield start, b"".join(parts)
+        due = strict
         at = base + fed - len(z.unused_data)
         buf, base = buf[at - base:], at
 
@@ -198,12 +217,15 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
     """Records of the archives in ``files`` (``path, bytes``), one row each,
     with columns ``record_id, url, record_type, refers_to, payload_digest,
     payload_bytes, payload, path, offset``.  Payloads are always decoded and
-    checked; without ``with_payload`` they are null in the result."""
+    checked; without ``with_payload`` they are null in the result.  A file that
+    has not the size in ``files`` is an error; with a column ``records``, as in
+    the manifest of ``write_warc``, so are bytes between records."""
     ship_package(files.sparkSession)
+    strict = "records" in files.columns
     count = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     splits = (files.where("bytes > 0").select(
-        "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"))
-        .select("path", "lo", (F.col("lo") + split_bytes).alias("hi"))
+        "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"))
+        .select("path", "bytes", "lo", (F.col("lo") + split_bytes).alias("hi"))
         # a task per range: split rows are tiny, and a size-based plan would put them into one task
         .repartition(int(count), "path", "lo"))
     names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -216,7 +238,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
             for s in batch.to_pylist():
                 fs, path = open_folder(s["path"])
                 with fs.open_input_file(path) as f:
-                    for at, raw in members(f, s["lo"], s["hi"]):
+                    if f.size() != s["bytes"]:
+                        raise ValueError(f"{s['path']} has {f.size()} bytes, not {s['bytes']}")
+                    for at, raw in members(f, s["lo"], s["hi"], strict):
                         r = decode_record(raw) | {"path": s["path"], "offset": at}
                         if not with_payload:
                             r["payload"] = None

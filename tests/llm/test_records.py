@@ -98,6 +98,33 @@ def test_false_magic_is_not_a_record():
     assert list(warc.members(io.BytesIO(raw), 0, len(noise))) == []
 
 
+def test_damaged_or_cut_archives_are_errors():
+    records = [warc.encode_record(i, "u", b"hello" * 50, None, False, "d") for i in range(4)]
+    raw, end = b"".join(records), len(records[0]) + len(records[1])
+
+    def read(raw, split, strict):
+        return [p for lo in range(0, len(raw), split) for p, _ in warc.members(io.BytesIO(raw), lo, lo + split, strict)]
+
+    body = end + len(records[2]) // 2  # within the third record
+    start = raw[:end] + bytes(4) + raw[end + 4:]
+    for split in (100, len(records[0]), 1 << 20):
+        assert len(read(raw, split, True)) == len(read(raw, split, False)) == 4
+        for bad in (raw[:body] + bytes([raw[body] ^ 255]) + raw[body + 1:], raw[:-5], raw[:-9]):
+            for strict in (True, False):
+                with pytest.raises(ValueError):
+                    read(bad, split, strict)
+        for bad in (start, b"?" + raw, raw + b"\x1f", raw[:end + 2]):
+            with pytest.raises(ValueError):
+                read(bad, split, True)
+
+
+def test_archive_of_another_size_is_an_error(spark):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>", "d", "p", 1) for i in range(9)], PAGES)
+    files = warc.write_warc(pages, f"{ensure_checkpoint_dir(spark)}/warc-size", "2026-01-01T00:00:00Z")
+    with pytest.raises(Exception, match="bytes, not"):
+        warc.read_warc(files.withColumn("bytes", F.col("bytes") + 1)).count()
+
+
 def test_url_verdicts(spark):
     urls = ["http://A.Example.NET/en/x", "http://example.net", "http://example.net/", "https://x.org/fr/1?q#f", "https://x.org/de/",
             "http://spam-site.example.com/a/?utm_source=1&b=2", "https://www.spam-site.example.com/a?b=2#z", "nothing", None, "", "://h", "http://",
