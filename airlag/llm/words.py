@@ -38,18 +38,21 @@ def _tables():
     return np.cumprod(powers), np.cumprod(inverse), letters
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in an array of bytes."""
+def word_spans(buf: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in an array of bytes; ``between`` says of
+    every byte whether it parts words."""
     space = np.empty(len(buf) + 2, np.int8)
     space[0] = space[-1] = 1
-    space[1:-1] = _SPACE[buf]
+    space[1:-1] = between[buf]
     edges = np.flatnonzero(np.diff(space))
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word; words longer than a segment are hashed one by one."""
-    powers, inverse, letters = _tables()
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of every word; words longer than a segment are hashed one by
+    one.  ``letters``: a number for every value in ``buf``, if these aren't bytes."""
+    powers, inverse, of_bytes = _tables()
+    letters = of_bytes if letters is None else letters
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
