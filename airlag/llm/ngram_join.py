@@ -9,8 +9,11 @@ candidates.  Per shared prefix shingle:
 1. every member is compared with the smallest node (a star, linear in the
    group); the links found are joined into components;
 2. groups that still hold several components are laid out in tiles by size
-   band, hot groups in several tiles per band, and each tile compares the pairs
-   of different components only.
+   band, hot groups in several tiles per band.  Tiles are gone through in rounds:
+   a row hands on its few most promising pairs with other components, these are
+   settled and components joined, so that most other pairs of the tile need no
+   look any more; the next round hands on four times as many, until a round has
+   left nothing out.  What rounds put out grows with the rows, not their pairs.
 
 Both ways compare hashed bitmap signatures first: a shingle flips one bit, so
 the number of different bits is at most the size of the symmetric difference,
@@ -18,9 +21,9 @@ which bounds the overlap from above.  Signatures grow with the set; the longer
 of two is folded to the length of the other.  Stars and tiles carry a short form;
 the pairs it allows are held against the long one, on which few differences meet.  What passes
 is settled by exact intersection of the sorted shingle arrays, one star per
-node first, and of the others only those that still lie between two components.  Every pair that reaches the
-threshold is compared or already lies in one component, so the components are
-those of the full join, and no group is ever held or paired as a whole.
+node first, and of the others only those that still lie between two components.  Arrays are made
+once per node.  Every pair that reaches the threshold is compared or already lies in one component,
+so the components are those of the full join, and no group is ever held or paired as a whole.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ LOCAL_REPEATS = 2
 FREQUENT = 4
 RUN_SHINGLES = 4_000_000
 TILE = 512
+#: Growth of the pairs per row from round to round.
+MORE_PAIRS = 4
+#: Bytes of text shingled at once.
+CHUNK = 1 << 20
 #: Width of a size band in threshold ratios.
 BAND = 4
 _U64 = np.uint64
@@ -93,7 +100,7 @@ def needed_overlap(n: int, percent: int) -> int:
 def shingle_sets(column: pa.Array, shingle: int):
     """(row, sorted shingles) of every text of an Arrow column, whole texts, A-Z in lower case."""
     texts = [(t or "").encode().lower() for t in column.to_pylist()]
-    for lo, hi in byte_chunks(texts):
+    for lo, hi in byte_chunks(texts, CHUNK):
         words = Words(texts[lo:hi])
         for d in range(hi - lo):
             yield lo + d, shingle_set(words.hashes[words.of(d)], shingle)
@@ -201,13 +208,16 @@ def _intersect(percent: int):
     return run
 
 
-def _tile_pairs(percent: int):
-    """Pairs of different components in a tile that the signatures allow.  side
-    0: the tile's own rows, compared with each other in tiles on the diagonal;
-    1: rows of another tile of the band or of the band below."""
+def _tile_pairs(percent: int, width: int):
+    """Pairs of different components in a tile that the signatures allow: of
+    every row the ``width`` most promising, other components first, each
+    component's closest pair before its next.  ``more``: the row has others;
+    rows (node, null) name all nodes that are in some pair.  side 0: the tile's
+    own rows, compared with each other in tiles on the diagonal; 1: rows of
+    another tile of the band or of the band below."""
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            out_a, out_b, out_more, met = [], [], [], []
             for diagonal, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 cols = {f: members.values.field(f).to_numpy() for f in ("side", "node", "comp", "n")}
                 signs = [np.frombuffer(x, _U64) for x in members.values.field("sign").to_pylist()]
@@ -215,19 +225,36 @@ def _tile_pairs(percent: int):
                 signs = np.stack([folded(x, words) for x in signs])
                 own = np.flatnonzero(cols["side"] == 0)
                 other = np.flatnonzero(cols["side"] == 1)
+                in_pair = np.zeros(len(signs), bool)
                 for at, i in enumerate(own):
                     j = np.concatenate((other, own[at + 1:])) if diagonal else other
                     j = j[cols["comp"][j] != cols["comp"][i]]
                     if not len(j):
                         continue
                     most = most_apart(cols["n"][j] + cols["n"][i], percent)
-                    apart = np.bitwise_count(signs[j] ^ signs[i]).sum(1)
+                    apart = np.bitwise_count(signs[j] ^ signs[i]).sum(1).astype(np.int64)
                     ratio = 100 * np.minimum(cols["n"][j], cols["n"][i]) >= percent * np.maximum(cols["n"][j], cols["n"][i])
-                    j = j[(apart <= most) & ratio]
+                    fits = (apart <= most) & ratio
+                    j, slack = j[fits], (most - apart)[fits]
+                    if not len(j):
+                        continue
+                    in_pair[j] = in_pair[i] = True
+                    more = len(j) > width
+                    if more:
+                        order = np.lexsort((cols["node"][j], -slack, cols["comp"][j]))
+                        comp = cols["comp"][j][order]
+                        turn = np.arange(len(order)) - np.searchsorted(comp, comp)
+                        j = j[order[np.lexsort((cols["node"][j][order], -slack[order], turn))[:width]]]
                     out_a.append(np.minimum(cols["node"][j], cols["node"][i]))
                     out_b.append(np.maximum(cols["node"][j], cols["node"][i]))
+                    out_more.append(np.full(len(j), more))
+                met.append(cols["node"][in_pair])
             none = np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *out_a])), pa.array(np.concatenate([none, *out_b]))], ["a", "b"])
+            met = np.unique(np.concatenate([none, *met]))
+            a, b = np.concatenate([none, *out_a, met]), np.concatenate([none, *out_b, met])
+            more = np.concatenate([np.empty(0, bool), *out_more, np.zeros(len(met), bool)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a), pa.array(b, mask=np.arange(len(b)) >= len(b) - len(met)), pa.array(more)], ["a", "b", "more"])
     return run
 
 
@@ -248,8 +275,9 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, sign: str, percent: int) -> Dat
     return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(_may_reach(percent), "a long, b long")
 
 
-def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one group that may reach the threshold."""
+def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b, more) of different components in one group that may reach
+    the threshold, ``width`` a row, and (node, null) for all nodes in such pairs."""
     members = groups.where("g > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = members.groupBy("token").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
@@ -274,7 +302,7 @@ def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int)
         F.collect_list(F.struct(F.col("t.side").alias("side"), "node", "comp", "n", "sign")).alias("members"))
     tiles = tiles.where((F.size("members") > 1) & F.exists("members", lambda m: m["side"] == 0))
     return tiles.select((F.col("i") == F.col("j")).alias("diagonal"), "members").mapInArrow(
-        _tile_pairs(percent), "a long, b long").distinct()
+        _tile_pairs(percent, width), "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -284,21 +312,60 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
             .where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold.  Of every node in question one text
-    is shingled again (a bit set of text hashes passes it), and its array goes
-    to the pairs that it is in."""
-    pairs = scratch(_allowed(pairs, nodes, "long_sign", percent), "ngram-allowed")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _arrays(docs: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles`` of the asked nodes: of each one text is shingled again
+    (a bit set of text hashes passes it)."""
+    asked = scratch(asked.distinct(), "ngram-asked")
     wanted = bit_set(nodes.join(asked, "node", "left_semi"), "h")
     arrays = docs.select("h", "text").mapInArrow(_arrays_of(shingle, wanted), "node long, shingles array<long>")
     arrays = arrays.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    # stored, so that the join that follows may split the many pairs of one node
+    return scratch(arrays.join(asked, "node", "left_semi"), "ngram-arrays")
+
+
+def _links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs that reach the threshold by their shingle arrays."""
     left = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return scratch(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(
         _intersect(percent), "a long, b long"), "ngram-links")
 
 
+class _Search:
+    """Links found so far, the components they make, pairs that are settled and
+    shingle arrays of the nodes that were asked for."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int):
+        self.docs, self.nodes, self.shingle, self.percent = docs, nodes, shingle, percent
+        self.links = self.comps = self.tried = self.arrays = None
+
+    def fetch(self, asked: DataFrame) -> None:
+        if self.arrays is None:
+            self.arrays = _arrays(self.docs, self.nodes, asked, self.shingle)
+            return
+        new = scratch(asked.distinct().join(self.arrays.select("node"), "node", "left_anti"), "ngram-new")
+        if not new.isEmpty():
+            self.arrays = self.arrays.unionByName(_arrays(self.docs, self.nodes, new, self.shingle))
+
+    def settle(self, pairs: DataFrame) -> bool:
+        """Settle those of the pairs that are not settled yet; whether there were any."""
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = scratch(pairs, "ngram-pairs")
+        if pairs.isEmpty():
+            if self.comps is None:
+                self.links, self.tried, self.comps = pairs, pairs, components(pairs)
+            return False
+        allowed = scratch(_allowed(pairs, self.nodes, "long_sign", self.percent), "ngram-allowed")
+        self.fetch(allowed.select(F.explode(F.array("a", "b")).alias("node")))
+        links = _links(allowed, self.arrays, self.percent)
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if self.comps is None or not links.isEmpty():
+            self.comps = components(self.links)
+        return True
+
+
 def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                 text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """``doc_id``, the ``carry`` columns, ``n_shingles``, ``component`` for
@@ -328,14 +395,19 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     stars = scratch(_stars(groups, nodes, percent), "ngram-stars")
     first = scratch(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "ngram-first")
-    links = _verified(texts, nodes, first, shingle, percent)
-    comps = components(links)
-    for more in (lambda: _apart(stars, comps), lambda: _tiles(groups, nodes, comps, percent)):
-        rest = scratch(more().join(first, ["a", "b"], "left_anti"), "ngram-rest")
-        if not rest.isEmpty():
-            links = links.unionByName(_verified(texts, nodes, rest, shingle, percent))
-            comps = components(links)
-            first = first.unionByName(rest)
+    found = _Search(texts, nodes, shingle, percent)
+    found.settle(first)
+    found.settle(_apart(stars, found.comps))
+    width, more = 1, True
+    while more:
+        offered = scratch(_tiles(groups, nodes, found.comps, percent, width), "ngram-offered")
+        more = not offered.where("more").isEmpty()
+        if width == 1:  # later pairs are among these nodes
+            asked = offered.where("b is null").select(F.col("a").alias("node"))
+            found.fetch(asked) if not asked.isEmpty() else None
+        found.settle(offered.where("b is not null").select("a", "b"))
+        width *= MORE_PAIRS
+    comps = found.comps
     return rows.join(comps, "node", "left").select(
         "doc_id", *carry, F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component"))
 
