@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airlag import session
 from airlag.session import ensure_checkpoint_dir
 
 #: A word is a run of characters other than the six ASCII white-space ones.
@@ -19,6 +20,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataF
     return df.select(*cols) if cols else df
 
 
+#: Rows of a batch that goes to a Python worker: texts may be long, and Spark's
+#: default of 10,000 rows holds all of theirs several times over.
+BATCH_ROWS = 1000
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in the workers, and batches small unless the session sets their size."""
+    session.ship_package(spark)
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 #: Folders of scratch tables by application and owner.
 _SCRATCH: dict[tuple[str, str], list[str]] = {}
 _OWNER = ["operators"]

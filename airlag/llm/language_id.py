@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlag.llm.common import read_table
-from airlag.session import ship_package
+from airlag.llm.common import read_table, ship_package
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)

@@ -34,10 +34,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlag.llm.bitmaps import bit_set
-from airlag.llm.common import read_table, scratch
+from airlag.llm.common import read_table, scratch, ship_package
 from airlag.llm.components import components
 from airlag.llm.words import Words, byte_chunks, mix, shingle_set
-from airlag.session import ship_package
 
 #: Default for near duplicates; the contract of the query names its own.
 SHINGLE, PERCENT = 5, 80
@@ -402,10 +401,12 @@ def linked_rows(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     while more:
         offered = scratch(_tiles(groups, nodes, found.comps, percent, width), "ngram-offered")
         more = not offered.where("more").isEmpty()
-        if width == 1:  # later pairs are among these nodes
-            asked = offered.where("b is null").select(F.col("a").alias("node"))
-            found.fetch(asked) if not asked.isEmpty() else None
+        met = offered.where("b is null").select(F.col("a").alias("node"))  # later pairs are among these nodes
+        if width == 1 and not met.isEmpty():
+            found.fetch(met)
         found.settle(offered.where("b is not null").select("a", "b"))
+        if more:
+            groups = scratch(groups.join(met, "node", "left_semi"), "ngram-groups")
         width *= MORE_PAIRS
     comps = found.comps
     return rows.join(comps, "node", "left").select(

@@ -8,8 +8,11 @@ well-filled bins of one parent into the other, removes the bins that hold
 duplicates and best-fits the displaced pieces; mutation dissolves poor bins.
 Between epochs the best packing of every island migrates to the next island of
 the block, through a Spark join of slim state rows.  After the last epoch the
-pieces of poorly filled bins of all blocks are dealt anew and evolved once
-more, and that packing is taken if it needs fewer sequences.
+pieces of all bins with room left, with those of some full bins
+to combine them with, are dealt anew and evolved; that packing is taken if it
+needs fewer sequences, and so on until ``PATIENCE`` rounds in a row gain nothing.
+A round has a fraction of the blocks of the first one, so the bin that a block
+cannot fill is lost in ever fewer blocks.
 
 A block is a bounded number of lengths, so state rows are bounded, every block
 evolves on its own, and the work grows with the number of pieces.
@@ -25,21 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlag.llm.common import read_table, scratch
+from airlag.llm.common import read_table, scratch, ship_package
 from airlag.llm.tokens import VOCABULARY, token_ids
-from airlag.session import ship_package
 
 CAPACITY = 1024
 END_ID = 2
-BLOCK = 2048
+BLOCK = 1 << 14
 ISLANDS = 2
 POPULATION = 4
 EPOCHS = 3
 OFFSPRING = 8
 #: Islands that a task evolves in an epoch.
-TASK_ISLANDS = 16
-#: Bins filled below this share are dealt anew for the second round.
-POOR = 0.98
+TASK_ISLANDS = 2
+#: Bins that are not full are dealt anew, with one in ``MIXED`` of the full ones.
+MIXED = 8
+#: Rounds of dealing anew: so many at most, and so many in a row that gain nothing.
+ROUNDS, PATIENCE = 12, 3
 #: Share of a parent's bins that a crossover injects.
 INJECT = 0.15
 
@@ -206,11 +210,11 @@ def _epoch(state: DataFrame, epoch: int, capacity: int, tasks: int) -> DataFrame
 
 
 def pack_lengths(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS,
-                 epochs: int = EPOCHS) -> DataFrame:
+                 epochs: int = EPOCHS, turn: int = 0) -> DataFrame:
     """Pack ``items`` (``row`` long, unique; ``length`` from 1 to ``capacity``):
-    ``row, block, bin, offset, fill``."""
+    ``row, length, block, bin, offset, fill``.  ``turn`` deals them otherwise."""
     n_blocks = max(1, round(items.count() / block))
-    dealt = items.select(F.pmod(F.xxhash64("row", F.lit(n_blocks)), F.lit(n_blocks)).alias("block"), "row", "length")
+    dealt = items.select(F.pmod(F.xxhash64("row", F.lit(n_blocks), F.lit(turn)), F.lit(n_blocks)).alias("block"), "row", "length")
     # a block has about `block` rows by the hash, whatever the data
     blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("length")).alias("minus"), "row"))).alias("items"))
@@ -245,22 +249,26 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc
     """Sequences of at most ``capacity`` tokens: ``doc_id, piece, start,
     length, ids_crc32, sequence_id, offset``, a row per piece.
 
-    A null or empty text is its end id alone.  Null ids and repeated rows are
-    packed like any others, an empty table gives no rows, other columns are
-    ignored whatever their names."""
+    A null or empty text is its end id alone.  Texts of any length are encoded
+    whole and cut, runs of one character included.  Null ids and repeated rows
+    are packed like any others, pieces of equal length in any order; an empty
+    table gives no rows; other columns are ignored whatever their names."""
     cut = scratch(pieces(docs, id_col, text_col, capacity, end_id, vocabulary)
                   .withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     short = cut.where(F.col("length") < capacity).select("row", "length")
-    first = scratch(pack_lengths(short, capacity, block, islands, epochs), "packing-first")
-    poor = F.col("fill") < int(capacity * POOR)
-    again = scratch(pack_lengths(first.where(poor).select("row", "length"), capacity, block, islands, epochs), "packing-again")
+    number = lambda turn: (F.col("block") * F.lit(1 << 20) + F.col("bin")) * F.lit(ROUNDS + 1) + F.lit(turn)
+    slim = ["row", "length", "sequence_id", "offset", "fill"]
+    placed = scratch(pack_lengths(short, capacity, block, islands, epochs).withColumn("sequence_id", number(0)).select(slim), "packing-placed")
     bins = lambda d: d.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
-    number = lambda part: (F.col("block") * F.lit(1 << 20) + F.col("bin")) * 2 + F.lit(part)
-    if bins(again) < bins(first.where(poor)):
-        placed = first.where(~poor).withColumn("sequence_id", number(0)).unionByName(
-            again.withColumn("sequence_id", number(1)))
-    else:
-        placed = first.withColumn("sequence_id", number(0))
+    idle = 0
+    for turn in range(1, ROUNDS + 1):
+        loose = (F.col("fill") < capacity) | (F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(MIXED)) == 0)
+        again = scratch(pack_lengths(placed.where(loose).select("row", "length"), capacity, block, islands, epochs, turn)
+                        .withColumn("sequence_id", number(turn)).select(slim), "packing-again")
+        if bins(again) < bins(placed.where(loose)):
+            placed, idle = scratch(placed.where(~loose).unionByName(again), "packing-placed"), 0
+        elif (idle := idle + 1) == PATIENCE:
+            break
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = cut.where(F.col("length") == capacity).withColumns(
         {"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")}).select(columns)

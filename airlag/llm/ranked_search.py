@@ -35,9 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlag.llm.common import read_table, scratch
+from airlag.llm.common import read_table, scratch, ship_package
 from airlag.llm.words import byte_chunks, word_hashes, word_spans
-from airlag.session import ship_package
 
 TOP = 50
 #: Queries scored in one pass over the postings; more of them are dealt into blocks.

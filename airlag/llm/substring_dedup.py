@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlag.llm.bitmaps import bit_set
-from airlag.llm.common import read_table, scratch
+from airlag.llm.common import read_table, scratch, ship_package
 from airlag.llm.words import Words, byte_chunks, shingle_hashes
-from airlag.session import ship_package
 
 WINDOW = 35
 SEED = 10

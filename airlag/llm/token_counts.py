@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlag.llm.common import read_table
+from airlag.llm.common import read_table, ship_package
 from airlag.llm.words import byte_chunks, mix, word_hashes
-from airlag.session import ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048

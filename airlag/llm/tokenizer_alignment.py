@@ -31,10 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlag.llm import perfect_hash
-from airlag.llm.common import read_table, scratch
+from airlag.llm.common import read_table, scratch, ship_package
 from airlag.llm.tokens import token_ids
 from airlag.llm.words import byte_chunks, mix
-from airlag.session import ship_package
 
 BYTE_VOCABULARY = "byte_bpe_50k"
 PIECE_VOCABULARY = "piece_bpe_32k.model"

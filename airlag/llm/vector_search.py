@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlag.llm.common import read_table, scratch
-from airlag.session import ship_package
+from airlag.llm.common import read_table, scratch, ship_package
 
 TOP = 5
 SCALE = 256
