@@ -1,5 +1,5 @@
-"""Estimators on Spark ML: logistic regression, random forests, gradient
-boosted trees, plus prediction, importance, coefficients and persistence.
+"""Estimators: logistic regression and random forests on Spark ML, boosted
+trees of ``plans/boosting.py``, plus prediction, importance, coefficients and persistence.
 
 Training frames are assembled once and checkpointed into the session's
 checkpoint folder (``cut_lineage``) before fitting: iterative fitters make many
@@ -13,18 +13,17 @@ import datetime as dt
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airlag.operators.features import numeric_coerce
 from airlag.operators.splits import class_weight_balanced, scale_pos_weight
+from airlag.plans.boosting import BoostedTrees, fit_boosted
 from airlag.session import cut_lineage
 
 SPARK_MAX_DEPTH = 30
@@ -39,8 +38,6 @@ BOOSTED_TUNED_REG = {"n_estimators": 1576, "max_depth": 9, "learning_rate": 0.23
 BOOSTED_TUNED_CLF = {"n_estimators": 1516, "max_depth": 6, "learning_rate": 0.2880,
                      "subsample": 0.9378, "colsample_bytree": 0.7581, "early_stopping_rounds": 50}
 # ----------------------------------------------------------------------------
-#: Rounds of the first fit of an early-stopped run; doubled until the best round is known.
-BOOSTED_FIRST_ROUNDS = 64
 # Deep trees: cache node ids (no re-walk of every tree per level) and give the
 # per-level node statistics more room so fewer passes are needed.
 TREE_RESOURCES = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
@@ -150,50 +147,16 @@ def rf_regressor(df: DataFrame, n_estimators: int = 100, max_depth: int | None =
     return rf.fit(df)
 
 
-def _subset(colsample: float) -> str:
-    return str(min(1.0, max(0.01, float(colsample))))
-
-
 def boosted(df: DataFrame, task: str, config: dict | None = None, validation_col: str | None = None,
-            seed: int = 42):
-    """Gradient-boosted trees with the configured number of rounds.
-
-    With ``validation_col`` (rows it marks are held back) training stops early:
-    when the best round on the held-back rows lies ``early_stopping_rounds``
-    before the last one, or the configured number is reached.  Spark fits a
-    given number of rounds, and a shorter fit with the same seed is a prefix of
-    a longer one, so rounds are doubled until the best is known and the best
-    prefix is the model.  The model has ``best_iteration`` (from 0),
+            seed: int = 42) -> BoostedTrees:
+    """Gradient-boosted trees (``plans/boosting.py``) with the configured number of rounds.
+
+    With ``validation_col`` (rows it marks are held back) training stops when
+    the best round on the held-back rows lies ``early_stopping_rounds`` back, and
+    the model is that of the best round.  It has ``best_iteration`` (from 0),
     ``best_score`` (the held-back loss) and ``rounds``."""
-    cfg = dict(config or (BOOSTED_DEFAULT_REG if task == "regression" else BOOSTED_DEFAULT_CLF))
-    loss = "absolute" if cfg.get("eval_metric") == "mae" else "squared"
-    train = df.where(~F.col(validation_col)) if validation_col else df
-    held = df.where(F.col(validation_col)) if validation_col else None
-
-    def fit(rounds: int):
-        kw = dict(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=effective_depth(cfg["max_depth"]),
-                  stepSize=float(cfg["learning_rate"]), subsamplingRate=float(cfg["subsample"]),
-                  featureSubsetStrategy=_subset(cfg["colsample_bytree"]), seed=seed, maxBins=64)
-        est = GBTRegressor(lossType=loss, **kw) if task == "regression" else GBTClassifier(**kw)
-        if "weight" in df.columns:
-            est.setWeightCol("weight")
-        return est.fit(train)
-
-    most, patience = int(cfg["n_estimators"]), int(cfg.get("early_stopping_rounds") or 0)
-    rounds = min(most, max(BOOSTED_FIRST_ROUNDS, patience + 1)) if validation_col and patience else most
-    while True:
-        model = fit(rounds)
-        losses = None
-        if held is not None:
-            losses = list(model.evaluateEachIteration(held, loss) if task == "regression" else model.evaluateEachIteration(held))
-        best = min(range(len(losses)), key=losses.__getitem__) if losses else rounds - 1
-        if rounds == most or not losses or best < rounds - patience:
-            break
-        rounds = min(most, 2 * rounds)
-    if best + 1 < rounds:
-        model = fit(best + 1)
-    model.best_iteration, model.best_score, model.rounds = best, (losses[best] if losses else None), rounds
-    return model
+    cfg = config or (BOOSTED_DEFAULT_REG if task == "regression" else BOOSTED_DEFAULT_CLF)
+    return fit_boosted(df, task, cfg, validation_col, seed)
 
 
 # --------------------------------------------------------------- inference
@@ -224,14 +187,11 @@ def coefficients(model, names: list[str]) -> DataFrame:
 
 
 def importance_by_type(model, names: list[str], path: str, top: int = 15) -> DataFrame:
-    """Split count (``weight``), mean gain and mean node row count (``cover``)
-    per feature, read from the persisted tree table; each normalised to sum 1."""
-    model.write().overwrite().save(path)
+    """Split count (``weight``), mean gain and mean hessian sum (``cover``) per
+    feature, read from the persisted node table; each normalised to sum 1."""
+    model.save(path)
     spark = SparkSession.getActiveSession()
-    nodes = spark.read.parquet(f"{path}/data")
-    split = nodes.select(F.col("nodeData.split.featureIndex").alias("fi"),
-                         F.col("nodeData.gain").alias("gain"),
-                         F.col("nodeData.rawCount").alias("cover")).where(F.col("fi") >= 0)
+    split = spark.read.parquet(f"{path}/nodes").select(F.col("feature").alias("fi"), "gain", "cover").where(F.col("fi") >= 0)
     g = split.groupBy("fi").agg(F.count(F.lit(1)).alias("weight"), F.avg("gain").alias("gain"),
                                 F.avg("cover").alias("cover"))
     names_df = spark.createDataFrame(list(enumerate(names)), "fi int, feature string")

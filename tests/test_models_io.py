@@ -81,11 +81,8 @@ def test_gbt_early_stopping_keeps_the_best_prefix(spark):
     df = _planted(spark, 600).withColumn("is_val", F.col("row_key").endswith("7"))
     d = E.prepare(df, ["a", "b"], "y", keep=("is_val",), checkpoint=False).cache()
     config = dict(E.BOOSTED_DEFAULT_CLF, n_estimators=24, max_depth=3, learning_rate=0.5, early_stopping_rounds=3)
-    E_FIRST, E.BOOSTED_FIRST_ROUNDS = E.BOOSTED_FIRST_ROUNDS, 6
-    try:
-        model = E.boosted(d, "classification", config, validation_col="is_val")
-    finally:
-        E.BOOSTED_FIRST_ROUNDS = E_FIRST
+    model = E.boosted(d, "classification", config, validation_col="is_val")
+    assert model.best_iteration > 0
     losses = E.boosted(d, "classification", dict(config, early_stopping_rounds=0), validation_col="is_val")
     assert len(model.trees) == model.best_iteration + 1 <= model.rounds <= 24
     assert model.rounds == 24 or model.best_iteration < model.rounds - 3
