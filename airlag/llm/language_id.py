@@ -10,12 +10,11 @@ by the letters they hold.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlag.llm.common import read_table, ship_package
@@ -24,15 +23,14 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: Bounds of the training sample: documents, and windows of each.
-MAX_DOCUMENTS = 4000
+#: Bounds of the training sample: documents of each language, and windows of each.
+MAX_EACH = 1000
 WINDOWS_EACH = 3
 EPOCHS = 8
 BATCH = 64
 RATE = 0.01
 SEED = 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Weight of a byte in the average: ASCII letters and bytes of other characters.
 _LETTERS = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)], np.float32)
 
@@ -137,20 +135,22 @@ def fold(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Network trained on windows from random places of at most
-    ``MAX_DOCUMENTS`` labelled documents outside fold ``held_out``, taken in
-    hash order; None without any."""
+    """Network trained on windows from random places of at most ``MAX_EACH``
+    documents of each language outside fold ``held_out``, those with the
+    smallest hashes of id and text, however the table is laid out; None without
+    any.  The sample that reaches the driver grows with the languages only."""
     text, chars = F.col(text_col), F.length(text_col)
-    start = lambda i: (F.pmod(F.xxhash64(F.lit(SEED), F.col("row"), i), F.greatest(chars - WINDOW + 1, F.lit(1))) + 1).cast("int")
-    labelled = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col)) != held_out))
-    # tasks send about two samples' worth of rows in all, however many they are
-    part = min(1.0, 2 * MAX_DOCUMENTS / max(1, labelled.count()))
-    h = F.xxhash64(F.lit(SEED), F.col(id_col), F.col("row"))
-    rows = (labelled.withColumn("row", F.monotonically_increasing_id())
-            .where((F.pmod(h, F.lit(1 << 40)) < int(part * (1 << 40))) & text.rlike(r"\p{L}"))
-            .select(h.alias("h"), F.col("row"), F.col(lang_col).alias("lang"),
-                    F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_EACH)), lambda i: F.substring(text, start(i), F.lit(WINDOW))).alias("w"))
-            .orderBy("h", "row").limit(MAX_DOCUMENTS).collect())
+    start = lambda i: (F.pmod(F.xxhash64(F.col("h"), i), F.greatest(chars - WINDOW + 1, F.lit(1))) + 1).cast("int")
+    labelled = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col)) != held_out) & text.rlike(r"\p{L}"))
+    labelled = labelled.select(F.col(lang_col).alias("lang"), text.alias(text_col), F.xxhash64(F.lit(SEED), F.col(id_col), text).alias("h"))
+    # tasks send about two samples' worth of rows of a language, however many there are
+    each = labelled.groupBy("lang").agg(F.least(F.lit(1.0), 2 * MAX_EACH / F.count(F.lit(1))).alias("part"))
+    some = labelled.join(each, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("part") * (1 << 40))
+    windows = some.select("lang", "h", F.transform(F.sequence(F.lit(1), F.lit(WINDOWS_EACH)),
+                                                   lambda i: F.substring(text, start(i), F.lit(WINDOW))).alias("w"))
+    first = Window.partitionBy("lang").orderBy("h", "w")
+    rows = (windows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= MAX_EACH)
+            .orderBy("h", "lang", "w").select("lang", "w").collect())
     pairs = [(w.encode(), r["lang"]) for r in rows for w in r["w"]]
     return train([w for w, _ in pairs], [g for _, g in pairs]) if pairs else None
 
@@ -158,16 +158,18 @@ def fit(docs: DataFrame, held_out: int = 2, id_col: str = "doc_id", text_col: st
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` from the whole text of every row.
 
-    ``und`` with score 0 for a null text, one without letters, or without a
-    network.  Repeated rows get equal answers, an empty table gives no rows,
-    and no other column is read."""
+    ``und`` with score 0 for a null text, one without letters (numerals and
+    marks are none), or without a network.  Texts of any length are read whole,
+    window by window; of languages with equal scores the first by name is taken.
+    Repeated rows get equal answers, an empty table gives no rows, and no other
+    column is read."""
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            known = [network is not None and t is not None and _LETTER.search(t) is not None for t in texts]
+            known = [network is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             rows = [i for i, k in enumerate(known) if k]
             for lo in range(0, len(rows), 64):

@@ -30,8 +30,8 @@ QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 2048
 #: Candidate blocks of one group.
 GROUP_BLOCKS = 4
-#: Components of this size or more cannot be scored in a 64-bit number.
-LIMIT = 1 << 27
+#: Sums of products below this are added in 64 bits; beyond it with whole numbers of any size.
+NARROW = 1 << 62
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -46,7 +46,11 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact_scores(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Integer inner products of the pairs."""
+    """Integer inner products of the pairs; one that does not fit 64 bits is an error."""
+    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    if most(q) * most(c) * q.shape[1] >= NARROW:
+        return np.array([sum(a * b for a, b in zip(q[i].tolist(), c[j].tolist(), strict=True))
+                         for i, j in zip(rows, cols, strict=True)], np.int64)
     out = np.empty(len(rows), np.int64)
     for lo in range(0, len(rows), 1 << 16):
         out[lo:lo + (1 << 16)] = np.einsum("ij,ij->i", q[rows[lo:lo + (1 << 16)]], c[cols[lo:lo + (1 << 16)]])
@@ -64,7 +68,8 @@ class Best:
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
 
     def floor(self) -> np.ndarray:
-        return np.array([-float(f[-1][0]) if len(f) == self.k else -np.inf for f in self.found])
+        # a little below, where a score has more digits than a float
+        return np.array([np.nextafter(-float(f[-1][0]), -np.inf) if len(f) == self.k else -np.inf for f in self.found])
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, levels: list[np.ndarray], first: int = 64):
         """Candidates of a block; the first few set the scores to beat."""
@@ -105,7 +110,7 @@ def _pack(size: int):
             return pa.RecordBatch.from_pydict({
                 "dim": pa.array([len(rows[0][1])], pa.int32()), "ids": pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
                 "numbers": pa.array([[r[2] for r in rows]], pa.list_(pa.int64())),
-                "vectors": pa.array([np.array([r[1] for r in rows], "<i4").tobytes()], pa.binary())})
+                "vectors": pa.array([np.array([r[1] for r in rows], "<i8").tobytes()], pa.binary())})
 
         for batch in batches:
             for key, v, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -137,11 +142,11 @@ def _search(k: int):
                     if best is not None:
                         yield result()
                     number, numbers = block.as_py(), q_numbers.values.to_pylist()
-                    best = Best(q_ids.values.to_numpy(), np.frombuffer(q_raw.as_buffer(), "<i4").reshape(shape).astype(np.int64), k)
+                    best = Best(q_ids.values.to_numpy(), np.frombuffer(q_raw.as_buffer(), "<i8").reshape(shape), k)
                 if c_no.as_py() not in known:  # the few blocks of the group
                     if len(known) >= 2 * GROUP_BLOCKS:
                         known.clear()
-                    v = np.frombuffer(c_raw.as_buffer(), "<i4").reshape(shape).astype(np.int64)
+                    v = np.frombuffer(c_raw.as_buffer(), "<i8").reshape(shape)
                     known[c_no.as_py()] = (c_ids.values.to_numpy(), v, [segment_statistics(v.astype(float), s) for s in RESOLUTIONS])
                 best.meet(*known[c_no.as_py()])
         if best is not None:
@@ -151,8 +156,8 @@ def _search(k: int):
 
 
 def usable(col: str = "embedding"):
-    """The vector has components, all finite and small enough to score."""
-    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LIMIT / SCALE)
+    """The vector has components, all finite."""
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     return F.col(col).isNotNull() & (F.size(col) > 0) & F.forall(col, lambda x: F.coalesce(ok(x), F.lit(False)))
 
 
@@ -162,12 +167,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     product of floor(256 * x), smaller ids first among ties.
 
     Rows with a query's own ``vec_id`` are not its candidates.  Null vectors,
-    empty ones and those with a null, non-finite or huge (2**19) component or a
-    null id take no part; only vectors of one dimension meet.  Repeated query
+    empty ones and those with a null or non-finite component or a null id take
+    no part; only vectors of one dimension meet.  A component or a score that
+    does not fit a 64-bit number is an error, as it has no result.  Repeated query
     rows are asked once; repeated candidates are ranked one by one.  Empty
     tables give no rows; other columns are ignored whatever their names."""
     ship_package(candidates.sparkSession)
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("v")
+    fits = lambda x: F.abs(x.cast("double") * SCALE) < float(1 << 63)
+    ints = F.transform("embedding", lambda x: F.when(fits(x), F.floor(x.cast("double") * SCALE)).otherwise(
+        F.raise_error(F.lit("a component does not fit a 64-bit number")).cast("long"))).alias("v")
     rows = candidates.where(usable() & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), ints, F.lit(0).cast("long").alias("number"))
     asked = (queries.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints).distinct()
