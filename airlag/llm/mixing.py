@@ -21,7 +21,9 @@ DIMENSIONS = ("source", "lang", "topic")
 #: A number flattens the present shares by that exponent, a dict names shares.
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEEP_TOKENS = 0.8
-ROUNDS = 12
+#: Raking goes on until no category is further than this from its target share,
+#: or until ``TURN`` rounds take less than ``LEAST_GAIN`` of the largest error away.
+TOLERANCE, TURN, LEAST_GAIN = 1e-9, 4, 0.1
 SEED = 20
 
 
@@ -68,19 +70,26 @@ def _with_targets(cells: DataFrame, targets: dict) -> DataFrame:
     return out.select(*DIMENSIONS, "tokens", "docs", *[c.alias(n) for n, c in share.items()])
 
 
-def rake(cells: DataFrame, targets: dict, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (``source, lang, topic, tokens, docs``) with ``share``: their part
-    of the target mixture, after ``rounds`` of proportional fitting.  Margins
-    that the present cells cannot meet together are met as nearly as raking
-    gets; the last dimension's exactly."""
+    of the target mixture by proportional fitting, and ``margin_error``: the
+    largest distance of a category's share from its target that is left.  Rounds
+    go on until it is below ``tolerance`` or stops falling, as it does where the
+    present cells cannot meet all margins together; the last dimension's are
+    met exactly.  Rare categories are cells like any others."""
     out = _with_targets(cells, targets).withColumn("share", F.col("tokens") / 1.0)
-    for i in range(rounds):
-        for d in DIMENSIONS:
-            total = F.sum("share").over(Window.partitionBy(d))
-            out = out.withColumn("share", F.when(total > 0, F.col("share") * F.col(f"t_{d}") / total).otherwise(0.0))
-        if i % 4 == 3:
-            out = scratch(out, "mixing-round")
-    return out if rounds % 4 == 0 else scratch(out, "mixing-round")
+    total = lambda d: F.sum("share").over(Window.partitionBy(d))
+    last = float("inf")
+    while True:
+        for _ in range(TURN):
+            for d in DIMENSIONS:
+                out = out.withColumn("share", F.when(total(d) > 0, F.col("share") * F.col(f"t_{d}") / total(d)).otherwise(0.0))
+        out = scratch(out, "mixing-round")
+        apart = F.greatest(*[F.abs(total(d) - F.col(f"t_{d}")) for d in DIMENSIONS])
+        error = out.select(apart.alias("e")).agg(F.coalesce(F.max("e"), F.lit(0.0))).first()[0]
+        if error <= tolerance or error > last * (1 - LEAST_GAIN):
+            return out.withColumn("margin_error", F.lit(error))
+        last = error
 
 
 def sampling_rates(raked: DataFrame, keep_tokens: float = KEEP_TOKENS) -> DataFrame:
@@ -134,7 +143,8 @@ def mix_rows(docs: DataFrame, targets: dict | None = None, keep_tokens: float =
 
 def mix(docs: DataFrame, targets: dict | None = None, keep_tokens: float = KEEP_TOKENS,
         seed: int = SEED) -> DataFrame:
-    """The sampled rows of ``docs``, with their columns."""
+    """The sampled rows of ``docs``, with their columns; nulls, repeated rows and
+    empty tables as in ``mix_rows``."""
     cells = _rates(classed(docs), TARGETS if targets is None else targets, keep_tokens).select(
         *[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], F.col("rate").alias("_mix_rate"))
     same = (F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))

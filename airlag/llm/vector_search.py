@@ -156,8 +156,8 @@ def _search(k: int):
 
 
 def usable(col: str = "embedding"):
-    """The vector has components, all finite."""
-    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    """The vector has components, all finite and, times ``SCALE``, whole numbers of 64 bits."""
+    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float(1 << 63))
     return F.col(col).isNotNull() & (F.size(col) > 0) & F.forall(col, lambda x: F.coalesce(ok(x), F.lit(False)))
 
 
@@ -168,14 +168,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     Rows with a query's own ``vec_id`` are not its candidates.  Null vectors,
     empty ones and those with a null or non-finite component or a null id take
-    no part; only vectors of one dimension meet.  A component or a score that
-    does not fit a 64-bit number is an error, as it has no result.  Repeated query
+    no part, nor do those of which a scaled component does not fit a 64-bit
+    number; a score that does not fit one is an error, as it has no result.  Only
+    vectors of one dimension meet.  Repeated query
     rows are asked once; repeated candidates are ranked one by one.  Empty
     tables give no rows; other columns are ignored whatever their names."""
     ship_package(candidates.sparkSession)
-    fits = lambda x: F.abs(x.cast("double") * SCALE) < float(1 << 63)
-    ints = F.transform("embedding", lambda x: F.when(fits(x), F.floor(x.cast("double") * SCALE)).otherwise(
-        F.raise_error(F.lit("a component does not fit a 64-bit number")).cast("long"))).alias("v")
+    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("v")
     rows = candidates.where(usable() & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), ints, F.lit(0).cast("long").alias("number"))
     asked = (queries.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints).distinct()

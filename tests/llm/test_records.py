@@ -143,7 +143,7 @@ def test_url_verdicts(spark):
     assert url_filter.judge_urls(pages.limit(0), pages.limit(0).select(F.col("url").alias("canonical"))).count() == 0
 
 
-def brute_rake(cells, targets, rounds):
+def brute_rake(cells, targets):
     total = sum(cells.values())
     goal = []
     for d, name in enumerate(mixing.DIMENSIONS):
@@ -153,13 +153,18 @@ def brute_rake(cells, targets, rounds):
         z = sum(m ** targets[name] for m in mass.values())
         goal.append({k: m ** targets[name] / z for k, m in mass.items()})
     share = {k: n / total for k, n in cells.items()}
-    for _ in range(rounds):
-        for d in range(3):
-            mass = Counter()
-            for key, s in share.items():
-                mass[key[d]] += s
-            share = {k: s * goal[d][k[d]] / mass[k[d]] for k, s in share.items()}
-    return share
+    last = float("inf")
+    while True:
+        for _ in range(mixing.TURN):
+            for d in range(3):
+                mass = Counter()
+                for key, s in share.items():
+                    mass[key[d]] += s
+                share = {k: s * goal[d][k[d]] / mass[k[d]] for k, s in share.items()}
+        error = max(abs(sum(s for k, s in share.items() if k[d] == c) - t) for d in range(3) for c, t in goal[d].items())
+        if error <= mixing.TOLERANCE or error > last * (1 - mixing.LEAST_GAIN):
+            return share
+        last = error
 
 
 def test_mixing_matches_brute_force(spark, docs):
@@ -168,7 +173,7 @@ def test_mixing_matches_brute_force(spark, docs):
     cells = Counter()
     for r in rows:
         cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
-    share = brute_rake(cells, mixing.TARGETS, mixing.ROUNDS)
+    share = brute_rake(cells, mixing.TARGETS)
     for r in rows:
         key = (r["source"], r["lang"], r["topic"])
         assert r["share"] == pytest.approx(share[key], rel=1e-9)
