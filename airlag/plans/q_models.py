@@ -152,6 +152,15 @@ def q_predict(spark, sf):
     return out.select("row_key", F.col("prediction").cast("int").alias("yhat"), F.col("p1"))
 
 
+@query("predict_proba")
+def q_predict_proba(spark, sf):
+    """Both classes' probabilities of the test rows."""
+    d = model_frame(spark, sf, scale=True)
+    model = E.logistic_regression(d.where(F.col("split") == "train"), class_weight="balanced")
+    out = E.predict(model, d.where(F.col("split") == "test"))
+    return out.select("row_key", (1 - F.col("p1")).alias("p0"), "p1")
+
+
 # ----------------------------------------------------------------- §2.11
 
 @query("feature_importance")
