@@ -10,7 +10,7 @@ Between epochs the best packing of every island migrates to the next island of
 the block, through a Spark join of slim state rows.  After the last epoch the
 pieces of all bins with room left, with those of some full bins
 to combine them with, are dealt anew and evolved; that packing is taken if it
-needs fewer sequences, and so on until ``PATIENCE`` rounds in a row gain nothing.
+needs fewer sequences, and so on until a round gains nothing.
 A round has a fraction of the blocks of the first one, so the bin that a block
 cannot fill is lost in ever fewer blocks.
 
@@ -43,7 +43,7 @@ TASK_ISLANDS = 2
 #: Bins that are not full are dealt anew, with one in ``MIXED`` of the full ones.
 MIXED = 8
 #: Rounds of dealing anew: so many at most, and so many in a row that gain nothing.
-ROUNDS, PATIENCE = 12, 3
+ROUNDS, PATIENCE = 4, 1
 #: Share of a parent's bins that a crossover injects.
 INJECT = 0.15
 
