@@ -1,13 +1,23 @@
 """Data-parallel multi-layer perceptron (ReLU or tanh hidden layers, Adam, L2).
 
-Spark ML has no ReLU/Adam network with sample weights and no MLP regressor,
-so the network is trained the data-parallel way: the weights live on the
-driver (a few thousand numbers); every optimisation step is one Spark job in
-which each partition computes the summed gradient of its rows with NumPy
-inside ``mapInPandas`` (Arrow batches), and the per-partition gradients are
-combined with ``treeReduce``; the driver applies the Adam update.  Mini-batches
-and the early-stopping hold-out are hash buckets of the row key, so they do not
-depend on partitioning.  The training frame is checkpointed first.
+Spark ML has no ReLU/Adam network with sample weights and no MLP regressor, so
+the network is trained the data-parallel way.  An epoch is one Spark job.  The
+rows are dealt to shards by a hash of their key; the task of a shard starts from
+the weights of the epoch, takes one Adam step per ``batch_rows`` rows with NumPy
+inside ``mapInPandas`` (Arrow batches, permuted anew in every epoch), and returns
+its weights and moments, which ``treeReduce`` averages by rows.  The number of
+shards grows with the square root of the rows, and so do the steps of a shard:
+more data means more tasks and more steps, and one task never holds more than an
+Arrow batch.  A small table is one shard, which is the plain algorithm.
+
+No barrier stage: that needs all its tasks running at once and starts all of them
+again when one is lost.  Here a lost task starts again alone, from the weights of
+the epoch, and returns the same numbers, since shards, batches and permutations
+depend on keys, seed and epoch only.
+
+Several networks train in the same pass (``train_networks``): networks of one
+shape are stacked along a leading axis and go through batched matrix products.
+The rows are stored first, and kept by the executors between epochs.
 """
 
 from __future__ import annotations
@@ -15,9 +25,11 @@ from __future__ import annotations
 import datetime as dt
 import io
 import json
+import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +37,11 @@ from pyspark.sql import types as T
 from airlag.functions.hashing import hash_bucket
 from airlag.session import cut_lineage, ship_package
 
+#: Rows of an optimiser step.  Fixed value: the published batch size.
+BATCH_ROWS = 200
+#: A table of up to so many rows is one shard; s squared times as many are s shards.
+SHARD_ROWS = 2048
+
 
 def _init(sizes, seed):
     rng = np.random.default_rng(seed)
@@ -51,40 +68,29 @@ def _forward(params, x, activation="relu"):
 
 
 def _loss_grad(params, x, y, w, task, activation="relu"):
+    """Loss and gradients, summed over rows, of a stack of networks: every
+    array of ``params`` and ``w`` has a leading axis of networks."""
     acts = _forward(params, x, activation)
-    out = acts[-1][:, 0]
+    out = acts[-1][..., 0]
     if task == "classification":
         p = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
         eps = 1e-12
-        loss = -np.sum(w * (y * np.log(p + eps) + (1 - y) * np.log(1 - p + eps)))
-        delta = (w * (p - y))[:, None]
+        loss = -np.sum(w * (y * np.log(p + eps) + (1 - y) * np.log(1 - p + eps)), axis=-1)
+        delta = (w * (p - y))[..., None]
     else:
         err = out - y
-        loss = 0.5 * np.sum(w * err * err)
-        delta = (w * err)[:, None]
+        loss = 0.5 * np.sum(w * err * err, axis=-1)
+        delta = (w * err)[..., None]
     grads = [None] * len(params)
-    n_layers = len(params) // 2
-    for i in reversed(range(n_layers)):
-        grads[2 * i] = acts[i].T @ delta
-        grads[2 * i + 1] = delta.sum(axis=0)
+    for i in reversed(range(len(params) // 2)):
+        grads[2 * i] = np.swapaxes(acts[i], -1, -2) @ delta
+        grads[2 * i + 1] = delta.sum(axis=-2, keepdims=True)
         if i > 0:
             slope = 1.0 - acts[i] ** 2 if activation == "tanh" else acts[i] > 0
-            delta = (delta @ params[2 * i].T) * slope
+            delta = (delta @ np.swapaxes(params[2 * i], -1, -2)) * slope
     return loss, grads
 
 
-def _pack(arrs):
-    return np.concatenate([a.ravel() for a in arrs])
-
-
-def _unpack(vec, like):
-    out, i = [], 0
-    for a in like:
-        out.append(vec[i:i + a.size].reshape(a.shape))
-        i += a.size
-    return out
-
-
 class MLPModel:
     """A trained network.  ``scaler`` ({feature: (mean, std)}) is applied to
     the features before the first layer, so a loaded model scores raw rows."""
@@ -137,101 +143,229 @@ class MLPModel:
                         activation=side["activation"], scaler=side["scaler"])
 
 
-def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "classification",
-              hidden=(100, 50), alpha: float = 1e-4, learning_rate: float = 1e-3,
-              max_epochs: int = 100, batches: int = 4, val_frac: float = 0.1, patience: int = 10,
-              tol: float = 1e-4, weight_col: str | None = None, key_col: str = "row_key",
-              seed: int = 42, activation: str = "relu", scaler: dict | None = None) -> MLPModel:
-    """``scaler``: statistics the features of ``df`` were scaled with, kept in the model."""
+class _Stack:
+    """Networks of one shape and activation, trained side by side.  ``ids`` are
+    their places in the list of all networks; ``fold`` is the fold a network does
+    not learn from (-1: none)."""
+
+    def __init__(self, ids, networks, n_features, seed):
+        one = networks[0]
+        start = _init([n_features, *one["hidden"], 1], seed)
+        self.ids, self.activation = np.array(ids), one["activation"]
+        c = len(ids)
+        self.params = [np.repeat((a if a.ndim == 2 else a[None, :])[None], c, axis=0) for a in start]
+        self.m = [np.zeros_like(a) for a in self.params]
+        self.v = [np.zeros_like(a) for a in self.params]
+        self.t = np.zeros(c)
+        self.alpha, self.rate = (np.array([n[k] for n in networks])[:, None, None] for k in ("alpha", "learning_rate"))
+        self.fold = np.array([n.get("fold", -1) for n in networks])
+        stats = [n.get("stats") for n in networks]
+        self.stats = None if stats[0] is None else tuple(np.array([s[i] for s in stats])[:, None, :] for i in (0, 1))
+
+    def copy(self):
+        other = object.__new__(_Stack)
+        other.__dict__ = dict(self.__dict__, params=[a.copy() for a in self.params], m=[a.copy() for a in self.m],
+                              v=[a.copy() for a in self.v], t=self.t.copy())
+        return other
+
+    def only(self, keep):
+        """The networks that ``keep`` (a mask) marks."""
+        other = object.__new__(_Stack)
+        pick = lambda a: a[keep]
+        other.__dict__ = dict(
+            self.__dict__, ids=pick(self.ids), params=[pick(a) for a in self.params], m=[pick(a) for a in self.m],
+            v=[pick(a) for a in self.v], t=pick(self.t), alpha=pick(self.alpha), rate=pick(self.rate), fold=pick(self.fold),
+            stats=None if self.stats is None else tuple(pick(a) for a in self.stats))
+        return other
+
+    def inputs(self, x):
+        return x if self.stats is None else (x - self.stats[0]) / self.stats[1]
+
+    def outputs(self, x):
+        return _forward(self.params, self.inputs(x), self.activation)[-1][..., 0]
+
+    def weights(self, w, fold):
+        """Row weights per network: none for the rows of its own fold."""
+        return np.where(fold[None, :] == self.fold[:, None], 0.0, w[None, :])
+
+    def step(self, x, y, w, task):
+        """One Adam step per network that has rows here; returns their weight."""
+        n = w.sum(axis=-1)
+        has = n > 0
+        if not has.any():
+            return n
+        _, grads = _loss_grad(self.params, self.inputs(x), y, w, task, self.activation)
+        b1, b2, eps = 0.9, 0.999, 1e-8
+        self.t = self.t + has
+        per = np.where(has, n, 1.0)[:, None, None]
+        t = np.maximum(self.t, 1.0)[:, None, None]
+        on = has[:, None, None]
+        rate = np.where(on, self.rate * np.sqrt(1 - b2 ** t) / (1 - b1 ** t), 0.0)
+        for i, g in enumerate(grads):
+            g = (g + self.alpha * self.params[i]) / per if i % 2 == 0 else g / per  # L2 on weight matrices
+            self.m[i] = np.where(on, b1 * self.m[i] + (1 - b1) * g, self.m[i])
+            self.v[i] = np.where(on, b2 * self.v[i] + (1 - b2) * g * g, self.v[i])
+            self.params[i] = self.params[i] - rate * self.m[i] / (np.sqrt(self.v[i]) + eps)
+        return n
+
+    def state(self):
+        """Weights, moments and step counts: a row of numbers per network."""
+        c = len(self.ids)
+        return np.concatenate([a.reshape(c, -1) for a in (*self.params, *self.m, *self.v, self.t[:, None])], axis=1)
+
+    def load(self, rows):
+        i = 0
+        for arrays in (self.params, self.m, self.v):
+            for k, a in enumerate(arrays):
+                width = a[0].size
+                arrays[k] = rows[:, i:i + width].reshape(a.shape)
+                i += width
+        self.t = rows[:, i]
+
+    def network(self, k):
+        """Weights of one network as (matrix, vector) pairs."""
+        return [a[k].copy() if i % 2 == 0 else a[k, 0].copy() for i, a in enumerate(self.params)]
+
+
+def shards_of(rows: int) -> int:
+    return max(1, math.ceil(math.sqrt(rows / SHARD_ROWS)))
+
+
+def _reduce(df: DataFrame):
+    """Sum of the vectors in column ``g``, a row per task, as a tree."""
+    vectors = df.rdd.map(lambda r: np.frombuffer(r["g"], dtype=np.float64))
+    return vectors.treeReduce(lambda a, b: a + b, depth=2 if df.rdd.getNumPartitions() > 64 else 1)
+
+
+def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str, networks: list[dict],
+                   max_epochs: int = 100, batch_rows: int = BATCH_ROWS, val_frac: float = 0.1, patience: int = 10,
+                   tol: float = 1e-4, weight_col: str | None = None, fold_col: str | None = None,
+                   key_col: str = "row_key", seed: int = 42):
+    """Train all ``networks`` in the same passes, a job per epoch.
+
+    A network is a dict of ``hidden``, ``activation``, ``alpha``, ``learning_rate``
+    and, if wanted, ``fold`` (rows of ``fold_col`` that it does not see) and
+    ``stats`` (means and deviations its inputs are scaled by).  Each ends when its
+    loss on held-back rows (``val_frac`` of the keys) has not fallen for
+    ``patience`` epochs; then the others go on without it.  Returns (weights,
+    losses) per network and, if there are folds, sums over the rows of its own
+    fold per network: count, squared error, absolute error, and the counts of
+    true positives and of wrong classes."""
     xcols = [f"_x{i}" for i in range(len(feature_cols))]
-    frame = df.select(
+    frame = cut_lineage(df.select(
         *[F.col(c).cast("double").alias(x) for c, x in zip(feature_cols, xcols)],
         F.col(label).cast("double").alias("y"),
         (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("w"),
-        hash_bucket(key_col, seed + 1, batches).cast("int").alias("mb"),
-        (hash_bucket(key_col, seed + 2) < int(val_frac * 10000)).alias("val"))
-    # stored once, and cached with the rows of a mini-batch together: a step
-    # skips the cached batches of the others by their statistics
-    frame = cut_lineage(frame).sortWithinPartitions("val", "mb").persist()
-    ship_package(df.sparkSession)
-    params = _init([len(feature_cols), *hidden, 1], seed)
-    m = [np.zeros_like(p) for p in params]
-    v = [np.zeros_like(p) for p in params]
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    step = 0
-
-    n_parts = frame.rdd.getNumPartitions()
-
-    def job(sub: DataFrame, params_now):
-        """One pass: summed gradient and loss of the training rows, and the
-        loss of the validation rows, under ``params_now``."""
-        def grad_fn(it):
-            acc, tr_loss, tr_w, va_loss, va_w = None, 0.0, 0.0, 0.0, 0.0
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                is_val = pdf["val"].to_numpy(dtype=bool)
-                x = pdf[xcols].to_numpy(dtype=np.float64)
-                y, w = pdf["y"].to_numpy(), pdf["w"].to_numpy()
-                if (~is_val).any():
-                    loss, grads = _loss_grad(params_now, x[~is_val], y[~is_val], w[~is_val], task, activation)
-                    g = _pack(grads)
-                    acc = g if acc is None else acc + g
-                    tr_loss += loss
-                    tr_w += float(w[~is_val].sum())
-                if is_val.any():
-                    vloss, _ = _loss_grad(params_now, x[is_val], y[is_val], w[is_val], task, activation)
-                    va_loss += vloss
-                    va_w += float(w[is_val].sum())
-            if acc is None:
-                acc = np.zeros(sum(p.size for p in params_now))
-            yield pd.DataFrame({"g": [acc.tobytes()], "loss": [tr_loss], "n": [tr_w],
-                                "vloss": [va_loss], "vn": [va_w]})
-        parts = sub.mapInPandas(grad_fn, "g binary, loss double, n double, vloss double, vn double") \
-            .rdd.map(lambda r: (np.frombuffer(r["g"], dtype=np.float64), r["loss"], r["n"],
-                                r["vloss"], r["vn"]))
-        add = lambda a, b: tuple(u + v for u, v in zip(a, b))
-        try:  # a tree level only pays off with many partitions
-            return parts.treeReduce(add, depth=2 if n_parts > 64 else 1)
-        except ValueError:  # no partitions
-            return None
-
-    def adam_step(g_vec, n):
-        nonlocal step
-        grads = _unpack(g_vec / max(n, 1.0), params)
-        for i in range(0, len(params), 2):  # L2 on weight matrices
-            grads[i] = grads[i] + alpha * params[i] / max(n, 1.0)
-        step += 1
-        for i, g in enumerate(grads):
-            m[i] = b1 * m[i] + (1 - b1) * g
-            v[i] = b2 * v[i] + (1 - b2) * g * g
-            params[i] = params[i] - learning_rate * (m[i] / (1 - b1 ** step)) / (
-                np.sqrt(v[i] / (1 - b2 ** step)) + eps)
-
-    best, best_loss, bad, history = [p.copy() for p in params], np.inf, 0, []
-    train_rows = ~F.col("val")
-    for epoch in range(max_epochs + 1):
-        for mb in range(batches):
-            # the first job of an epoch also scores the hold-out under the
-            # weights the previous epoch ended with
-            cond = (F.col("mb") == mb) & train_rows
-            res = job(frame.where(cond | F.col("val")) if mb == 0 else frame.where(cond),
-                      [p.copy() for p in params])
-            if res is None:
-                continue
-            g_vec, _, n, vloss, vn = res
-            if mb == 0 and epoch > 0:
-                val_loss = vloss / max(vn, 1.0) if vn else np.inf
-                history.append(float(val_loss))
-                if val_loss < best_loss - tol:
-                    best, best_loss, bad = [p.copy() for p in params], val_loss, 0
-                else:
-                    bad += 1
-            if epoch == max_epochs or bad >= patience:
-                break
-            if n > 0:
-                adam_step(g_vec, n)
-        if epoch == max_epochs or bad >= patience:
+        (F.col(fold_col).cast("int") if fold_col else F.lit(-2)).alias("fold"),
+        (hash_bucket(key_col, seed + 2) < int(val_frac * 10000)).alias("val"),
+        F.xxhash64(F.lit(seed), F.col(key_col)).alias("h")))
+    spark = df.sparkSession
+    ship_package(spark)
+    n_rows = frame.count()
+    frame = frame.repartition(shards_of(n_rows), "h").sortWithinPartitions("h").drop("h").persist()
+
+    shapes: dict[tuple, list[int]] = {}
+    for i, n in enumerate(networks):
+        shapes.setdefault((tuple(n["hidden"]), n["activation"], n.get("stats") is None), []).append(i)
+    active = [_Stack(ids, [networks[i] for i in ids], len(feature_cols), seed) for ids in shapes.values()]
+    everyone = [s.copy() for s in active]
+    best = {int(i): s.network(k) for s in active for k, i in enumerate(s.ids)}
+    best_loss, bad = dict.fromkeys(best, np.inf), dict.fromkeys(best, 0)
+    history: dict[int, list[float]] = {i: [] for i in best}
+
+    def arrays(pdf):
+        return (pdf[xcols].to_numpy(dtype=np.float64), *(pdf[c].to_numpy() for c in ("y", "w", "fold", "val")))
+
+    def run(epoch):
+        """Held-back loss under the present weights, and the averaged state after an epoch."""
+        present = spark.sparkContext.broadcast(active)
+
+        def train(batches):
+            start, shard = present.value, TaskContext.get().partitionId()
+            local = [s.copy() for s in start]
+            seen, lost, held = ([np.zeros(len(s.ids)) for s in start] for _ in range(3))
+            for number, pdf in enumerate(batches):
+                x, y, w, fold, val = arrays(pdf)
+                if val.any():
+                    for j, s in enumerate(start):
+                        own = s.weights(w[val], fold[val])
+                        lost[j] += _loss_grad(s.params, s.inputs(x[val]), y[val], own, task, s.activation)[0]
+                        held[j] += own.sum(axis=-1)
+                order = np.random.default_rng([seed, epoch, shard, number]).permutation(np.flatnonzero(~val))
+                for k in range(0, len(order), batch_rows):
+                    rows = order[k:k + batch_rows]
+                    for j, s in enumerate(local):
+                        seen[j] += s.step(x[rows], y[rows], s.weights(w[rows], fold[rows]), task)
+            parts = [np.concatenate([lost[j][:, None], held[j][:, None], seen[j][:, None], seen[j][:, None] * s.state()], axis=1)
+                     for j, s in enumerate(local)]
+            yield pd.DataFrame({"g": [np.concatenate([a.ravel() for a in parts]).tobytes()]})
+
+        flat = _reduce(frame.mapInPandas(train, "g binary"))
+        present.destroy()
+        out, i = [], 0
+        for s in active:
+            width = 3 + s.state().shape[1]
+            out.append(flat[i:i + len(s.ids) * width].reshape(len(s.ids), width))
+            i += len(s.ids) * width
+        return out
+
+    for epoch in range(max_epochs + 1 if n_rows else 0):  # an empty table leaves the first weights
+        going = []
+        for s, sums in zip(active, run(epoch), strict=True):
+            keep = np.ones(len(s.ids), dtype=bool)
+            for k, i in enumerate(s.ids.tolist()):
+                lost, held = sums[k, 0], sums[k, 1]
+                if epoch > 0:
+                    history[i].append(float(lost / held) if held else math.nan)
+                    if not held or lost / held < best_loss[i] - tol:  # nothing held back: the last weights
+                        best[i], best_loss[i], bad[i] = s.network(k), lost / held if held else np.inf, 0
+                    else:
+                        bad[i] += 1
+                keep[k] = bad[i] < patience
+            trained = sums[:, 2] > 0
+            s.load(np.where(trained[:, None], sums[:, 3:] / np.where(trained, sums[:, 2], 1.0)[:, None], s.state()))
+            if keep.any():
+                going.append(s if keep.all() else s.only(keep))
+        active = going
+        if not active:
             break
+
+    for s in everyone:
+        s.params = [np.stack([best[i][k] if k % 2 == 0 else best[i][k][None, :] for i in s.ids.tolist()])
+                    for k in range(len(s.params))]
+    sums = np.zeros((len(networks), 5)) if fold_col else None
+    if fold_col and n_rows:
+        final = spark.sparkContext.broadcast(everyone)
+
+        def score(batches):
+            total = np.zeros((len(networks), 5))
+            for pdf in batches:
+                x, y, _, fold, _ = arrays(pdf)
+                for s in final.value:
+                    for f in np.unique(s.fold):
+                        part, rows = s.only(s.fold == f), fold == f
+                        out, truth = part.outputs(x[rows]), y[rows]
+                        yes, err = out > 0, out - truth
+                        total[part.ids] += np.stack([
+                            np.full(len(part.ids), float(rows.sum())), (err * err).sum(axis=-1), np.abs(err).sum(axis=-1),
+                            (yes & (truth == 1)).sum(axis=-1), (yes != (truth == 1)).sum(axis=-1)], axis=1)
+            yield pd.DataFrame({"g": [total.tobytes()]})
+
+        sums = _reduce(frame.mapInPandas(score, "g binary")).reshape(-1, 5)
+        final.destroy()
     frame.unpersist()
-    return MLPModel(best, task, feature_cols, history, activation, scaler)
+    return [(best[i], history[i]) for i in range(len(networks))], sums
+
+
+def train_mlp(df: DataFrame, feature_cols: list[str], label: str, task: str = "classification",
+              hidden=(100, 50), alpha: float = 1e-4, learning_rate: float = 1e-3,
+              max_epochs: int = 100, batch_rows: int = BATCH_ROWS, val_frac: float = 0.1, patience: int = 10,
+              tol: float = 1e-4, weight_col: str | None = None, key_col: str = "row_key",
+              seed: int = 42, activation: str = "relu", scaler: dict | None = None) -> MLPModel:
+    """One network.  ``scaler``: statistics the features of ``df`` were scaled
+    with, kept in the model."""
+    network = {"hidden": hidden, "activation": activation, "alpha": alpha, "learning_rate": learning_rate}
+    [(params, history)], _ = train_networks(
+        df, feature_cols, label, task, [network], max_epochs, batch_rows, val_frac, patience, tol, weight_col,
+        key_col=key_col, seed=seed)
+    return MLPModel(params, task, feature_cols, history, activation, scaler)

@@ -19,6 +19,7 @@ from airlag.plans.q_prep import ENGINEERED_CTE
 from airlag.plans.q_profile import ENG_FEATURES
 from airlag.plans.registry import query
 from airlag.plans.scaling import standard_scale
+from airlag.plans import tuning as TU
 from airlag.plans.tuning import grid_search_lr, random_search_lr
 from airlag.sources import sinks as SK
 from airlag.sources.csv_ingest import scratch_path
@@ -203,6 +204,25 @@ def q_random_search(spark, sf):
     return random_search_lr(_folded(spark, sf, 3), FEATS, parallelism=8)
 
 
+@query("grid_search_mlp_classifier")
+def q_grid_search_mlp_classifier(spark, sf):
+    """The published grid of four networks on three folds, balanced row weights."""
+    from airlag.operators.splits import class_weight_balanced
+    train = class_weight_balanced(_folded(spark, sf, 3), "label")
+    return TU.grid_search_mlp(train, FEATS, "classification", TU.MLP_GRID_CLF, max_epochs=TU.MLP_GRID_EPOCHS,
+                              patience=TU.MLP_GRID_PATIENCE["classification"], weight_col="weight")
+
+
+@query("grid_search_mlp_regressor")
+def q_grid_search_mlp_regressor(spark, sf):
+    """The published grid of 48 networks on three folds."""
+    e = split_random(B.engineered_keyed(spark, sf, True)).where(F.col("split") == "train")
+    train = e.select("row_key", *FEATS, F.col("arr_delay_min").cast("double").alias("label"),
+                     F.pmod(F.xxhash64(F.lit(42), F.col("row_key")), F.lit(3)).cast("int").alias("fold"))
+    return TU.grid_search_mlp(train, FEATS, "regression", TU.MLP_GRID_REG, max_epochs=TU.MLP_GRID_EPOCHS,
+                              patience=TU.MLP_GRID_PATIENCE["regression"])
+
+
 @query("model_info")
 def q_model_info(spark, sf):
     d = model_frame(spark, sf, validation=True)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from airlag.operators import metrics as M
 from airlag.plans import estimators as E
-from airlag.plans.mlp import train_mlp
+from airlag.plans.mlp import BATCH_ROWS, train_networks
 from airlag.plans.scaling import standard_scale
 from airlag.session import cut_lineage
 
@@ -34,6 +34,11 @@ RF_REG_RANDOM = {"n_estimators": [150, 250, 400], "max_depth": [None, 15, 25, 35
 BOOSTED_RANDOM = {"n_estimators": (500, 2000), "learning_rate": (0.01, 0.31), "subsample": (0.6, 1.0),
                   "colsample_bytree": (0.6, 1.0), "scale_pos_weight": (1.0, 6.0), "n_iter": 25,
                   "early_stopping_rounds": 25}
+MLP_DEFAULT = {"hidden": (100, 50), "activation": "relu", "alpha": 0.0001, "learning_rate": 0.001}
+MLP_GRID_CLF = {"hidden": [(50,), (50, 100)], "activation": ["relu"], "alpha": [0.0001, 0.001], "learning_rate": [0.001]}
+MLP_GRID_REG = {"hidden": [(32,), (50,), (32, 16), (50, 25)], "activation": ["relu", "tanh"], "alpha": [0.0001, 0.001, 0.01],
+                "learning_rate": [0.001, 0.01]}
+MLP_GRID_EPOCHS, MLP_GRID_PATIENCE = 300, {"classification": 10, "regression": 20}
 BOOSTED_DEPTH = {"regression": (3, 10), "classification": (3, 8)}
 # ----------------------------------------------------------------------------
 
@@ -144,13 +149,33 @@ def random_search_boosted(train: DataFrame, features: list[str], task: str, spac
 
 
 def grid_search_mlp(train: DataFrame, features: list[str], task: str, grid: dict[str, list], label: str = "label",
-                    max_epochs: int | None = None) -> DataFrame:
-    """Networks over every combination of ``grid`` (``hidden``, ``alpha``,
-    ``learning_rate``, ``activation``, ...), scored by F1 or MSE."""
+                    max_epochs: int = 300, patience: int = 10, weight_col: str | None = None) -> DataFrame:
+    """Networks over every combination of ``grid`` (``hidden``, ``activation``,
+    ``alpha``, ``learning_rate``), scored by F1 of class 1 or negative MSE; the
+    columns of ``cross_validate``.
+
+    All candidates of all folds train in the same passes over the rows and are
+    scored in one more.  Each scales its inputs by the rows of the folds it learns
+    from; a step takes so many rows of all folds that about the published batch
+    is left for a candidate."""
     found = [{}]
     for name, values in grid.items():
         found = [{**c, name: v} for c in found for v in values]
-    epochs = max_epochs or (100 if task == "classification" else 200)
-    fit = lambda rest, c: train_mlp(rest, features, label, task, max_epochs=epochs, **c)
-    score = f1_score if task == "classification" else error_score("mse")
-    return cross_validate(train, features, found, fit, score, label=label, scale=True, assemble=False, parallelism=1)
+    folds = sorted(r[0] for r in train.select("fold").distinct().collect())  # one row per fold
+    frame = cut_lineage(train, "fold")
+    stats = {}
+    for f in folds:
+        scaler = standard_scale(frame, features, fit_filter=F.col("fold") != f)[1]
+        stats[f] = tuple([float(scaler[c][i]) for c in features] for i in (0, 1))
+    networks = [dict(MLP_DEFAULT, **c, fold=f, stats=stats[f]) for c in found for f in folds]
+    batch = round(BATCH_ROWS * len(folds) / max(len(folds) - 1, 1))
+    _, sums = train_networks(frame, features, label, task, networks, max_epochs, batch, patience=patience,
+                             weight_col=weight_col, fold_col="fold")
+    rows = []
+    for i, c in enumerate(found):
+        of = sums[i * len(folds):(i + 1) * len(folds)]
+        scores = [float(2 * tp / (2 * tp + wrong)) if tp else 0.0 for _, _, _, tp, wrong in of] if task == "classification" \
+            else [float(-sq / n) for n, sq, *_ in of]
+        rows.append((i, json.dumps(c, sort_keys=True), sum(scores) / len(scores), scores))
+    return train.sparkSession.createDataFrame(
+        rows, "candidate int, params string, mean_score double, fold_scores array<double>")

@@ -67,7 +67,7 @@ def test_lr_and_persistence(spark, tmp_path):
 def test_mlp_learns_planted_signal(spark, tmp_path):
     df = _planted(spark)
     model = train_mlp(df, ["a", "b"], "y", "classification", hidden=(16, 8), max_epochs=12,
-                      batches=2, patience=5, learning_rate=0.02)
+                      patience=5, learning_rate=0.02)
     pred = model.transform(df).select("y", F.col("p1").alias("s"))
     assert M.roc_auc(pred, "y", "s").first().roc_auc > 0.9
     model.save(str(tmp_path / "mlp"))
