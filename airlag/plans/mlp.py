@@ -246,8 +246,9 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
     A network is a dict of ``hidden``, ``activation``, ``alpha``, ``learning_rate``
     and, if wanted, ``fold`` (rows of ``fold_col`` that it does not see) and
     ``stats`` (means and deviations its inputs are scaled by).  Each ends when its
-    loss on held-back rows (``val_frac`` of the keys) has not fallen for
-    ``patience`` epochs; then the others go on without it.  Returns (weights,
+    loss on held-back rows (``val_frac`` of the keys) has not fallen by ``tol``
+    (regression: R squared not risen by it) for ``patience`` epochs; then the
+    others go on without it.  Returns (weights,
     losses) per network and, if there are folds, sums over the rows of its own
     fold per network: count, squared error, absolute error, and the counts of
     true positives and of wrong classes."""
@@ -261,13 +262,28 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
         F.xxhash64(F.lit(seed), F.col(key_col)).alias("h")))
     spark = df.sparkSession
     ship_package(spark)
-    n_rows = frame.count()
+    groups = frame.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")).collect()  # a row per fold
+    n_rows = sum(g["n"] for g in groups)
+
+    def target(fold):
+        """Mean of the rows learned from and the least gain that counts: for
+        regression ``tol`` is in units of R squared, a share of their variance."""
+        rest = [g for g in groups if g["fold"] != fold]
+        n = sum(g["n"] for g in rest)
+        if task != "regression" or not n:
+            return 0.0, tol
+        mean = sum(g["n"] * g["m"] for g in rest) / n
+        return mean, tol * sum(g["n"] * (g["v"] + (g["m"] - mean) ** 2) for g in rest) / n / 2
+
+    means, gains = zip(*(target(n.get("fold", -1)) for n in networks))
     frame = frame.repartition(shards_of(n_rows), "h").sortWithinPartitions("h").drop("h").persist()
 
     shapes: dict[tuple, list[int]] = {}
     for i, n in enumerate(networks):
         shapes.setdefault((tuple(n["hidden"]), n["activation"], n.get("stats") is None), []).append(i)
     active = [_Stack(ids, [networks[i] for i in ids], len(feature_cols), seed) for ids in shapes.values()]
+    for s in active:  # the output of a regression starts at the mean, not at zero
+        s.params[-1] = s.params[-1] + np.array([means[i] for i in s.ids])[:, None, None]
     everyone = [s.copy() for s in active]
     best = {int(i): s.network(k) for s in active for k, i in enumerate(s.ids)}
     best_loss, bad = dict.fromkeys(best, np.inf), dict.fromkeys(best, 0)
@@ -317,7 +333,7 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
                 lost, held = sums[k, 0], sums[k, 1]
                 if epoch > 0:
                     history[i].append(float(lost / held) if held else math.nan)
-                    if not held or lost / held < best_loss[i] - tol:  # nothing held back: the last weights
+                    if not held or lost / held < best_loss[i] - gains[i]:  # nothing held back: the last weights
                         best[i], best_loss[i], bad[i] = s.network(k), lost / held if held else np.inf, 0
                     else:
                         bad[i] += 1

@@ -1,9 +1,10 @@
 """Stage, summary and report sinks.
 
 Stages are Parquet folders by default (CSV as an export option).  Summaries
-are one row per model run; appending reads what is there, adds the new rows
-with missing columns null-filled and writes the result beside it before it
-takes the old one's place, so a failed job leaves the old summary whole.
+are one row per model run.  An append never touches what is there: its rows are
+written to a folder that readers pass over and renamed, which is atomic, to a
+name of their own.  A job that is killed leaves the summary as it was or with
+all its rows, and appends at the same time keep each other's rows.
 """
 
 from __future__ import annotations
@@ -46,25 +47,34 @@ def merge_summary(existing: DataFrame | None, new_rows: DataFrame) -> DataFrame:
     return existing.unionByName(new_rows, allowMissingColumns=True)
 
 
+def _entries(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
-    """The summary at ``path``, None if there is none yet."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.option("header", True).csv(path)
+    """The summary at ``path``, None if there is none yet: what ``write_summary``
+    wrote and all finished appends, in one scan each; columns that a run lacks
+    are null."""
+    path = path.rstrip("/")
+    written, appended = _entries(spark, f"{path}/*.csv"), _entries(spark, f"{path}/rows-*")
+    base = spark.read.option("header", True).csv(written) if written else None
+    if not appended:
+        return base
+    return merge_summary(base, spark.read.option("primitivesAsString", True).json(appended))
 
 
 def append_summary(new_rows: DataFrame, path: str) -> str:
     """Append rows to the summary at ``path``, creating it when absent."""
     spark = new_rows.sparkSession
     text = new_rows.select(*[F.col(c).cast("string").alias(c) for c in new_rows.columns])
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    write_summary(merge_summary(read_summary(spark, path), text), beside)
-    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (beside, path))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot move {beside} to {path}")
+    name = uuid.uuid4().hex
+    pending, final = f"{path.rstrip('/')}/_pending-{name}", f"{path.rstrip('/')}/rows-{name}"
+    text.coalesce(1).write.option("ignoreNullFields", False).json(pending)
+    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (pending, final))
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"cannot move {pending} to {final}")
     return path
 
 

@@ -146,6 +146,23 @@ def test_search_scales_and_weighs_per_fold(spark):
     assert grid.count() == 2
 
 
+def test_summary_appends_at_once_and_killed_ones(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from airlag.sources import sinks as SK
+    path = str(tmp_path / "summary")
+    SK.write_summary(spark.createDataFrame([("base", "0.1")], "model string, f1 string"), path)
+    run = lambda i: SK.append_summary(
+        spark.createDataFrame([(f"m{i}", None, i / 2)], f"model string, none_{i} double, rmse double"), path)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(run, range(6)))
+    # an append that was killed before its rename
+    spark.createDataFrame([("lost", 1.0)], "model string, f1 double").write.json(path + "/_pending-x")
+    got = SK.read_summary(spark, path)
+    assert {r["model"]: (r["f1"], r["rmse"]) for r in got.collect()} == \
+        {"base": ("0.1", None), **{f"m{i}": (None, str(i / 2)) for i in range(6)}}
+    assert "none_3" in got.columns and SK.read_summary(spark, str(tmp_path / "none")) is None
+
+
 def test_smote_neighbours_are_near_beyond_one_block(spark):
     rng = random.Random(9)
     pts = [(rng.random(), rng.random()) for _ in range(900)]
