@@ -236,7 +236,10 @@ def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base and the learned list keep."""
+    """The rows of ``docs`` that the base and the learned list keep, whole and as
+    often as they are there, whatever their columns are called.  Null and empty
+    texts fail the base; without a usable label no rule is learned and the base
+    alone decides; an empty table gives no rows."""
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "text")
     return judge(whole, fit(docs, labels)).where("kept").select("row.doc.*")
 

@@ -306,7 +306,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     """``docs`` with the same rows and columns, texts without the words covered
     by repeated windows.  A text that loses nothing is unchanged; what is left
     of another is one line per remaining stretch; ``n_chars``, if there, is
-    counted anew for these."""
+    counted anew for these.  Null and short texts stay as they are; repeated rows
+    are occurrences like others; an empty table gives no rows."""
     others = [c for c in docs.columns if c != text_col]
     out = _cleaned(docs, id_col, text_col, window, seed, others, True)
     cols = []
