@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -96,6 +97,7 @@ def stored(df: DataFrame, name: str = "stage"):
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()  # fits run in several threads
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -104,19 +106,20 @@ def ship_package(spark: SparkSession) -> None:
     and ``addPyFile`` serves it to every executor, also to those that join
     later, so no shared folder is involved."""
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    import zipfile
-
-    import airlag
-    pkg = os.path.dirname(os.path.abspath(airlag.__file__))
-    root = os.path.dirname(pkg)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="airlag-pkg-"), "airlag.zip")
-    with zipfile.ZipFile(zpath, "w") as z:
-        for dirpath, _, files in os.walk(pkg):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
-    _SHIPPED.add(sc.applicationId)
+    with _SHIPPING:
+        if sc.applicationId in _SHIPPED:
+            return
+        import zipfile
+
+        import airlag
+        pkg = os.path.dirname(os.path.abspath(airlag.__file__))
+        root = os.path.dirname(pkg)
+        zpath = os.path.join(tempfile.mkdtemp(prefix="airlag-pkg-"), "airlag.zip")
+        with zipfile.ZipFile(zpath, "w") as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(zpath)
+        _SHIPPED.add(sc.applicationId)
