@@ -55,8 +55,13 @@ def scratch(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(folder)
+    return spark.read.parquet(keep_folder(spark, folder))
+
+
+def keep_folder(spark: SparkSession, folder: str) -> str:
+    """Remember a folder of the owner's for ``release``."""
     _SCRATCH.setdefault((spark.sparkContext.applicationId, _OWNER[-1]), []).append(folder)
-    return spark.read.parquet(folder)
+    return folder
 
 
 def release(spark: SparkSession, owner: str = "operators", still_read: DataFrame | None = None) -> int:
@@ -75,6 +80,28 @@ def release(spark: SparkSession, owner: str = "operators", still_read: DataFrame
     return len(gone)
 
 
+#: A key is hot if it holds more than one part in this many of all rows.
+HOT_PARTS = 10_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, total: int, how: str) -> DataFrame:
+    """``left.join(right, keys, how)``, ``how`` inner or left, with the rows of a hot
+    key of ``left`` spread over as many salts as it holds parts of all rows; the
+    rows of ``right`` travel once per salt.
+
+    ``counts``: rows of ``left`` by key (``keys``, ``n``), ``total``: of all keys.
+    Fewer than ``HOT_PARTS`` keys can be hot, which bounds the broadcast, and
+    they have fewer than twice as many salts.  The salt is drawn per row, so
+    rows alike in every column are spread too."""
+    hot = F.broadcast(counts.where(F.col("n") * HOT_PARTS > total).select(
+        *keys, F.ceil(F.col("n") * HOT_PARTS / F.lit(max(total, 1))).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_salt", F.floor(F.rand(1) * salts).cast("long")).drop("_salts")
+    b = right.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -12,9 +12,10 @@ second place in the corpus, so minimisers are counted first and super-k-mers
 with a unique one stay at home (a bit set passes the others).  And a minimiser
 of very many places (a frequent line in many contexts) would make a large
 bucket; its windows travel one by one, each to the bucket of its own hash.
-Equal strings of a batch travel once.  Buckets learn only strings and counts;
-which texts hold a string is joined back afterwards, so a passage with any
-number of holders is spread like any other key.
+Equal strings of a batch travel once, and those of a task are added up before
+they go to their bucket.  Buckets learn only strings and counts; which texts
+hold a string is joined back afterwards, a hot string with salts, so a passage
+with any number of holders is spread over the tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlag.llm.bitmaps import bit_set
-from airlag.llm.common import read_table, scratch, ship_package
+from airlag.llm.common import read_table, salted_join, scratch, ship_package
 from airlag.llm.words import Words, byte_chunks, shingle_hashes
 
 WINDOW = 35
@@ -269,9 +270,12 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         _cut(window, seed, shared, crowded),
         "bucket long, packed binary, n long, places array<struct<k1:long,k2:long,start:long>>")
     packed = scratch(cut.withColumn("fp", F.xxhash64("packed")), "super-kmers", "zstd")
-    runs = scratch(packed.select("bucket", "fp", "packed", "n").repartition("bucket").sortWithinPartitions("bucket", "packed")
+    strings = packed.groupBy("bucket", "fp", "packed").agg(F.sum("n").alias("n"))
+    runs = scratch(strings.repartition("bucket").sortWithinPartitions("bucket", "packed")
                    .mapInArrow(_count_windows(window), "bucket long, fp long, lo long, hi long"), "repeats")
-    held = packed.select("bucket", "fp", "places").join(runs, ["bucket", "fp"]).select(
+    held_by = scratch(packed.groupBy("bucket", "fp").agg(F.sum("n").alias("n")).where("n > 1"), "holders")
+    total = packed.agg(F.sum("n")).first()[0] or 0
+    held = salted_join(packed.select("bucket", "fp", "places"), runs, ["bucket", "fp"], held_by, total, "inner").select(
         F.explode("places").alias("p"), "lo", "hi")
     return held.groupBy("p.k1", "p.k2").agg(F.collect_set(F.struct(
         (F.col("p.start") + F.col("lo")).alias("lo"),

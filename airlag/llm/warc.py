@@ -1,7 +1,9 @@
 """WARC archives: written by tasks, read back by byte ranges.
 
 Writing: payloads are grouped by digest on a slim table; of equal payloads one
-is stored and the others become revisit records.  Every task writes its rows
+is stored and the others become revisit records.  Rows learn that by a join whose
+hot digests (an error page, the empty payload) are salted, so that copies of one
+payload are written by many tasks.  Every task writes its rows
 into archive files of its own, one gzip member per record, and returns a
 manifest row per file.  Names are unique to the attempt and only files named
 by the manifest, which Spark commits, are archives; what a lost task left is
@@ -28,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlag.llm.common import read_table, scratch
-from airlag.session import ensure_checkpoint_dir, ship_package
+from airlag.llm.common import keep_folder, read_table, salted_join, scratch, ship_package
+from airlag.session import ensure_checkpoint_dir
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 1 << 30
@@ -177,8 +179,9 @@ def write_warc(pages: DataFrame, folder: str, date: str, id_col: str = "page_id"
     rows = rows.withColumn("digest", F.sha1("payload"))
     kept = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
             .agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    kept = scratch(kept.select("digest", "first"), "warc-repeats").withColumn("repeated", F.lit(True))
-    plan = rows.join(kept, "digest", "left").select(
+    kept = scratch(kept, "warc-repeats")
+    plan = salted_join(rows, kept.select("digest", "first", F.lit(True).alias("repeated")), ["digest"],
+                       kept.select("digest", "n"), pages.count(), "left").select(
         "id", "url", "payload", "first",
         (F.coalesce("repeated", F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit"))
 
@@ -255,7 +258,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = keep_folder(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
     files = write_warc(read_table(spark, sf_dir, "pages"), folder, "2026-01-01T00:00:00Z")
     return read_warc(files, with_payload=False).select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",

@@ -159,3 +159,12 @@ def test_word_hashes_depend_on_the_word_alone(monkeypatch):
 def test_release_deletes_scratch(spark):
     release(spark)
     assert release(spark) == 0
+
+
+def test_a_passage_in_most_texts(spark, monkeypatch):
+    monkeypatch.setitem(substring_dedup.salted_join.__globals__, "HOT_PARTS", 20)
+    passage = data.prose(4321, 40)
+    rows = [(i, f"{data.prose(i, 30)} {passage}\n{data.prose(7000 + i, 12)}" if i % 10 else data.prose(i, 80)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter(tuple(r) for r in substring_dedup.window_digests(docs).collect())
+    assert got == brute_windows(rows, 35) and sum(n for (_, _, n, _) in got) >= 360 * 40

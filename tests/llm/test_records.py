@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airlag.llm import catalog, language_id, mixing, quality_rules, sharding, url_filter, vector_search, warc
+from airlag.llm import catalog, common, language_id, mixing, quality_rules, sharding, url_filter, vector_search, warc
 from airlag.session import ensure_checkpoint_dir
 from tests.conftest import SF_SMALL
 from tests.llm import data
@@ -269,3 +269,33 @@ def test_language(spark, docs):
     nothing = language_id.predict(docs, language_id.fit(docs.limit(0)))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
     assert language_id.predict(data.empty(spark), network).count() == 0
+
+
+def test_salted_join_spreads_a_hot_key(spark, monkeypatch):
+    monkeypatch.setitem(common.__dict__, "HOT_PARTS", 500)
+    left = spark.range(20_000).select(F.col("id").alias("row"), F.when(F.col("id") < 18_000, 0).otherwise(F.col("id")).alias("k"))
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k % 2 = 0").withColumn("found", F.lit(True))
+    kept = {x: spark.conf.get(x) for x in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for how in ("left", "inner"):
+            out = common.salted_join(left, right.select("k", "found"), ["k"], right.select("k", "n"), 20_000, how)
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert max(sizes) <= 3 * np.median(sizes)
+            got, want = out.orderBy("row").collect(), left.join(right.select("k", "found"), "k", how).orderBy("row").collect()
+            assert got == want
+        empty = common.salted_join(left.limit(0), right.select("k", "found"), ["k"], right.select("k", "n").limit(0), 0, "left")
+        assert empty.count() == 0
+    finally:
+        for x, v in kept.items():
+            spark.conf.set(x, v)
+
+
+def test_copies_of_one_payload_have_one_response(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                     F.when(F.col("id") % 10 > 0, "error page").otherwise(F.concat(F.lit("p"), "id")).alias("html"))
+    pages = pages.unionByName(pages.where("page_id = 2999"))
+    files = warc.write_warc(pages, f"{ensure_checkpoint_dir(spark)}/warc-hot", "2026-01-01T00:00:00Z")
+    got = warc.read_warc(files).groupBy("record_type", F.coalesce("refers_to", F.lit("-")).alias("to")).count().collect()
+    assert {(r["record_type"], r["to"]): r["count"] for r in got} == {("response", "-"): 302, ("revisit", "2999"): 2699}
