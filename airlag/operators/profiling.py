@@ -20,6 +20,7 @@ from airlag.functions import calendar as C
 from airlag.functions.nulls import null_count
 from airlag.operators.cleaning import iqr_bounds, numeric_columns, outlier_flag
 from airlag.operators.exact_stats import exact_quantiles_many
+from airlag.operators.gram import pairwise_pearson
 
 N = "__n"
 
@@ -168,13 +169,10 @@ def pearson(a: str, b: str) -> Column:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r, pairwise-complete, every pair a < b plus the diagonal."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[pearson(a, b).alias(f"r__{i}") for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        F.col(f"r__{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    long = row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
-    return long.select("col_a", "col_b", r6(F.col("r")).alias("r"))
+    """Pearson r, pairwise-complete, every pair a < b plus the diagonal; null
+    where a column does not vary over the pair's rows, NaN where one of them is
+    not finite.  See ``operators/gram.py``."""
+    return pairwise_pearson(df, cols).select("col_a", "col_b", r6(F.col("r")).alias("r"))
 
 
 def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float = 0.8) -> DataFrame:

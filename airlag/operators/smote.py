@@ -9,12 +9,13 @@ Neighbour search, by one rule at every size and never over all pairs of points:
 
 * identical minority vectors collapse into one point with a multiplicity m
   (a vector's own copies are its nearest neighbours at distance 0);
-* distinct points are cut into cells of at most about ``block``, by ranks along
+* distinct points are cut into cells of about ``block``, by quantiles along
   the ``LEVELS`` features of largest variance one after the other; a point's
   k-th distance in its own cell bounds how far its neighbours can be;
 * a pair of cells is compared only if their bounding boxes are no further apart
   than the largest such bound in the first, and in it only the points whose own
-  bound reaches the second's box.  No point outside those boxes can be nearer,
+  bound reaches the second's box.  Such pairs are found in a tree of boxes, from
+  the root down (``near_cells``).  No point outside those boxes can be nearer,
   so the k nearest are exact at every size; ties go to the smaller ``_pid``.
 * a point's quota of synthetic rows needs its multiplicity only and is computed
   beside the search; rows are generated per point with the chunked expansion of
@@ -28,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlag.functions.hashing import hash32
@@ -37,6 +38,8 @@ from airlag.operators.ranking import expand_copies
 from airlag.session import cut_lineage, ship_package
 
 LEVELS = 3
+#: Children of a node in the tree of boxes.
+FAN = 16
 #: Bounds are widened by this share, so that rounding cannot part equal distances.
 SLACK = 1 + 1e-9
 #: Pairs of cells a task compares, about; their members reach Python together.
@@ -98,10 +101,11 @@ def _across(batches):
             yield _near_rows(rows)
 
 
-def _cells(p: DataFrame, d: int, block: int) -> DataFrame:
-    """Adds ``_cell``: nested ranks along the features of largest variance."""
+def _cells(p: DataFrame, d: int, block: int) -> tuple[DataFrame, int]:
+    """Adds ``_path``, the cell: places along the features of largest variance,
+    one inside the other, ``parts`` (the second value) of each."""
     stats = p.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(F.col("_x")[i]).alias(f"v{i}") for i in range(d)]).first()
-    parts = math.ceil(math.ceil(max(stats["n"], 1) / block) ** (1 / LEVELS) - 1e-9)
+    parts = math.ceil(math.ceil(max(stats["n"], 1) / block) ** (1 / min(LEVELS, d)) - 1e-9)
     axes = sorted(range(d), key=lambda i: (-(stats[f"v{i}"] or 0.0), i))[:LEVELS]
     # equal values are dealt by a hash, so that a frequent one does not make a large cell
     lead = p.select(F.col("_x")[axes[0]].alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -111,11 +115,58 @@ def _cells(p: DataFrame, d: int, block: int) -> DataFrame:
         "_c0", F.floor((F.col("_before") + F.col("_c") * unit) * parts / F.lit(max(stats["n"], 1)))).drop("_v", "_before", "_c")
     cell = ["_c0"]
     for level, axis in enumerate(axes[1:], 1):
-        by = Window.partitionBy(*cell)
-        rank = F.row_number().over(by.orderBy(F.col("_x")[axis], "_pid")) - 1
-        out = out.withColumn(f"_c{level}", F.floor(rank * parts / F.count(F.lit(1)).over(by)))
+        v = F.col("_x")[axis]
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        # borders from a mergeable sketch per outer cell: no cell of a level is sorted in one task
+        cuts = cut_lineage(out.groupBy(*cell).agg(F.percentile_approx(v, shares, 10_000).alias("_cuts")), "cuts") \
+            if parts > 1 else out.groupBy(*cell).agg(F.array().cast("array<double>").alias("_cuts"))
+        below, upto = F.size(F.filter("_cuts", lambda q: q < v)), F.size(F.filter("_cuts", lambda q: q <= v))  # noqa: B023
+        unit = F.pmod(hash32("_pid", level + 1), F.lit(1 << 20)) / F.lit(1 << 20)
+        out = out.join(cuts, cell).withColumn(f"_c{level}", below + F.floor(unit * (upto - below + 1))).drop("_cuts")
         cell.append(f"_c{level}")
-    return out.withColumn("_cell", F.concat_ws(":", *cell)).drop(*cell)
+    return out.withColumn("_path", F.array(*[F.col(c).cast("long") for c in cell], *[F.lit(0).cast("long")] * (LEVELS - len(cell)))).drop(*cell), parts
+
+
+def near_cells(cells: DataFrame, parts: int, n_dim: int) -> DataFrame:
+    """Pairs (``_a``, ``_b``) of different cells, the box of the second no further
+    from that of the first than its ``_reach`` (squared; negative: nothing is asked).
+
+    The cells are the leaves of a tree of boxes with at most ``FAN`` children a
+    node: their paths, cut off after fewer and fewer digits.  Pairs go down from
+    the root level by level, a pair's children meeting through it, so that what
+    is too far apart falls out with all that is below."""
+    axis = lambda name, i: F.col(name)[i]
+    steps, shift = [], 1
+    while shift < parts:
+        steps.append(shift)
+        shift *= FAN
+    ladder = [(level, q) for level in range(LEVELS) for q in reversed(steps or [1])]
+
+    def key(level: int, q: int):
+        digits = [F.col("_path")[i] for i in range(level)] + [F.floor(F.col("_path")[level] / q)]
+        return F.concat_ws(":", *digits, F.lit(f"{level}/{q}"))
+
+    boxes = cells.select("_path", "_reach", "_lo", "_hi")
+    pairs = cells.sparkSession.createDataFrame([("", "")], "_a string, _b string")
+    parent = F.lit("")
+    for level, q in ladder:
+        nodes = boxes.groupBy(parent.alias("_up"), key(level, q).alias("_node")).agg(
+            F.max("_reach").alias("_reach"), F.array(*[F.min(axis("_lo", i)) for i in range(n_dim)]).alias("_lo"),
+            F.array(*[F.max(axis("_hi", i)) for i in range(n_dim)]).alias("_hi"))
+        parent = key(level, q)
+        a = nodes.where("_reach >= 0").select(F.col("_up").alias("_a"), F.col("_node").alias("_an"), "_reach",
+                                              F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi"))
+        b = nodes.select(F.col("_up").alias("_b"), F.col("_node").alias("_bn"), "_lo", "_hi")
+        apart = sum((F.pow(F.greatest(axis("_lo", i) - axis("_ahi", i), axis("_alo", i) - axis("_hi", i), F.lit(0.0)), F.lit(2.0))
+                     for i in range(n_dim)), F.lit(0.0))
+        pairs = cut_lineage(pairs.join(a, "_a").join(b, "_b").where(apart <= F.col("_reach") * SLACK)
+                            .select(F.col("_an").alias("_a"), F.col("_bn").alias("_b")), "pairs")
+    return pairs.where("_a <> _b")
+
+
+def leaf_key():
+    """The key that ``near_cells`` gives a cell."""
+    return F.concat_ws(":", *[F.col("_path")[i] for i in range(LEVELS)], F.lit(f"{LEVELS - 1}/1"))
 
 
 def minority_neighbours(points: DataFrame, features: list[str], k: int = 5, block: int = 256,
@@ -130,19 +181,15 @@ def minority_neighbours(points: DataFrame, features: list[str], k: int = 5, bloc
     p = points.select(F.col("_pid").cast("string").alias("_pid"), vec.alias("_x"), "_m")
     whole = p.where(F.forall("_x", lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False)))).select(
         "_pid", "_x", (k - F.least(F.col("_m") - 1, F.lit(k))).cast("int").alias("_need"))
-    placed = cut_lineage(_cells(whole, n_dim, block), "cells")
+    placed, parts = _cells(whole, n_dim, block)
+    placed = cut_lineage(placed.withColumn("_cell", leaf_key()), "cells")
     here = placed.groupBy("_cell").agg(F.collect_list(F.struct("_pid", "_x", "_need")).alias("members"))
     first = cut_lineage(here.select("members").mapInArrow(_within, f"_pid string, _r double, _nn {_NEAR}"), "within")
     cells = cut_lineage(placed.join(first.select("_pid", "_r"), "_pid").groupBy("_cell").agg(
-        F.max("_r").alias("_reach"), F.array(*[F.min(F.col("_x")[i]) for i in range(n_dim)]).alias("_lo"),
+        F.first("_path").alias("_path"), F.max("_r").alias("_reach"), F.array(*[F.min(F.col("_x")[i]) for i in range(n_dim)]).alias("_lo"),
         F.array(*[F.max(F.col("_x")[i]) for i in range(n_dim)]).alias("_hi"),
         F.collect_list(F.struct("_pid", "_x", "_need", "_r")).alias("members")), "boxes")
-    # boxes only: some thousandths of the points
-    a = cells.where("_reach >= 0").select(F.col("_cell").alias("_a"), "_reach", F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi"))
-    b = cells.select(F.col("_cell").alias("_b"), "_lo", "_hi")
-    apart = sum((F.pow(F.greatest(F.col("_lo")[i] - F.col("_ahi")[i], F.col("_alo")[i] - F.col("_hi")[i], F.lit(0.0)), F.lit(2.0))
-                 for i in range(n_dim)), F.lit(0.0))
-    pairs = cut_lineage(a.crossJoin(b).where((F.col("_a") != F.col("_b")) & (apart <= F.col("_reach") * SLACK)).select("_a", "_b"), "pairs")
+    pairs = near_cells(cells, parts, n_dim)
     tasks = 1 + pairs.count() // TASK_PAIRS
     both = cells.select(F.col("_cell").alias("_a"), F.col("members").alias("own")).repartition(tasks, "_a").join(
         pairs.join(cells.select(F.col("_cell").alias("_b"), F.col("members").alias("other")), "_b").repartition(tasks, "_a"), "_a")
