@@ -9,14 +9,22 @@ and a footer becomes a row of nulls, which ``remove_invalid_rows`` drops later.
 Spark has no line numbers, but a line's place is known from its file, the start
 of its split and its order in the split.  One row per file holds the place and
 the text of the header; the lines are joined to it and those behind it parsed.
-Files are split and read in parallel; a quoted field may not span lines.
+Files are split and read in parallel.
+
+A quoted field may hold line breaks (read as line feeds).  Whether a line starts
+inside quotes depends on all lines before it, so every line, and every split of a
+file, is taken as a map from the state at its start to the state at its end;
+these are composed line by line inside a split and split by split inside a file,
+and the lines of a record, which may lie in several splits, are put together.
+Only files with a line that leaves a quote open go this way.  A quote that is
+never closed is no quote over lines: the lines behind it are read one by one.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlag import schema as S
@@ -32,12 +40,13 @@ def with_places(text: DataFrame) -> DataFrame:
 
 def parse_monthly_lines(lines: DataFrame) -> DataFrame:
     """Lines of ``with_places`` -> typed raw records (bad numbers -> null, empty -> null)."""
-    lines = lines.withColumn("_id", F.monotonically_increasing_id()).where(F.col("value") != "")
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
     place = F.struct("_block", "_id")
     here = F.struct(place.alias("at"), F.col("value").alias("line"))
     # one row per file
-    heads = cut_lineage(lines.groupBy("_file").agg(F.coalesce(
-        F.min(F.when(F.col("value").startswith(S.HEADER_PREFIX), here)), F.min(here)).alias("head")), "headers")
+    heads = cut_lineage(lines.where(F.col("value") != "").groupBy("_file").agg(F.coalesce(
+        F.min(F.when(F.col("value").startswith(S.HEADER_PREFIX), here)), F.min(here)).alias("head"),
+        F.bool_or(ends_inside(F.col("value"), False)).alias("_opens")), "headers")
     width = heads.agg(F.max(F.size(F.split("head.line", ",")))).first()[0] or len(S.RAW_COLS)
     ddl = ", ".join(f"f{i} STRING" for i in range(width))
 
@@ -45,12 +54,76 @@ def parse_monthly_lines(lines: DataFrame) -> DataFrame:
         row = F.from_csv(line, ddl, CSV_OPTIONS)
         return F.array(*[row[f"f{i}"] for i in range(width)])
 
-    heads = heads.select("_file", F.col("head.at").alias("_head"), fields(F.col("head.line")).alias("_names"))
-    rows = lines.join(heads, "_file").where(place > F.col("_head")).select("_names", fields(F.col("value")).alias("_fields"))
+    some_open = not heads.where("_opens").isEmpty()
+    heads = heads.select("_file", F.col("head.at").alias("_head"), fields(F.col("head.line")).alias("_names"), "_opens")
+    rows = lines.join(heads, "_file").where(place > F.col("_head"))
+    if some_open:
+        spanning = rows.where("_opens").select("_file", "_block", "_id", "value")
+        spanning = records_over_lines(spanning).join(heads.select("_file", "_names"), "_file")
+        rows = rows.where("not _opens").select("_names", "value").unionByName(spanning.select("_names", "value"))
+    rows = rows.where(F.col("value") != "").select("_names", fields(F.col("value")).alias("_fields"))
     at = lambda c: F.array_position("_names", F.lit(S.ORIGINAL_NAMES[c])).cast("int")
     return typed_raw(rows.select(*[F.when(at(c) > 0, F.get("_fields", at(c) - 1)).alias(c) for c in S.RAW_COLS]))
 
 
+def ends_inside(line: Column, inside: bool) -> Column:
+    """Whether a line that starts inside (or outside) a quoted field ends inside one.
+
+    A quote opens a field only at the field's start, two inside a quoted field
+    are a quote, and any other one there closes it."""
+    start, plain, quoted, closing = range(4)
+    parts = F.split(line, '"')
+
+    def text(state, t):
+        return (F.when((t == "") | (state == quoted), state).when(t.endswith(","), F.lit(start)).otherwise(F.lit(plain)))
+
+    def quote(state):
+        return (F.when(state == start, F.lit(quoted)).when(state == plain, F.lit(plain))
+                .when(state == quoted, F.lit(closing)).otherwise(F.lit(quoted)))
+
+    last = F.aggregate(F.slice(parts, 2, F.size(parts)), text(F.lit(quoted if inside else start), parts[0]),
+                       lambda state, t: text(quote(state), t))
+    return F.when(line.contains('"'), last == quoted).otherwise(F.lit(inside))
+
+
+def records_over_lines(lines: DataFrame) -> DataFrame:
+    """Lines behind the header (``_file, _block, _id, value``) -> ``_file, value``, a row per record."""
+    # a line keeps the state, turns it round, or sets it; what was set last and the turns since give the state
+    kinds = lines.withColumns({"_a": ends_inside(F.col("value"), False).cast("int"), "_b": ends_inside(F.col("value"), True).cast("int")})
+    inner = Window.partitionBy("_file", "_block").orderBy("_id")  # a split at most
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    kinds = kinds.withColumn("_turns", F.sum(F.when(F.col("_a") > F.col("_b"), 1).otherwise(0)).over(upto) % 2)
+    kinds = kinds.withColumn("_set", F.last(F.when(F.col("_a") == F.col("_b"), (F.col("_a") + F.col("_turns")) % 2), True).over(upto))
+    kinds = cut_lineage(kinds.drop("_a", "_b"), "quotes")
+
+    outer = Window.partitionBy("_file").orderBy("_block")  # a row per split
+    so_far = outer.rowsBetween(Window.unboundedPreceding, 0)
+    splits = kinds.groupBy("_file", "_block").agg(F.max_by("_turns", "_id").alias("t"), F.max_by("_set", "_id").alias("s"))
+    splits = splits.withColumn("all", F.sum("t").over(so_far) % 2)
+    splits = splits.withColumn("s", F.last(F.when(F.col("s").isNotNull(), (F.col("s") + F.col("t") + F.col("all")) % 2), True).over(so_far))
+    splits = splits.withColumn("after", (F.coalesce("s", F.lit(0)) + F.col("all")) % 2)
+    splits = splits.select("_file", "_block", F.lag("after", 1, 0).over(outer).alias("_from"), "after")
+    splits = cut_lineage(splits, "splits")
+
+    state = kinds.join(splits.drop("after"), ["_file", "_block"])
+    state = state.withColumn("_after", (F.coalesce("_set", "_from") + F.col("_turns")) % 2)
+    state = state.withColumn("_before", F.coalesce(F.lag("_after").over(inner), "_from"))
+    state = state.withColumn("_own", F.last(F.when(F.col("_before") == 0, F.struct("_block", "_id")), True).over(upto))
+    state = cut_lineage(state.select("_file", "_block", "_id", "value", "_before", "_after", "_own"), "states")
+    # a record may have started in an earlier split; the last one of a file may have no end
+    begun = state.groupBy("_file", "_block").agg(F.max("_own").alias("_own"))
+    begun = begun.select("_file", "_block", F.max("_own").over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    ends = splits.groupBy("_file").agg(F.max_by("after", "_block").alias("_open")).join(
+        state.groupBy("_file").agg(F.max("_own").alias("_last")), "_file")
+    whole = (F.col("_before") == 0) & (F.col("_after") == 0)
+    parts = state.where(~whole).join(begun, ["_file", "_block"]).join(ends, "_file").withColumn("_record", F.coalesce("_own", "_earlier"))
+    parts = parts.withColumn("_record", F.when((F.col("_open") == 1) & (F.col("_record") == F.col("_last")), F.struct("_block", "_id"))
+                             .otherwise(F.col("_record")))
+    joined = parts.groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("_lines"))
+    return state.where(whole).select("_file", "value").unionByName(
+        joined.select("_file", F.array_join(F.transform("_lines", lambda r: r["value"]), "\n").alias("value")))
+
+
 def typed_raw(df: DataFrame) -> DataFrame:
     exprs = []
     for f in S.RAW_SCHEMA.fields:
