@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from airlag import schema as S
 from airlag.operators import profiling as P
+from airlag.operators import sketches as K
 from airlag.plans import base as B
 from airlag.plans import sqlbase as Q
 from airlag.plans.q_prep import ENGINEERED_CTE
 from airlag.plans.registry import query
 from airlag.plans.sqlgen import CARRIERS, CLEAN_ORDER, NUMERIC_CLEAN, iqr_cte, r6
+from airlag.sources.csv_ingest import scratch_path
 
 W = Q.with_ctes
 DATED_TYPES = {
@@ -46,6 +48,15 @@ def q_describe_numeric(spark, sf):
     return P.describe_numeric(B.clean(spark, sf), NUMERIC_CLEAN)
 
 
+@query("describe_numeric_sketched")
+def q_describe_numeric_sketched(spark, sf):
+    """The profile of all months from sketches stored month by month."""
+    path = scratch_path(spark, "sketches")
+    month = F.date_format("flight_date", "yyyy-MM")
+    K.write_sketches(K.monthly_sketches(B.clean(spark, sf), NUMERIC_CLEAN, month), path)
+    return K.describe_sketched(K.read_sketches(spark, path))
+
+
 @query("missing_by_column", W(Q.DATED) + "SELECT * FROM (" + _union([
     f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing, "
     f"{r6(f'(count(*) - count({c})) * 100.0 / count(*)')} AS pct_missing FROM dated"
