@@ -3,7 +3,7 @@ imputation, duplicates, type validation and IQR outliers.
 
 Statistics that a step needs (medians, modes, quartiles) are computed first
 (``exact_stats``) and applied as literals in a projection, so a step itself
-costs one scan plus, for de-duplication, one shuffle.
+costs one scan plus, for de-duplication, one shuffle of hashes.
 """
 
 from __future__ import annotations
@@ -17,9 +17,13 @@ from pyspark.sql import types as T
 from airlag import schema as S
 from airlag.functions.nulls import null_count
 from airlag.operators.exact_stats import exact_quantiles_many, modes
+from airlag.operators.joins import row_count_at_most
+from airlag.session import cut_lineage
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
+#: Hashes of copied rows that are broadcast at most (16 bytes each).
+REPEATED_BROADCAST = 4_000_000
 DATE_CANDIDATES = ["flight_date", "date_mdy", "Date (YYYY-MM-DD)", "Date (MM/DD/YYYY)"]
 
 
@@ -147,17 +151,32 @@ def impute_categorical(df: DataFrame) -> DataFrame:
     return apply_fills(df, {}, cat_fill)
 
 
-def handle_missing(df: DataFrame, strategy: str = "median", exact: bool = True) -> DataFrame:
+def handle_missing(df: DataFrame, strategy: str = "median", exact: bool = True, stored: bool = False) -> DataFrame:
+    """Fills of all columns.  The rows are stored first (unless they are), since
+    null counts, medians, modes and the result each read them."""
+    df = df if stored else cut_lineage(df, "records")
     num_fill, cat_fill = missing_value_plan(df, strategy, exact)
     return apply_fills(df, num_fill, cat_fill)
 
 
 # ------------------------------------------------------------ dedup / types
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Full-row distinct (nulls equal).  Partial aggregation collapses copies
-    before the shuffle, so a heavily copied row does not skew a task."""
-    return df.dropDuplicates()
+def drop_duplicates(df: DataFrame, stored: bool = False) -> DataFrame:
+    """Full-row distinct (nulls equal), of rows that are stored first unless they
+    are.  Only 64-bit hashes of all rows are shuffled and counted: a row whose
+    hash comes once has no copy and stays where it is, the others are compared
+    in full.  Partial aggregation collapses copies before either shuffle, so a
+    heavily copied row does not skew a task.  Beyond ``REPEATED_BROADCAST``
+    repeated hashes all rows are compared in full."""
+    df = df if stored else cut_lineage(df, "rows")
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    seen = df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_m"))
+    repeated = cut_lineage(seen.where(F.col("_m") > 1).select("_h"), "repeated")
+    if not row_count_at_most(repeated, REPEATED_BROADCAST):
+        return df.dropDuplicates()
+    hashed, repeated = df.withColumn("_h", h), F.broadcast(repeated)
+    copied = hashed.join(repeated, "_h", "left_semi").drop("_h").dropDuplicates()
+    return hashed.join(repeated, "_h", "left_anti").drop("_h").unionByName(copied)
 
 
 def validate_types(df: DataFrame, date_col: str | None = None) -> DataFrame:

@@ -44,7 +44,9 @@ def _stage(spark: SparkSession, sf: str, regression: bool) -> DataFrame:
     columns that they need."""
     key = (spark.sparkContext.applicationId, sf, regression, _changed(spark, sf))
     if key not in _STAGES:
-        _STAGES[key] = cut_lineage(preprocess(raw(spark, sf), regression=regression), "cleaned")
+        # the regression variant is the cleaned table cut to the target range
+        _STAGES[key] = CL.clip_target_range(clean(spark, sf), cap_min=-60, cap_max=300) if regression \
+            else cut_lineage(preprocess(raw(spark, sf)), "cleaned")
     return _STAGES[key]
 
 
@@ -52,8 +54,8 @@ def release_stages(spark: SparkSession) -> int:
     """Delete the session's cleaned stages (results that still read them must
     be stored by then); later reports write them anew."""
     mine = [k for k in _STAGES if k[0] == spark.sparkContext.applicationId]
-    for k in mine:
-        delete_folder(spark, _STAGES.pop(k).inputFiles()[0].rsplit("/", 1)[0])
+    for folder in {_STAGES.pop(k).inputFiles()[0].rsplit("/", 1)[0] for k in mine}:
+        delete_folder(spark, folder)
     return len(mine)
 
 

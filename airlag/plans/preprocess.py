@@ -13,7 +13,8 @@ def preprocess(df: DataFrame, remove_invalid: bool = True, handle_missing: bool
                outliers: str = "keep", date_range=None, regression: bool = False,
                cap_min: float = -60, cap_max: float = 300) -> DataFrame:
     """date -> invalid rows -> date range -> impute -> dedup -> types ->
-    (regression: target range) -> outliers."""
+    (regression: target range) -> outliers.  The records are stored before
+    the steps that read them more than once."""
     df = CL.canonical_date(df)
     if remove_invalid:
         df = CL.remove_invalid_rows(df)
@@ -22,7 +23,7 @@ def preprocess(df: DataFrame, remove_invalid: bool = True, handle_missing: bool
     if handle_missing:
         df = CL.handle_missing(df)
     if remove_dupes:
-        df = CL.drop_duplicates(df)
+        df = CL.drop_duplicates(df, stored=handle_missing)
     if validate_dtypes:
         df = CL.validate_types(df)
     if regression:

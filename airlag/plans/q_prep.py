@@ -283,12 +283,12 @@ def q_handle_missing(spark, sf):
 
 @query("drop_duplicates", W(Q.DEDUP) + "SELECT * FROM dedup")
 def q_drop_duplicates(spark, sf):
-    return CL.drop_duplicates(CL.handle_missing(B.valid(spark, sf)))
+    return CL.drop_duplicates(CL.handle_missing(B.valid(spark, sf)), stored=True)
 
 
 @query("validate_types", W(Q.CLEAN) + "SELECT * FROM clean")
 def q_validate_types(spark, sf):
-    return CL.validate_types(CL.drop_duplicates(CL.handle_missing(B.valid(spark, sf))))
+    return CL.validate_types(CL.drop_duplicates(CL.handle_missing(B.valid(spark, sf)), stored=True))
 
 
 _IQR_COLS = NUMERIC_CLEAN
