@@ -59,7 +59,7 @@ def subsample_n(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFram
     """Exactly n rows without replacement in seeded hash order, all of them
     if there are fewer: one plan for every n, by exact ranks."""
     from airlag.operators.ranking import hash_rank
-    return hash_rank(df, [], key_col, seed).where(F.col("_rank") <= n).drop("_rank", "_n")
+    return hash_rank(df, [], key_col, seed, first=n).drop("_rank")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

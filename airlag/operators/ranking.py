@@ -34,6 +34,10 @@ from airlag.functions.hashing import hash32
 from airlag.session import cut_lineage
 
 
+#: Bits of the hash whose buckets tell which rows cannot be among the first ones.
+FIRST_BITS = 14
+
+
 def _bits_for(spark, buckets_per_partition: int = 16) -> int:
     """Hash buckets per group: 16 per shuffle partition (rounded up to a power
     of two).  ``spark.sql.shuffle.partitions`` is what a job sizes to its data,
@@ -104,10 +108,30 @@ def expand_copies(g: DataFrame, chunk: int = 100_000, most: int | None = None) -
     return light.unionByName(heavy)
 
 
+def _may_be_first(df: DataFrame, group_cols: list[str], key_col: str, seed: int, first: int) -> DataFrame:
+    """The rows of ``df`` without those that ``first`` rows of their group
+    precede: those in hash buckets that begin beyond it.  Only counts per group
+    and bucket are shuffled."""
+    bucket = F.shiftright(hash32(key_col, seed), 32 - FIRST_BITS)
+    counts = df.groupBy(*group_cols, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
+    run = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = counts.withColumn("_before", F.sum("_m").over(run) - F.col("_m")).where(F.col("_before") < first)
+    last = last.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group_cols)]).agg(F.max("_b").alias("_last"))
+    last = cut_lineage(last, "last-buckets")  # a row per group
+    near = F.coalesce(bucket <= F.col("_last"), bucket.isNull())  # rows without a key come first
+    for i, c in enumerate(group_cols):
+        near = near & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(last, near).select(*[df[c] for c in df.columns])
+
+
 def hash_rank(df: DataFrame, group_cols: list[str], key_col: str, seed: int = 42,
-              buckets_per_partition: int = 16) -> DataFrame:
+              buckets_per_partition: int = 16, first: int | None = None) -> DataFrame:
     """Every row of ``df`` with ``_rank`` (1-based, within its group in
-    (hash, key) order) and the group size ``_n``."""
+    (hash, key) order) and the group size ``_n``.  ``first``: only the rows with
+    ranks up to it, without ``_n``; the others are left out before rows are shuffled."""
+    if first is not None:
+        near = _may_be_first(df, group_cols, key_col, seed, first)
+        return hash_rank(near, group_cols, key_col, seed, buckets_per_partition).where(F.col("_rank") <= first).drop("_n")
     g = cut_lineage(collapse_copies(df), "distinct")
     most = g.agg(F.max("_m")).first()[0] or 0
     ranked = hash_rank_distinct(g, group_cols, key_col, seed, buckets_per_partition, stored=True)

@@ -161,8 +161,7 @@ def q_subsample_n(spark, sf):
 @query("subsample_n_exact_rank", W(KEYED) + f"SELECT * FROM keyed ORDER BY {H42}, row_key LIMIT 20000")
 def q_subsample_n_exact_rank(spark, sf):
     from airlag.operators.ranking import hash_rank
-    r = hash_rank(B.keyed_clean(spark, sf), [], "row_key", buckets_per_partition=64)
-    return r.where(F.col("_rank") <= 20000).drop("_rank", "_n")
+    return hash_rank(B.keyed_clean(spark, sf), [], "row_key", buckets_per_partition=64, first=20000).drop("_rank")
 
 
 @query("union_all", W(Q.DATED) + "SELECT * FROM dated")

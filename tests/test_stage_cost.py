@@ -42,3 +42,16 @@ def test_the_regression_stage_is_cut_from_the_cleaned_one(spark):
     both = B.clean(spark, SF).inputFiles(), B.clean_regression(spark, SF).inputFiles()
     assert sorted(both[0]) == sorted(both[1])
     assert B.clean_regression(spark, SF).where("arr_delay_min is null or arr_delay_min not between -60 and 300").isEmpty()
+
+
+def test_first_ranks_leave_later_buckets_out(spark):
+    from airlag.operators import ranking as R
+    df = spark.range(40_000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") < 39_000, (F.col("id") % 30_000).cast("string")).alias("key"))
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))  # a null group
+    rows = lambda x: sorted(map(str, x.select("g", "key", "_rank").collect()))
+    for groups in ([], ["g"]):
+        whole = R.hash_rank(df, groups, "key").where("_rank <= 1700")
+        assert rows(R.hash_rank(df, groups, "key", first=1700)) == rows(whole)
+        assert R._may_be_first(df, groups, "key", 42, 1700).count() < 8_000
+    assert R.hash_rank(df, [], "key", first=10 ** 9).count() == 39_000
+    assert R.hash_rank(df.limit(0), [], "key", first=5).count() == 0
