@@ -1,7 +1,8 @@
 """Second-order gradient boosting on histograms, one tree at a time.
 
-Features are binned once to bytes (``BINS`` quantile bins each) and stored in
-blocks of rows below the checkpoint folder.  A tree grows level by level: each
+Features are binned once to bytes (``BINS`` quantile bins each).  Rows that the
+method cannot tell apart, those of equal bins, label, weight and use, become one
+with a count; they are stored in blocks below the checkpoint folder.  A tree grows level by level: each
 level is one aggregate of gradient and hessian sums by (node, feature, bin),
 added up in the tasks, so what reaches the driver has the size of the level's
 histogram whatever the number of rows.  The driver picks the splits; a tree is
@@ -17,7 +18,8 @@ executor a few trees are applied again to a stored block.
 Every tree is shrunk by the learning rate, starting from the mean of the
 training labels.  The loss of held-back rows is known after each tree; training
 ends when the best lies ``early_stopping_rounds`` back.  Rows of a tree are drawn
-by a hash of row and round, so a recomputed block draws the same ones.
+(of ``n`` equal ones a binomial number) by block and round, so a recomputed block
+draws the same ones.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ BINS = 64
 RANK_ERROR = 0.001
 #: Rows of a stored block.
 BLOCK = 1 << 16
+#: Rows binned before equal ones are counted in a task.
+RUN_ROWS = 1 << 18
 #: Rows for which a task is worth its start, and most rows of a task.
 TASK_ROWS, MOST_TASK_ROWS = 6_000, 1 << 20
 CHECKPOINT = 25
@@ -96,22 +100,26 @@ def best_splits(sums: np.ndarray):
     return flat[np.arange(len(flat)), best], best // gain.shape[2], best % gain.shape[2]
 
 
-def _drawn(keys: np.ndarray, turn: int, share: float) -> np.ndarray:
-    """Rows of a round, by a hash of key and round."""
-    x = keys + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) & (2 ** 64 - 1))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x >> np.uint64(11)).astype(float) / 2 ** 53 < share
+def drawn_of(seed: int, count: np.ndarray, turn: int, share: float) -> np.ndarray:
+    """How many of the ``count`` equal rows behind each row of a block are drawn in a round."""
+    rng = np.random.default_rng([seed, turn])
+    drawn, many = (rng.random(len(count)) < share).astype(float), np.flatnonzero(count > 1)
+    drawn[many] = rng.binomial(count[many], share)
+    return drawn
 
 
 class Block:
-    """Rows of one block with their scores so far."""
+    """Rows of one block, sorted by their bins.  Rows of equal bins have one
+    score: gradients are linear in the label, so their sums need no more than
+    the sums of drawn weights and of weighted labels."""
 
     def __init__(self, row, n_features: int, base: float):
-        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, n_features)
-        self.y, self.w = np.frombuffer(row["y"]), np.frombuffer(row["w"])
-        self.held, self.keys = np.frombuffer(row["held"], bool), np.frombuffer(row["keys"], np.uint64)
-        self.score = np.full(len(self.y), base)
+        bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, n_features)
+        self.y, self.w, self.count = np.frombuffer(row["y"]), np.frombuffer(row["w"]), np.frombuffer(row["n"], np.int64)
+        self.held, self.seed = np.frombuffer(row["held"], bool), int(np.frombuffer(row["keys"], np.uint64)[0])
+        new = np.concatenate(([True], (bins[1:] != bins[:-1]).any(axis=1)))
+        self.starts, self.bins = np.flatnonzero(new), bins[new]
+        self.score = np.full(len(self.starts), base)
 
     def plus(self, tree: dict) -> Block:
         out = object.__new__(Block)
@@ -119,18 +127,22 @@ class Block:
         out.score = self.score + tree["value"][walk(tree, self.bins, "bin")]
         return out
 
-    def gradients(self, task: str):
+    def gradients(self, task: str, turn: int, share: float):
+        """Gradient and hessian sums of the drawn rows by bins, and the number of rows drawn."""
+        drawn = np.where(self.held, 0.0, drawn_of(self.seed, self.count, turn, share))
+        n, w, wy = (np.add.reduceat(x, self.starts) for x in (drawn, drawn * self.w, drawn * self.w * self.y))
         if task == "regression":
-            return self.w * (self.score - self.y), self.w
+            return w * self.score - wy, w, n
         p = 1 / (1 + np.exp(-self.score))
-        return self.w * (p - self.y), self.w * p * (1 - p)
+        return w * p - wy, w * p * (1 - p), n
 
     def loss(self, task: str, metric: str) -> tuple[float, int]:
         """Sum of the held-back rows' losses, and their number."""
-        y, s = self.y[self.held], self.score[self.held]
+        sizes = np.diff(np.concatenate((self.starts, [len(self.y)])))
+        y, s, n = self.y[self.held], np.repeat(self.score, sizes)[self.held], self.count[self.held]
         if task != "regression":
-            return float(np.logaddexp(0, np.where(y > 0, -s, s)).sum()), len(y)
-        return float(np.abs(s - y).sum() if metric == "mae" else ((s - y) ** 2).sum()), len(y)
+            return float(n @ np.logaddexp(0, np.where(y > 0, -s, s))), int(n.sum())
+        return float(n @ (np.abs(s - y) if metric == "mae" else (s - y) ** 2)), int(n.sum())
 
 
 def _histogram(task: str, metric: str, turn: int, share: float, features: list[int], tree: dict | None, slots: np.ndarray):
@@ -139,11 +151,13 @@ def _histogram(task: str, metric: str, turn: int, share: float, features: list[i
         n = int(slots.max()) + 1
         sums, loss = np.zeros((n, len(features), BINS, 2)), np.zeros(2)
         for b in blocks:
-            loss += b.loss(task, metric)
-            node = np.zeros(len(b.y), np.int64) if tree is None else walk(tree, b.bins, "bin")
-            slot = np.where(b.held | ~_drawn(b.keys, turn, share), -1, slots[node])
+            if tree is None:  # asked for once a round
+                loss += b.loss(task, metric)
+            node = np.zeros(len(b.bins), np.int64) if tree is None else walk(tree, b.bins, "bin")
+            *both, drawn = b.gradients(task, turn, share)
+            slot = np.where(drawn == 0, -1, slots[node])
             rows = np.flatnonzero(slot >= 0)
-            g, h = (x[rows] for x in b.gradients(task))
+            g, h = (x[rows] for x in both)
             for k, f in enumerate(features):
                 at = slot[rows] * BINS + b.bins[rows, f]
                 for c, x in enumerate((g, h)):
@@ -165,21 +179,72 @@ def _borders(df: DataFrame, n_features: int) -> list[np.ndarray]:
     return [np.unique(np.array([-np.inf, *q])) for q in found]
 
 
-def _blocks(df: DataFrame, borders: list[np.ndarray], tasks: int) -> DataFrame:
-    """``bins, y, w, held, keys`` of blocks of rows, stored."""
+def _binned(borders: list[np.ndarray]):
+    """(x, label, weight, held) to the distinct rows of a run: bins, label, weight, held, n."""
     def run(batches):
+        held, size = [], 0
+
+        def flush():
+            rows = np.concatenate(held)
+            rows, n = np.unique(rows.view(f"V{rows.shape[1]}")[:, 0], return_counts=True)
+            rows = rows.view(np.uint8).reshape(len(n), -1)
+            k = len(borders)
+            y, w = (np.ascontiguousarray(rows[:, lo:lo + 8]).view(float)[:, 0] for lo in (k, k + 8))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r.tobytes() for r in rows[:, :k]], pa.binary()), pa.array(y), pa.array(w), pa.array(rows[:, -1] > 0), pa.array(n)],
+                ["bins", "y", "w", "held", "n"])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, len(borders))
             x = np.where(np.isnan(x), -np.inf, x)
             bins = np.stack([np.searchsorted(b, x[:, i]) for i, b in enumerate(borders)], axis=1).astype(np.uint8)
-            plain = [batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)]
-            for lo in range(0, batch.num_rows, BLOCK):
-                some = slice(lo, lo + BLOCK)
-                parts = [bins[some], plain[0][some].astype(float), plain[1][some].astype(float), plain[2][some].astype(bool), plain[3][some].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts],
-                                                 ["bins", "y", "w", "held", "keys"])
-    dealt = df.select("x", "label", "weight", "held", "key").repartition(tasks)
-    return cut_lineage(dealt.mapInArrow(run, "bins binary, y binary, w binary, held binary, keys binary"), "boosting-blocks")
+            y, w, used = (batch.column(k).to_numpy(zero_copy_only=False).astype(t) for k, t in ((1, float), (2, float), (3, np.uint8)))
+            held.append(np.concatenate([bins, y.view(np.uint8).reshape(-1, 8), w.view(np.uint8).reshape(-1, 8), used[:, None]], axis=1))
+            size += len(y)
+            if size >= RUN_ROWS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+    return run
+
+
+def distinct_rows(df: DataFrame, borders: list[np.ndarray], seed: int) -> DataFrame:
+    """``bins, y, w, held, n, key`` (stored): a row for all of equal bins, label, weight and use."""
+    some = df.select("x", "label", "weight", "held").mapInArrow(_binned(borders), "bins binary, y double, w double, held boolean, n long")
+    rows = some.groupBy("bins", "y", "w", "held").agg(F.sum("n").alias("n"))
+    return cut_lineage(rows.withColumn("key", F.xxhash64(F.lit(seed), "bins", "y", "w", "held")), "binned-rows")
+
+
+def _pack(batches):
+    """Rows to blocks of at most ``BLOCK`` rows."""
+    held, size = [], 0
+
+    def flush(some):
+        t = pa.Table.from_batches(some).combine_chunks()
+        arrays = [t.column(k).to_numpy() for k in ("y", "w", "held", "n", "key")]
+        parts = [b"".join(t.column("bins").to_pylist()), *[np.ascontiguousarray(x).tobytes() for x in arrays]]
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], ["bins", "y", "w", "held", "n", "keys"])
+
+    for batch in batches:
+        while size + batch.num_rows > BLOCK:
+            take = BLOCK - size
+            yield flush([*held, batch.slice(0, take)])
+            batch, held, size = batch.slice(take), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield flush(held)
+
+
+def blocks(rows: DataFrame, tasks: int) -> DataFrame:
+    """``bins, y, w, held, n, keys`` of blocks of distinct rows, stored."""
+    dealt = rows.repartition(tasks, "bins").sortWithinPartitions("bins", "key")
+    return cut_lineage(dealt.mapInArrow(
+        _pack, "bins binary, y binary, w binary, held binary, n binary, keys binary"), "tree-blocks")
 
 
 class BoostedTrees:
@@ -257,20 +322,20 @@ def fit_boosted(df: DataFrame, task: str, config: dict, validation_col: str | No
     ensure_checkpoint_dir(spark)
     held = F.coalesce(F.col(validation_col), F.lit(False)) if validation_col else F.lit(False)
     x = vector_to_array("features")
-    # the key tells rows apart and is the same whenever a partition is read again
     slim = df.select(x.alias("x"), F.col("label").cast("double").alias("label"),
                      (F.col("weight") if "weight" in df.columns else F.lit(1.0)).cast("double").alias("weight"),
-                     held.alias("held"), F.xxhash64(F.lit(seed), x, F.col("label"), F.monotonically_increasing_id()).alias("key"))
+                     held.alias("held"))
     train = slim.where(~F.col("held"))
-    n, n_features, mean, n_held = *train.agg(
-        F.count(F.lit(1)), F.max(F.size("x")), F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first(), slim.where("held").count()
+    n, n_features, mean = train.agg(
+        F.count(F.lit(1)), F.max(F.size("x")), F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).first()
     if not n:
         raise ValueError("no rows to train on")
     base = mean if task == "regression" else math.log(min(max(mean, 1e-6), 1 - 1e-6) / (1 - min(max(mean, 1e-6), 1 - 1e-6)))
     borders = _borders(train, n_features)
-    rows = n + n_held
+    distinct = distinct_rows(slim, borders, seed)
+    rows = distinct.count()
     tasks = max(1, min(spark.sparkContext.defaultParallelism, rows // TASK_ROWS), -(-rows // MOST_TASK_ROWS))
-    state = _blocks(slim, borders, tasks).rdd.map(lambda r: Block(r, n_features, base)).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks(distinct, tasks).rdd.map(lambda r: Block(r, n_features, base)).persist(StorageLevel.MEMORY_AND_DISK)
     metric, rate, depth = config.get("eval_metric"), float(config["learning_rate"]), int(config["max_depth"])
     most, patience = int(config["n_estimators"]), int(config.get("early_stopping_rounds") or 0)
     share, columns = float(config["subsample"]), max(1, round(float(config["colsample_bytree"]) * n_features))
