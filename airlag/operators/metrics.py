@@ -136,9 +136,10 @@ def classification_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 # ------------------------------------------------------------ ranking curves
 
-def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
+def _score_counts(df: DataFrame, y: str, score: str, copies: str | None = None) -> DataFrame:
+    n = F.col(copies) if copies else F.lit(1)
     return df.where(F.col(score).isNotNull()).groupBy(score).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
+        F.sum(F.col(y).cast("long") * n).alias("pos"), F.sum((1 - F.col(y)).cast("long") * n).alias("neg"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -163,9 +164,10 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
                                 F.col("u") / (F.col("P") * F.col("N")))).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Step-wise sum of (R_k - R_{k-1}) * P_k over descending thresholds."""
-    sc = _score_counts(df, y, score)
+def average_precision(df: DataFrame, y: str, score: str, copies: str | None = None) -> DataFrame:
+    """Step-wise sum of (R_k - R_{k-1}) * P_k over descending thresholds;
+    ``copies``: column with the number of rows that a row stands for."""
+    sc = _score_counts(df, y, score, copies)
     cum = cumulative_sums(sc, score, ["pos", "neg"], descending=True)
     term = cum.select(
         (F.col("pos") / F.col("all_pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))

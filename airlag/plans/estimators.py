@@ -89,6 +89,14 @@ def load_xy(df: DataFrame, task: str, threshold: float = 15, target: str | None
 # ------------------------------------------------------------------ fitting
 
 def with_weights(df: DataFrame, class_weight: str | None, label: str = "label") -> DataFrame:
+    """``weight`` by class; rows that stand for a number of ``copies`` weigh as many."""
+    if "copies" in df.columns and class_weight in (None, "balanced"):
+        per = F.lit(1.0)
+        if class_weight == "balanced":
+            n = {r[0]: r[1] for r in df.groupBy(label).agg(F.sum("copies")).collect()}  # a row per class
+            for value, m in n.items():
+                per = F.when(F.col(label) == value, sum(n.values()) / (len(n) * m)).otherwise(per)
+        return df.withColumn("weight", F.col("copies") * per)
     if class_weight == "balanced":
         return class_weight_balanced(df, label, "weight")
     if class_weight == "scale_pos_weight":
