@@ -1,5 +1,5 @@
-"""Estimators: logistic regression and random forests on Spark ML, boosted
-trees of ``plans/boosting.py``, plus prediction, importance, coefficients and persistence.
+"""Estimators: logistic regression on Spark ML, random forests of
+``plans/forest.py``, boosted trees of ``plans/boosting.py``, plus prediction, importance, coefficients and persistence.
 
 Training frames are assembled once and checkpointed into the session's
 checkpoint folder (``cut_lineage``) before fitting: iterative fitters make many
@@ -13,10 +13,9 @@ import datetime as dt
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +23,7 @@ from pyspark.sql import types as T
 from airlag.operators.features import numeric_coerce
 from airlag.operators.splits import class_weight_balanced, scale_pos_weight
 from airlag.plans.boosting import BoostedTrees, fit_boosted
+from airlag.plans.forest import Forest, fit_forest
 from airlag.session import cut_lineage
 
 SPARK_MAX_DEPTH = 30
@@ -38,9 +38,6 @@ BOOSTED_TUNED_REG = {"n_estimators": 1576, "max_depth": 9, "learning_rate": 0.23
 BOOSTED_TUNED_CLF = {"n_estimators": 1516, "max_depth": 6, "learning_rate": 0.2880,
                      "subsample": 0.9378, "colsample_bytree": 0.7581, "early_stopping_rounds": 50}
 # ----------------------------------------------------------------------------
-# Deep trees: cache node ids (no re-walk of every tree per level) and give the
-# per-level node statistics more room so fewer passes are needed.
-TREE_RESOURCES = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
 
 
 def assembler(feature_cols: list[str], out: str = "features") -> VectorAssembler:
@@ -124,7 +121,7 @@ def logistic_regression(df: DataFrame, C: float = 1.0, penalty: str = "l2",
 
 
 def effective_depth(max_depth: int | None) -> int:
-    """Spark's trees go down to depth 30.  No limit (None) means that depth; a
+    """Trees go down to depth 30.  No limit (None) means that depth; a
     larger number cannot be honoured and is an error."""
     if max_depth is None:
         return SPARK_MAX_DEPTH
@@ -135,24 +132,14 @@ def effective_depth(max_depth: int | None) -> int:
 
 def rf_classifier(df: DataFrame, n_estimators: int = 100, max_depth: int | None = None,
                   min_samples_leaf: int = 1, class_weight: str | None = None,
-                  max_features: str = "sqrt", seed: int = 42):
+                  max_features: str = "sqrt", seed: int = 42) -> Forest:
     df = with_weights(df, class_weight)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                                maxDepth=effective_depth(max_depth), minInstancesPerNode=min_samples_leaf,
-                                featureSubsetStrategy=max_features, seed=seed, maxBins=64,
-                                **TREE_RESOURCES)
-    if "weight" in df.columns:
-        rf.setWeightCol("weight")
-    return rf.fit(df)
+    return fit_forest(df, "classification", n_estimators, effective_depth(max_depth), min_samples_leaf, max_features, seed)
 
 
 def rf_regressor(df: DataFrame, n_estimators: int = 100, max_depth: int | None = None,
-                 min_samples_leaf: int = 1, max_features: str = "all", seed: int = 42):
-    rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=n_estimators,
-                               maxDepth=effective_depth(max_depth), minInstancesPerNode=min_samples_leaf,
-                               featureSubsetStrategy=max_features, seed=seed, maxBins=64,
-                               **TREE_RESOURCES)
-    return rf.fit(df)
+                 min_samples_leaf: int = 1, max_features: str = "all", seed: int = 42) -> Forest:
+    return fit_forest(df, "regression", n_estimators, effective_depth(max_depth), min_samples_leaf, max_features, seed)
 
 
 def boosted(df: DataFrame, task: str, config: dict | None = None, validation_col: str | None = None,

@@ -99,7 +99,7 @@ def q_rf_regression_pipeline(spark, sf):
     d = model_frame(spark, sf, regression=True)
     model = E.rf_regressor(d.where(F.col("split") == "train"), n_estimators=100, max_depth=10)
     metrics = _reg_eval(E.predict(model, d)).select("rmse", "mae", "r2")
-    model.write().overwrite().save(scratch_path(spark, "rf_regressor"))
+    model.save(scratch_path(spark, "rf_regressor"))
     return E.feature_importance(model, FEATS).crossJoin(metrics)
 
 
