@@ -9,7 +9,8 @@ candidates.  Per shared prefix shingle:
 1. every member is compared with the smallest node (a star, linear in the
    group); the links found are joined into components;
 2. groups that still hold several components are laid out in tiles by size
-   band, hot groups in several tiles per band.  Tiles are gone through in rounds:
+   band, hot groups in several tiles per band: there the largest component's rows
+   meet the others only, not each other.  Tiles are gone through in rounds:
    a row hands on its few most promising pairs with other components, these are
    settled and components joined, so that most other pairs of the tile need no
    look any more; the next round hands on four times as many, until a round has
@@ -274,33 +275,52 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, sign: str, percent: int) -> Dat
     return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(_may_reach(percent), "a long, b long")
 
 
+def _mixed(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of groups with their component, and of the groups with several
+    components the number of members (``size``), the largest component (``main``)
+    and its number (``main_n``); of groups with the same members one is enough
+    (the shingles of one passage)."""
+    members = groups.where("g > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = members.groupBy("token", "comp").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m2"))
+    mixed = parts.groupBy("token").agg(
+        F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"),
+        F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2")).where("comps > 1")
+    mixed = mixed.groupBy("size", "m1", "m2").agg(F.min(F.struct("token", "top")).alias("x"))
+    return members, mixed.select("x.token", "size", F.col("x.top.comp").alias("main"), F.col("x.top.c").alias("main_n"))
+
+
 def _tiles(groups: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b, more) of different components in one group that may reach
     the threshold, ``width`` a row, and (node, null) for all nodes in such pairs."""
-    members = groups.where("g > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = members.groupBy("token").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
-        F.bit_xor(F.xxhash64("node")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("m2")).where("lo <> hi")
-    # of groups with the same members (the shingles of one passage) one is enough
-    mixed = mixed.groupBy("size", "m1", "m2").agg(F.min("token").alias("token"))
-    rows = members.join(mixed.select("token"), "token").join(nodes.select("node", "n", "sign"), "node").withColumns({
-        "step": F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)), "k": F.ceil(F.col("g") / TILE).cast("int")})
+    members, mixed = _mixed(groups, comps)
+    hot = F.col("size") > TILE
+    rows = members.join(mixed, "token").join(nodes.select("node", "n", "sign"), "node").withColumns({
+        "step": F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)), "in_main": hot & (F.col("comp") == F.col("main")),
+        "k": F.ceil(F.when(hot, F.col("size") - F.col("main_n")).otherwise(F.col("size")) / TILE).cast("int"),
+        "k_main": F.when(hot, F.ceil(F.col("main_n") / TILE)).otherwise(0).cast("int")})
     # a band is BAND threshold ratios wide; the last of them (and a little more,
     # for rounding) has partners in the next band
     rows = rows.withColumns({"band": F.floor(F.col("step") / BAND).cast("int"), "high": F.pmod(F.col("step"), F.lit(float(BAND))) > BAND - 1.01})
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    all_k = F.sequence(F.lit(0), F.col("k") - 1)
-    tile = lambda band, i, j, side: F.struct(
-        band.alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    own = F.transform(all_k, lambda j: tile(F.col("band"), F.col("part"), j, 0))
-    same = F.transform(F.filter(all_k, lambda i: i < F.col("part")), lambda i: tile(F.col("band"), i, F.col("part"), 1))
-    below = F.transform(F.filter(all_k, lambda i: F.col("high")), lambda i: tile(F.col("band") + 1, i, F.col("part"), 1))
-    dealt = rows.select("token", F.explode(F.concat(own, same, below)).alias("t"), "node", "comp", "n", "sign")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("k_main")).otherwise(F.col("k"))).cast("int"))
+    to = lambda k: F.filter(F.sequence(F.lit(-1), F.col(k) - 1), lambda i: i >= 0)
+    tile = lambda main, band, i, j, side: F.struct(
+        F.lit(main).alias("main"), band.alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    # outside the largest component of a hot group: rows meet each other ...
+    own = F.transform(to("k"), lambda j: tile(False, F.col("band"), F.col("part"), j, 0))
+    same = F.transform(F.filter(to("k"), lambda i: i < F.col("part")), lambda i: tile(False, F.col("band"), i, F.col("part"), 1))
+    below = F.transform(F.filter(to("k"), lambda i: F.col("high")), lambda i: tile(False, F.col("band") + 1, i, F.col("part"), 1))
+    # ... and its rows
+    bands = F.when(F.col("high"), F.array("band", F.col("band") + 1)).otherwise(F.array("band"))
+    out = F.flatten(F.transform(bands, lambda b: F.transform(to("k_main"), lambda j: tile(True, b, F.col("part"), j, 0))))
+    main = F.flatten(F.transform(bands, lambda b: F.transform(to("k"), lambda i: tile(True, b, i, F.col("part"), 1))))
+    dealt = rows.select("token", F.explode(F.when(F.col("in_main"), main).otherwise(F.concat(own, same, below, out))).alias("t"),
+                        "node", "comp", "n", "sign")
     # a tile holds about three times TILE rows at most, by the hash
-    tiles = dealt.groupBy("token", "t.band", "t.i", "t.j").agg(
+    tiles = dealt.groupBy("token", "t.main", "t.band", "t.i", "t.j").agg(
         F.collect_list(F.struct(F.col("t.side").alias("side"), "node", "comp", "n", "sign")).alias("members"))
     tiles = tiles.where((F.size("members") > 1) & F.exists("members", lambda m: m["side"] == 0))
-    return tiles.select((F.col("i") == F.col("j")).alias("diagonal"), "members").mapInArrow(
+    return tiles.select((~F.col("main") & (F.col("i") == F.col("j"))).alias("diagonal"), "members").mapInArrow(
         _tile_pairs(percent, width), "a long, b long, more boolean").groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
