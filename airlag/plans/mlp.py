@@ -16,8 +16,16 @@ the epoch, and returns the same numbers, since shards, batches and permutations
 depend on keys, seed and epoch only.
 
 Several networks train in the same pass (``train_networks``): networks of one
-shape are stacked along a leading axis and go through batched matrix products.
+shape are stacked along a leading axis and go through batched matrix products,
+the stacks in jobs that run side by side.
 The rows are stored first, and kept by the executors between epochs.
+
+Where features repeat (``MERGE_FROM`` rows for each set of values, or more), rows of
+equal features and use are merged into one with their weight and mean label.  Both
+losses and their gradients see no more of them: cross entropy is linear in the label,
+and a squared error is that of the mean label plus a spread which no weight changes.
+A step then takes ``batch_rows`` merged rows.  An epoch costs the number of different
+feature values, not of rows, and a table without copies trains as it is.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ import datetime as dt
 import io
 import json
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -41,6 +50,11 @@ from airlag.session import cut_lineage, ship_package
 BATCH_ROWS = 200
 #: A table of up to so many rows is one shard; s squared times as many are s shards.
 SHARD_ROWS = 2048
+#: Rows for each different set of feature values from which training goes over merged rows.
+MERGE_FROM = 2
+#: Networks of a stack, whose arrays for a step then fit a core's cache, and jobs of an
+#: epoch that share out the stacks: merged rows are few shards, less than there are cores.
+STACK, JOBS = 6, 3
 
 
 def _init(sizes, seed):
@@ -67,20 +81,26 @@ def _forward(params, x, activation="relu"):
     return acts
 
 
+def _of_output(out, y, w, task):
+    """Loss summed over rows, and its slope at the output of each row."""
+    if task == "classification":
+        p = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
+        eps = 1e-12
+        return -np.sum(w * (y * np.log(p + eps) + (1 - y) * np.log(1 - p + eps)), axis=-1), w * (p - y)
+    err = out - y
+    return 0.5 * np.sum(w * err * err, axis=-1), w * err
+
+
+def _loss(params, x, y, w, task, activation="relu"):
+    return _of_output(_forward(params, x, activation)[-1][..., 0], y, w, task)[0]
+
+
 def _loss_grad(params, x, y, w, task, activation="relu"):
     """Loss and gradients, summed over rows, of a stack of networks: every
     array of ``params`` and ``w`` has a leading axis of networks."""
     acts = _forward(params, x, activation)
-    out = acts[-1][..., 0]
-    if task == "classification":
-        p = 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
-        eps = 1e-12
-        loss = -np.sum(w * (y * np.log(p + eps) + (1 - y) * np.log(1 - p + eps)), axis=-1)
-        delta = (w * (p - y))[..., None]
-    else:
-        err = out - y
-        loss = 0.5 * np.sum(w * err * err, axis=-1)
-        delta = (w * err)[..., None]
+    loss, slopes = _of_output(acts[-1][..., 0], y, w, task)
+    delta = slopes[..., None]
     grads = [None] * len(params)
     for i in reversed(range(len(params) // 2)):
         grads[2 * i] = np.swapaxes(acts[i], -1, -2) @ delta
@@ -146,9 +166,9 @@ class MLPModel:
 class _Stack:
     """Networks of one shape and activation, trained side by side.  ``ids`` are
     their places in the list of all networks; ``fold`` is the fold a network does
-    not learn from (-1: none)."""
+    not learn from (-1: none), ``at`` its place among ``folds``, those of all networks."""
 
-    def __init__(self, ids, networks, n_features, seed):
+    def __init__(self, ids, networks, n_features, seed, folds):
         one = networks[0]
         start = _init([n_features, *one["hidden"], 1], seed)
         self.ids, self.activation = np.array(ids), one["activation"]
@@ -159,6 +179,7 @@ class _Stack:
         self.t = np.zeros(c)
         self.alpha, self.rate = (np.array([n[k] for n in networks])[:, None, None] for k in ("alpha", "learning_rate"))
         self.fold = np.array([n.get("fold", -1) for n in networks])
+        self.at = np.searchsorted(folds, self.fold)
         stats = [n.get("stats") for n in networks]
         self.stats = None if stats[0] is None else tuple(np.array([s[i] for s in stats])[:, None, :] for i in (0, 1))
 
@@ -174,7 +195,7 @@ class _Stack:
         pick = lambda a: a[keep]
         other.__dict__ = dict(
             self.__dict__, ids=pick(self.ids), params=[pick(a) for a in self.params], m=[pick(a) for a in self.m],
-            v=[pick(a) for a in self.v], t=pick(self.t), alpha=pick(self.alpha), rate=pick(self.rate), fold=pick(self.fold),
+            v=[pick(a) for a in self.v], t=pick(self.t), alpha=pick(self.alpha), rate=pick(self.rate), fold=pick(self.fold), at=pick(self.at),
             stats=None if self.stats is None else tuple(pick(a) for a in self.stats))
         return other
 
@@ -184,10 +205,6 @@ class _Stack:
     def outputs(self, x):
         return _forward(self.params, self.inputs(x), self.activation)[-1][..., 0]
 
-    def weights(self, w, fold):
-        """Row weights per network: none for the rows of its own fold."""
-        return np.where(fold[None, :] == self.fold[:, None], 0.0, w[None, :])
-
     def step(self, x, y, w, task):
         """One Adam step per network that has rows here; returns their weight."""
         n = w.sum(axis=-1)
@@ -237,6 +254,32 @@ def _reduce(df: DataFrame):
     return vectors.treeReduce(lambda a, b: a + b, depth=2 if df.rdd.getNumPartitions() > 64 else 1)
 
 
+def _merged_rows(frame: DataFrame, xcols: list[str], middle: float) -> DataFrame:
+    """A row for all of equal features, use and fold: their number, those of label
+    1, and sums of the label and its square less ``middle``, also weighted."""
+    y, w = F.coalesce(F.col("y"), F.lit(math.nan)) - F.lit(middle), F.col("w")
+    return frame.groupBy(*xcols, "val", "fold").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("y") == 1).cast("double").alias("ones"),
+        F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy"))
+
+
+def _spread(squares: str, total: str, weight: str):
+    """Sum of squares about the mean."""
+    return F.greatest(F.col(squares) - F.col(total) * F.col(total) / F.col(weight), F.lit(0.0))
+
+
+def _without_fold(by_fold: DataFrame, xcols: list[str], folds: list[int], middle: float, seed: int, task: str) -> DataFrame:
+    """A row for all of equal features and use: of its rows outside the i-th of
+    ``folds`` the mean label ``yi``, weight ``wi`` and the loss ``si`` that the
+    mean label leaves out, and a hash ``h`` to deal it by."""
+    sums = by_fold.groupBy(*xcols, "val").agg(
+        *[F.coalesce(F.sum(F.when(~F.col("fold").eqNullSafe(f), F.col(c))), F.lit(0.0)).alias(f"{c}{i}") for i, f in enumerate(folds) for c in ("w", "wy", "wyy")])
+    some = lambda i, x: F.when(F.col(f"w{i}") > 0, x).otherwise(0.0)
+    return sums.select(*xcols, "val", F.xxhash64(F.lit(seed), *xcols, "val").alias("h"), *[x for i in range(len(folds)) for x in (
+        some(i, F.lit(middle) + F.col(f"wy{i}") / F.col(f"w{i}")).alias(f"y{i}"), F.col(f"w{i}"),
+        some(i, 0.5 * _spread(f"wyy{i}", f"wy{i}", f"w{i}") if task == "regression" else F.lit(0.0)).alias(f"s{i}"))])
+
+
 def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str, networks: list[dict],
                    max_epochs: int = 100, batch_rows: int = BATCH_ROWS, val_frac: float = 0.1, patience: int = 10,
                    tol: float = 1e-4, weight_col: str | None = None, fold_col: str | None = None,
@@ -250,7 +293,8 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
     (regression: R squared not risen by it) for ``patience`` epochs; then the
     others go on without it.  Returns (weights,
     losses) per network and, if there are folds, sums over the rows of its own
-    fold per network: count, squared error, absolute error, and the counts of
+    fold per network: count, squared error, absolute error (NaN where rows are
+    merged, which keep no more than their mean and spread), and the counts of
     true positives and of wrong classes."""
     xcols = [f"_x{i}" for i in range(len(feature_cols))]
     frame = cut_lineage(df.select(
@@ -276,12 +320,21 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
         return mean, tol * sum(g["n"] * (g["v"] + (g["m"] - mean) ** 2) for g in rest) / n / 2
 
     means, gains = zip(*(target(n.get("fold", -1)) for n in networks))
-    frame = frame.repartition(shards_of(n_rows), "h").sortWithinPartitions("h").drop("h").persist()
+    folds = sorted({n.get("fold", -1) for n in networks})
+    different = frame.agg(F.approx_count_distinct(F.xxhash64(*xcols))).first()[0]
+    merged = n_rows >= MERGE_FROM * max(different, 1)
+    if merged:
+        middle = float(round(sum(g["n"] * g["m"] for g in groups) / n_rows)) if task == "regression" else 0.0
+        by_fold = cut_lineage(_merged_rows(frame, xcols, middle), "merged")
+        frame = _without_fold(by_fold, xcols, folds, middle, seed, task)
+    # merged, a row of each set of values for training and one held back, at most
+    frame = frame.repartition(shards_of(frame.count() if merged else n_rows), "h").sortWithinPartitions("h").drop("h").persist()
 
     shapes: dict[tuple, list[int]] = {}
     for i, n in enumerate(networks):
         shapes.setdefault((tuple(n["hidden"]), n["activation"], n.get("stats") is None), []).append(i)
-    active = [_Stack(ids, [networks[i] for i in ids], len(feature_cols), seed) for ids in shapes.values()]
+    active = [_Stack(ids, [networks[i] for i in ids], len(feature_cols), seed, folds)
+              for of_shape in shapes.values() for ids in (of_shape[k:k + STACK] for k in range(0, len(of_shape), STACK))]
     for s in active:  # the output of a regression starts at the mean, not at zero
         s.params[-1] = s.params[-1] + np.array([means[i] for i in s.ids])[:, None, None]
     everyone = [s.copy() for s in active]
@@ -290,28 +343,33 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
     history: dict[int, list[float]] = {i: [] for i in best}
 
     def arrays(pdf):
-        return (pdf[xcols].to_numpy(dtype=np.float64), *(pdf[c].to_numpy() for c in ("y", "w", "fold", "val")))
-
-    def run(epoch):
+        """Features and use of rows; label, weight and loss left out of each without each of ``folds``."""
+        x, val = pdf[xcols].to_numpy(dtype=np.float64), pdf["val"].to_numpy()
+        if merged:
+            return x, val, *(pdf[[f"{c}{j}" for j in range(len(folds))]].to_numpy(dtype=np.float64).T for c in "yws")
+        y, w = (np.repeat(pdf[c].to_numpy(dtype=np.float64)[None, :], len(folds), axis=0) for c in "yw")
+        return x, val, y, np.where(pdf["fold"].to_numpy()[None, :] == np.array(folds)[:, None], 0.0, w), np.zeros_like(y)
+
+    def run(epoch, stacks):
         """Held-back loss under the present weights, and the averaged state after an epoch."""
-        present = spark.sparkContext.broadcast(active)
+        present = spark.sparkContext.broadcast(stacks)
 
         def train(batches):
             start, shard = present.value, TaskContext.get().partitionId()
             local = [s.copy() for s in start]
             seen, lost, held = ([np.zeros(len(s.ids)) for s in start] for _ in range(3))
             for number, pdf in enumerate(batches):
-                x, y, w, fold, val = arrays(pdf)
+                x, val, y, w, more = arrays(pdf)
                 if val.any():
                     for j, s in enumerate(start):
-                        own = s.weights(w[val], fold[val])
-                        lost[j] += _loss_grad(s.params, s.inputs(x[val]), y[val], own, task, s.activation)[0]
+                        own = w[s.at][:, val]
+                        lost[j] += _loss(s.params, s.inputs(x[val]), y[s.at][:, val], own, task, s.activation) + more[s.at][:, val].sum(axis=-1)
                         held[j] += own.sum(axis=-1)
                 order = np.random.default_rng([seed, epoch, shard, number]).permutation(np.flatnonzero(~val))
                 for k in range(0, len(order), batch_rows):
                     rows = order[k:k + batch_rows]
                     for j, s in enumerate(local):
-                        seen[j] += s.step(x[rows], y[rows], s.weights(w[rows], fold[rows]), task)
+                        seen[j] += s.step(x[rows], y[:, rows][s.at], w[:, rows][s.at], task)
             parts = [np.concatenate([lost[j][:, None], held[j][:, None], seen[j][:, None], seen[j][:, None] * s.state()], axis=1)
                      for j, s in enumerate(local)]
             yield pd.DataFrame({"g": [np.concatenate([a.ravel() for a in parts]).tobytes()]})
@@ -319,15 +377,19 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
         flat = _reduce(frame.mapInPandas(train, "g binary"))
         present.destroy()
         out, i = [], 0
-        for s in active:
+        for s in stacks:
             width = 3 + s.state().shape[1]
             out.append(flat[i:i + len(s.ids) * width].reshape(len(s.ids), width))
             i += len(s.ids) * width
         return out
 
     for epoch in range(max_epochs + 1 if n_rows else 0):  # an empty table leaves the first weights
-        going = []
-        for s, sums in zip(active, run(epoch), strict=True):
+        going, found = [], [None] * len(active)
+        jobs = min(JOBS, len(active))
+        with ThreadPool(jobs) as pool:
+            for k, part in enumerate(pool.map(lambda k: run(epoch, active[k::jobs]), range(jobs))):  # noqa: B023
+                found[k::jobs] = part
+        for s, sums in zip(active, found, strict=True):
             keep = np.ones(len(s.ids), dtype=bool)
             for k, i in enumerate(s.ids.tolist()):
                 lost, held = sums[k, 0], sums[k, 1]
@@ -356,18 +418,23 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
         def score(batches):
             total = np.zeros((len(networks), 5))
             for pdf in batches:
-                x, y, _, fold, _ = arrays(pdf)
+                x, fold, y = pdf[xcols].to_numpy(dtype=np.float64), pdf["fold"].to_numpy(), pdf["y"].to_numpy(dtype=np.float64)
+                one = np.ones(len(pdf))
+                n, spread, ones = (pdf[c].to_numpy(dtype=np.float64) for c in ("n", "s", "ones")) if merged else (one, 0.0 * one, one * (y == 1))
                 for s in final.value:
                     for f in np.unique(s.fold):
                         part, rows = s.only(s.fold == f), fold == f
-                        out, truth = part.outputs(x[rows]), y[rows]
-                        yes, err = out > 0, out - truth
+                        out, m, hits = part.outputs(x[rows]), n[rows], ones[rows]
+                        yes, err = out > 0, out - y[rows]
                         total[part.ids] += np.stack([
-                            np.full(len(part.ids), float(rows.sum())), (err * err).sum(axis=-1), np.abs(err).sum(axis=-1),
-                            (yes & (truth == 1)).sum(axis=-1), (yes != (truth == 1)).sum(axis=-1)], axis=1)
+                            np.full(len(part.ids), m.sum()), (m * err * err + spread[rows]).sum(axis=-1),
+                            np.full(len(part.ids), np.nan) if merged else np.abs(err).sum(axis=-1),
+                            (yes * hits).sum(axis=-1), np.where(yes, m - hits, hits).sum(axis=-1)], axis=1)
             yield pd.DataFrame({"g": [total.tobytes()]})
 
-        sums = _reduce(frame.mapInPandas(score, "g binary")).reshape(-1, 5)
+        scored = by_fold.select(*xcols, "fold", "n", "ones", (F.lit(middle) + F.col("y") / F.col("n")).alias("y"),
+                                _spread("yy", "y", "n").alias("s")) if merged else frame
+        sums = _reduce(scored.mapInPandas(score, "g binary")).reshape(-1, 5)
         final.destroy()
     frame.unpersist()
     return [(best[i], history[i]) for i in range(len(networks))], sums

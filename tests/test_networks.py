@@ -123,3 +123,30 @@ def test_grid_scores_every_candidate_on_every_fold(spark):
     rows = TU.grid_search_mlp(df, ["a", "b"], "classification", grid, max_epochs=25).orderBy("candidate").collect()
     assert len(rows) == 4 and all(len(r["fold_scores"]) == 3 for r in rows)
     assert max(r["mean_score"] for r in rows) > 0.8
+
+
+@pytest.mark.parametrize("task,weight", [("classification", "w"), ("regression", None)])
+def test_merged_rows_train_and_score_as_all_rows(spark, monkeypatch, task, weight):
+    # 60 feature values in 1200 rows, one step an epoch: the same gradients whatever the rows are merged to
+    df = _rows(spark, 1200).withColumn("a", F.floor(F.col("a")).cast("double")).withColumn("b", F.floor(F.col("b")).cast("double"))
+    df = df.withColumn("z", F.col("z") + 1000)
+    networks = [dict(SHAPE, fold=f, stats=([0.1, -0.2], [1.5, 0.5])) for f in (0, 1, 2)]
+    found = []
+    for rows in (10 ** 6, 2):
+        monkeypatch.setattr(N, "MERGE_FROM", rows)
+        found.append(N.train_networks(df, ["a", "b"], "y" if task == "classification" else "z", task, networks, 6, 10 ** 6,
+                                      weight_col=weight, fold_col="fold"))
+    (plain, of_rows), (merged, of_merged) = found
+    for (p, losses), (q, others) in zip(plain, merged):
+        assert all(np.allclose(a, b, atol=1e-7) for a, b in zip(p, q)) and np.allclose(losses, others, rtol=1e-7)
+    assert np.allclose(of_rows[:, [0, 1, 3, 4]], of_merged[:, [0, 1, 3, 4]], rtol=1e-7) and np.isnan(of_merged[:, 2]).all()
+
+
+def test_an_epoch_over_copies_costs_their_different_values(spark, monkeypatch):
+    shards = []
+    monkeypatch.setattr(N, "shards_of", lambda rows: shards.append(rows) or 1)
+    df = _rows(spark, 300).crossJoin(spark.range(20).withColumnRenamed("id", "copy"))
+    df = df.withColumn("row_key", F.concat("row_key", F.lit("-"), F.col("copy").cast("string")))
+    [(_, history)], _ = N.train_networks(df, ["a", "b"], "z", "regression", [SHAPE], 30, 20)
+    assert shards[0] <= 2 * 300  # training and held back
+    assert history[-1] < 0.5 * history[0]
