@@ -8,9 +8,9 @@ whose bound is below the query's k-th best score so far are dropped, and exact
 scores are computed for the survivors only.
 
 Candidates are packed into blocks and dealt to groups, query blocks are sent to
-every group, and the groups' best are merged: a block join of a stated query
-set with all rows.  A group holds a fixed number of rows and passes its query
-blocks through one at a time.
+every group by a shuffle, and the groups' best are merged: a block join of a
+stated query set with all rows.  A group holds a few candidate blocks and passes
+its query blocks through one at a time.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ SCALE = 256
 RESOLUTIONS = (1, 4, 16)
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 2048
-#: Candidate blocks of one group.
+#: Candidate blocks of one group, on average.
 GROUP_BLOCKS = 4
 #: Sums of products below this are added in 64 bits; beyond it with whole numbers of any size.
 NARROW = 1 << 62
+#: Sums of whole numbers below this are exact in floats, in whatever order they are added.
+FLOAT = 1 << 53
+#: Where at least one pair in this many is left, all of a block are multiplied at once.
+DENSE = 20
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -45,10 +49,15 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((sums / np.sqrt(lengths), np.sqrt(np.maximum(squares - sums * sums / lengths, 0))), 1)
 
 
+def largest_sum(q: np.ndarray, c: np.ndarray) -> int:
+    """No inner product of a row each, nor a part of one, is larger."""
+    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    return most(q) * most(c) * q.shape[1]
+
+
 def exact_scores(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Integer inner products of the pairs; one that does not fit 64 bits is an error."""
-    most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
-    if most(q) * most(c) * q.shape[1] >= NARROW:
+    if largest_sum(q, c) >= NARROW:
         return np.array([sum(a * b for a, b in zip(q[i].tolist(), c[j].tolist(), strict=True))
                          for i, j in zip(rows, cols, strict=True)], np.int64)
     out = np.empty(len(rows), np.int64)
@@ -83,15 +92,21 @@ class Best:
             alive = self.ids[:, None] != own[None]
             cols = np.arange(len(own))
             for mine, theirs in zip(self.levels, levels, strict=True):
-                alive &= mine @ theirs[part][cols].T + slack >= floor[:, None]
+                alive &= mine @ theirs[part][cols].T >= (floor - slack)[:, None]
                 some = alive.any(0)
-                cols, alive = cols[some], alive[:, some]
+                if not some.all():
+                    cols, alive = cols[some], alive[:, some]
                 if not len(cols):
                     break
-            rows, at = np.nonzero(alive)
-            scores = exact_scores(self.vectors, v, rows, cols[at])
-            better = scores >= floor[rows]
-            rows, at, scores = rows[better], cols[at[better]], scores[better]
+            if np.count_nonzero(alive) * DENSE >= alive.size and largest_sum(self.vectors, v) < FLOAT:
+                scores = self.real @ v[cols].astype(float).T
+                rows, at = np.nonzero(alive & (scores >= floor[:, None]))
+                scores, at = scores[rows, at].astype(np.int64), cols[at]
+            else:
+                rows, at = np.nonzero(alive)
+                scores = exact_scores(self.vectors, v, rows, cols[at])
+                better = scores >= floor[rows]
+                rows, at, scores = rows[better], cols[at[better]], scores[better]
             order = np.lexsort((own[at], -scores, rows))
             rows, at, scores = rows[order], at[order], scores[order]
             ends = np.searchsorted(rows, np.arange(len(self.ids) + 1))
@@ -124,34 +139,29 @@ def _pack(size: int):
 
 
 def _search(k: int):
-    """Rows (query block, dim, its ids, query numbers and vectors, candidate
-    block, its ids and vectors); consecutive rows of one query block share its best."""
+    """Rows (group, kind, number of the block, dim, ids, numbers, vectors) in the
+    order of the first three: a group's candidate blocks (kind 0) are held, then
+    its query blocks (kind 1) pass through one at a time."""
     def run(batches):
-        number, numbers, best, known = None, None, None, {}
-        schema = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-        def result():
-            rows = [(int(q), i, -s) for q, f in zip(numbers, best.found, strict=True) for s, i in f]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else
-                                              [pa.array([], pa.int64())] * 3, schema=schema)
-
+        group, known = None, {}
+        schema = pa.schema([(c, pa.int64()) for c in ("query", "query_id", "vec_id", "score")])
         for batch in batches:
-            for block, dim, q_ids, q_numbers, q_raw, c_no, c_ids, c_raw in zip(*batch.columns, strict=True):
-                shape = (-1, dim.as_py())
-                if block.as_py() != number:
-                    if best is not None:
-                        yield result()
-                    number, numbers = block.as_py(), q_numbers.values.to_pylist()
-                    best = Best(q_ids.values.to_numpy(), np.frombuffer(q_raw.as_buffer(), "<i8").reshape(shape), k)
-                if c_no.as_py() not in known:  # the few blocks of the group
-                    if len(known) >= 2 * GROUP_BLOCKS:
-                        known.clear()
-                    v = np.frombuffer(c_raw.as_buffer(), "<i8").reshape(shape)
-                    known[c_no.as_py()] = (c_ids.values.to_numpy(), v, [segment_statistics(v.astype(float), s) for s in RESOLUTIONS])
-                best.meet(*known[c_no.as_py()])
-        if best is not None:
-            yield result()
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, schema=schema)
+            for g, kind, _, dim, ids, numbers, raw in zip(*batch.columns, strict=True):
+                if g.as_py() != group:
+                    group, known = g.as_py(), {}
+                own = ids.values.to_numpy()
+                v = np.frombuffer(raw.as_buffer(), "<i8").reshape(-1, dim.as_py())
+                if kind.as_py() == 0:  # copies, as a batch would stay whole for its slices
+                    known.setdefault(dim.as_py(), []).append(
+                        (own.copy(), v.copy(), [segment_statistics(v.astype(float), s) for s in RESOLUTIONS]))
+                elif dim.as_py() in known:
+                    best = Best(own, v, k)
+                    for block in known[dim.as_py()]:
+                        best.meet(*block)
+                    rows = [(n, int(q), i, -s) for n, q, f in zip(numbers.values.to_pylist(), own, best.found, strict=True) for s, i in f]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, schema=schema)
     return run
 
 
@@ -181,21 +191,23 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
              .withColumn("query", F.monotonically_increasing_id()))
     asked = scratch(asked, "queries")
     kind = "dim int, ids array<long>, numbers array<long>, vectors binary"
-    blocks = scratch(rows.mapInArrow(_pack(CANDIDATE_BLOCK), kind).withColumn("c_no", F.monotonically_increasing_id()), "candidates")
+    blocks = scratch(rows.mapInArrow(_pack(CANDIDATE_BLOCK), kind).withColumn("no", F.monotonically_increasing_id()), "candidates")
     q_blocks = scratch(asked.select("vec_id", "v", "query").mapInArrow(_pack(QUERY_BLOCK), kind)
-                       .withColumn("q_no", F.monotonically_increasing_id()), "query-blocks")
+                       .withColumn("no", F.monotonically_increasing_id()), "query-blocks")
     groups = max(1, -(-blocks.count() // GROUP_BLOCKS))
-    left = q_blocks.select("q_no", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"),
-                           F.col("numbers").alias("q_numbers"), F.col("vectors").alias("q_vectors"),
-                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    right = blocks.withColumn("group", F.pmod(F.xxhash64("c_no"), F.lit(groups)).cast("int"))
-    met = left.join(right, "group").where("q_dim = dim").select(
-        "q_no", "dim", "q_ids", "q_numbers", "q_vectors", "c_no", "ids", "vectors")
-    found = met.mapInArrow(_search(k), "query long, vec_id long, score long")
+    # A sort instead of a join: Spark sizes the query blocks as if there were one
+    # copy, not one per group, and would broadcast all copies through the driver.
+    own = F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = q_blocks.repartition(max(1, min(q_blocks.count(), groups)))  # the copies are made in many tasks
+    cols = ["no", "dim", "ids", "numbers", "vectors"]
+    met = (blocks.select(own.alias("group"), F.lit(0).alias("kind"), *cols)
+           .unionByName(dealt.select(every.alias("group"), F.lit(1).alias("kind"), *cols))
+           .repartition(groups, "group").sortWithinPartitions("group", "kind", "no"))
+    found = met.mapInArrow(_search(k), "query long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(asked.select("query", F.col("vec_id").alias("query_id")), "query").select(
-        "query_id", "rank", "vec_id", "score")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

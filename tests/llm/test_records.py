@@ -212,6 +212,37 @@ def test_search_matches_brute_force(spark):
     assert vector_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    for name, size in (("CANDIDATE_BLOCK", 16), ("QUERY_BLOCK", 4), ("GROUP_BLOCKS", 2)):
+        monkeypatch.setattr(vector_search, name, size)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 4 + i % 2).round(1)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    found = vector_search.top_k(df, df.where("vec_id % 10 = 0"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    ints = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = set()
+    for q, v in ints[::10]:
+        best = sorted((-int(v @ x), i) for i, x in ints if i != q and len(x) == len(v))[:5]
+        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("scale", [50, 1e7, 1e8])  # beyond 2**53 no sum of floats is exact
+def test_whole_blocks_score_as_pairs_do(monkeypatch, scale):
+    rng = np.random.default_rng(9)
+    q, c = (rng.normal(0, scale, (n, 24)).round().astype(np.int64) for n in (30, 200))
+    c[100:] = c[:100]  # ties
+    levels = [vector_search.segment_statistics(c.astype(float), s) for s in vector_search.RESOLUTIONS]
+    want = [sorted((-int(a @ b), j) for j, b in enumerate(c) if i != j)[:5] for i, a in enumerate(q)]
+    for dense in (0, 1 << 40):  # never and always
+        monkeypatch.setattr(vector_search, "DENSE", dense)
+        best = vector_search.Best(np.arange(30), q, 5)
+        best.meet(np.arange(200), c, levels)
+        assert best.found == want
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(5)
     q, c = rng.normal(0, 50, (20, 30)).round(), rng.normal(3, 70, (50, 30)).round()
