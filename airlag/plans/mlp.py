@@ -4,11 +4,11 @@ Spark ML has no ReLU/Adam network with sample weights and no MLP regressor, so
 the network is trained the data-parallel way.  An epoch is one Spark job.  The
 rows are dealt to shards by a hash of their key; the task of a shard starts from
 the weights of the epoch, takes one Adam step per ``batch_rows`` rows with NumPy
-inside ``mapInPandas`` (Arrow batches, permuted anew in every epoch), and returns
+inside ``mapInPandas`` (``CHUNK_ROWS`` rows at a time, permuted anew in every epoch), and returns
 its weights and moments, which ``treeReduce`` averages by rows.  The number of
 shards grows with the square root of the rows, and so do the steps of a shard:
-more data means more tasks and more steps, and one task never holds more than an
-Arrow batch.  A small table is one shard, which is the plain algorithm.
+more data means more tasks and more steps, and one task never holds more than
+``CHUNK_ROWS`` rows and an Arrow batch.  A small table is one shard, which is the plain algorithm.
 
 No barrier stage: that needs all its tasks running at once and starts all of them
 again when one is lost.  Here a lost task starts again alone, from the weights of
@@ -48,6 +48,8 @@ from airlag.session import cut_lineage, ship_package
 
 #: Rows of an optimiser step.  Fixed value: the published batch size.
 BATCH_ROWS = 200
+#: Rows a task holds at once and permutes, whatever size the session gives Arrow batches.
+CHUNK_ROWS = 10_000
 #: A table of up to so many rows is one shard; s squared times as many are s shards.
 SHARD_ROWS = 2048
 #: Rows for each different set of feature values from which training goes over merged rows.
@@ -248,6 +250,21 @@ def shards_of(rows: int) -> int:
     return max(1, math.ceil(math.sqrt(rows / SHARD_ROWS)))
 
 
+def _chunks(batches):
+    """The rows of a task's Arrow batches, ``CHUNK_ROWS`` at a time."""
+    held, n = [], 0
+    for pdf in batches:
+        while len(pdf):
+            part, pdf = pdf.iloc[:CHUNK_ROWS - n], pdf.iloc[CHUNK_ROWS - n:]
+            held.append(part)
+            n += len(part)
+            if n == CHUNK_ROWS:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _reduce(df: DataFrame):
     """Sum of the vectors in column ``g``, a row per task, as a tree."""
     vectors = df.rdd.map(lambda r: np.frombuffer(r["g"], dtype=np.float64))
@@ -358,7 +375,7 @@ def train_networks(df: DataFrame, feature_cols: list[str], label: str, task: str
             start, shard = present.value, TaskContext.get().partitionId()
             local = [s.copy() for s in start]
             seen, lost, held = ([np.zeros(len(s.ids)) for s in start] for _ in range(3))
-            for number, pdf in enumerate(batches):
+            for number, pdf in enumerate(_chunks(batches)):
                 x, val, y, w, more = arrays(pdf)
                 if val.any():
                     for j, s in enumerate(start):

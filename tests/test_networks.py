@@ -100,6 +100,19 @@ def test_stacked_networks_equal_single_ones_and_do_not_see_their_fold(spark):
     assert sums[3][0] == len(pdf) and np.isclose(sums[3][1], (err * err).sum()) and np.isclose(sums[3][2], np.abs(err).sum())
 
 
+def test_steps_do_not_depend_on_the_size_of_batches(spark):
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    df, before = _rows(spark, 700), spark.conf.get(key)
+    try:
+        for size in ("10000", "64"):
+            spark.conf.set(key, size)
+            found.append(N.train_networks(df, ["a", "b"], "y", "classification", [SHAPE], 4, 100)[0][0])
+    finally:
+        spark.conf.set(key, before)
+    (p, losses), (q, others) = found
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(p, q)) and np.allclose(losses, others)
+
+
 def test_patience_keeps_the_best_weights(spark):
     df = _rows(spark, 400)
     net = dict(SHAPE, learning_rate=0.5)
